@@ -72,3 +72,18 @@ FX_PAD = """fx_row as (select cast(range as int) g, cast(range // 20 as int) r,
 
 def with_views(*views: str) -> str:
     return "with recursive " + ",\n".join(views) + "\n"
+
+
+FX_EVENT = FX_PULSE + """, fx_gap as (
+  select *, case when lag(t_us) over o is null or t_us - lag(t_us) over o > 300000000 then 1 else 0 end f
+  from fx_pulse window o as (order by t_us, pulse_no)), fx_event as (
+  select * exclude (f), cast(sum(f) over (order by t_us, pulse_no rows unbounded preceding) as bigint) event_id from fx_gap)"""
+
+FX_HIT = (
+    FX_EVENT + ", " + FX_MAP + ", " + FX_PAD + """, fx_all_hit as (
+  select e.*, m.tpc_id, p.x, p.z, cast(charge as double) w, charge % 1000 + 1 maxsample,
+    case when m.tpc_id between 0 and 59 then charge * 0.007594825219782722::double + 0.2907597292526938::double
+         when m.tpc_id between 60 and 119 then charge * 0.006512604389126628::double + 0.24932806669203858::double end energy
+  from fx_event e left join fx_map_gid m on m.map_id = e.gch left join fx_pad p on p.tpc_id = m.tpc_id),
+  fx_hit as (select *, tpc_id < 60 is_up, tpc_id >= 60 is_dn, tpc_id // 20 pad_row from fx_all_hit where tpc_id between 0 and 119)"""
+)

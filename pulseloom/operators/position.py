@@ -134,6 +134,42 @@ def lag_by_position(
     ).drop("_seg")
 
 
+def carry_last(df: DataFrame, pos: str, value: str, name: str, *, width: int = BUCKET_ROWS) -> DataFrame:
+    """Last non-null ``value`` at or before the row in ``pos`` order (fill forward over the whole table)."""
+    rows = df.withColumn("_bucket", F.floor(F.col(pos) / F.lit(width)).cast("bigint"))
+    filled = F.col(value).isNotNull()
+    tails = rows.filter(filled).groupBy("_bucket").agg(F.max_by(value, pos).alias("_tail"))
+    buckets = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).join(tails, "_bucket", "left").select(
+        "_bucket",
+        F.last("_tail", ignorenulls=True).over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"),
+    )
+    upto = W.partitionBy("_bucket").orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        rows.withColumn("_in", F.last(value, ignorenulls=True).over(upto))
+        .join(buckets, "_bucket", "inner")
+        .withColumn(name, F.coalesce("_in", "_carry"))
+        .drop("_bucket", "_in", "_carry")
+    )
+
+
+def nearest_within(left: DataFrame, right: DataFrame, key: str, payload: str, tol: float) -> DataFrame:
+    """Left rows with the nearest right row whose ``key`` differs by at most ``tol`` (ties: the lower key, then payload).
+
+    Both sides are put in one order and the neighbours on either side are carried along it, so no pairs inside the
+    tolerance are formed. ``payload`` is unique per side. Adds match and match_key; unmatched rows keep nulls.
+    """
+    a = left.select(F.col(key).alias("_k"), F.lit(1).alias("_side"), F.col(payload).alias("_id"), F.struct(*left.columns).alias("_row"))
+    b = right.select(F.col(key).alias("_k"), F.lit(0).alias("_side"), F.col(payload).alias("_id"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    both = with_position(a.unionByName(b).filter(F.col("_k").isNotNull()), ["_k", "_side", "_id"], "_pos")
+    both = both.withColumn("_cand", F.when(F.col("_side") == 0, F.struct("_k", "_id")))
+    both = carry_last(both, "_pos", "_cand", "_below")
+    both = carry_last(both.withColumn("_back", -F.col("_pos")), "_back", "_cand", "_above")
+    down, up = F.col("_k") - F.col("_below._k"), F.col("_above._k") - F.col("_k")
+    best = F.when(F.col("_above").isNull() | (down <= up), F.col("_below")).otherwise(F.col("_above"))
+    rows = both.filter(F.col("_side") == 1).withColumn("_best", F.when(F.abs(best["_k"] - F.col("_k")) <= F.lit(tol), best))
+    return rows.select("_row.*", F.col("_best._id").alias("match"), F.col("_best._k").alias("match_key"))
+
+
 def number_within(df: DataFrame, key: Sequence[str], pos: str, name: str) -> DataFrame:
     """0-based rank inside a key when ``pos`` is dense and each key is one contiguous stretch.
 
