@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulseloom.operators.chain import follow, numbered
+from pulseloom.session import materialize
+
 ZONE_SLOTS = 1 << 16
 
 
@@ -90,3 +93,47 @@ def gap_events(
         slots = slots.drop("event_start")
     rows = df.withColumn("_slot", F.floor(F.col(time) / F.lit(gap)).cast("bigint"))
     return rows.join(slots, [*stream, "_slot"], "left").drop("_slot")
+
+
+ANCHOR_ZONE = 64
+
+
+def anchor_times(
+    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_thresholds: int = ANCHOR_ZONE
+) -> DataFrame:
+    """Event id of every distinct time: a new event starts where a time is more than ``threshold`` after the
+    event's first time. Returns (stream.., time, event_id, event_start).
+
+    Rows are reduced to distinct times first (combining, so a frequent time costs nothing), and the sequential
+    rule runs as a greedy chain over zones of ``zone_thresholds`` thresholds.
+    """
+    stream = list(stream)
+    num = df.schema[time].dataType
+    times = df.filter(F.col(time).isNotNull()).groupBy(*stream, time).agg(F.lit(1).alias("_one")).drop("_one")
+    nodes = times.withColumn("_limit", (F.col(time) + F.lit(threshold)).cast(num))
+    chain = follow(nodes, time, "_limit", threshold * zone_thresholds, stream=stream)
+    anchors = materialize(numbered(chain, stream, "event_id").select(*stream, F.col(time).alias("event_start"), "event_id"))
+    # distinct times and anchors meet inside zones of the same bounded width; the last anchor of earlier zones is carried
+    zone = lambda c: F.floor(F.col(c) / F.lit(threshold * zone_thresholds)).cast("bigint")
+    both = times.select(*stream, F.col(time).alias("_t"), F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast(num).alias("event_start")).unionByName(
+        anchors.select(*stream, F.col("event_start").alias("_t"), "event_id", "event_start")
+    )
+    both = both.withColumn("_zone", zone("_t"))
+    over = W.partitionBy(*stream).orderBy("_zone") if stream else W.orderBy("_zone")
+    tails = both.groupBy(*stream, "_zone").agg(F.max(F.when(F.col("event_id").isNotNull(), F.struct("event_id", "event_start"))).alias("_tail"))
+    tails = tails.select(
+        *stream, "_zone", F.last("_tail", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
+    )
+    upto = W.partitionBy(*stream, "_zone").orderBy("_t", F.col("event_id").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = F.last(F.when(F.col("event_id").isNotNull(), F.struct("event_id", "event_start")), ignorenulls=True).over(upto)
+    marked = both.withColumn("_in", inner).filter(F.col("event_id").isNull()).drop("event_id", "event_start")
+    marked = marked.join(tails, [*stream, "_zone"], "inner").withColumn("_e", F.coalesce("_in", "_carry"))
+    return marked.select(*stream, F.col("_t").alias(time), "_e.event_id", "_e.event_start")
+
+
+def anchor_events(
+    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_thresholds: int = ANCHOR_ZONE
+) -> DataFrame:
+    """All rows with the anchored ``event_id`` (1-based, null where the time is null) and ``event_start``."""
+    ids = anchor_times(df, time, threshold, stream=stream, zone_thresholds=zone_thresholds)
+    return df.join(ids, [*stream, time], "left")
