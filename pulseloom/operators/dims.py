@@ -69,12 +69,11 @@ ZONES = ["is_al", "is_up", "is_dn", "is_up1", "is_up2", "is_up3", "is_dn1", "is_
 
 def zone_columns(tpc: str = "tpc_id") -> dict:
     """Membership of a pad in the detector, its halves and its six rows."""
-    t = F.col(tpc)
-    zones = {"is_al": t.between(0, 119), "is_up": t.between(0, 59), "is_dn": t >= 60}
+    zones = {"is_al": f"{tpc} between 0 and 119", "is_up": f"{tpc} between 0 and 59", "is_dn": f"{tpc} >= 60"}
     for n in range(6):
         name = f"is_{'up' if n < 3 else 'dn'}{n % 3 + 1}"
-        zones[name] = t.between(n * PADS_PER_ROW, (n + 1) * PADS_PER_ROW - 1)
-    return zones
+        zones[name] = f"{tpc} between {n * PADS_PER_ROW} and {(n + 1) * PADS_PER_ROW - 1}"
+    return {name: F.expr(test) for name, test in zones.items()}
 
 
 def with_zones(hits: DataFrame, tpc: str = "tpc_id") -> DataFrame:

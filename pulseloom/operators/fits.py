@@ -81,52 +81,42 @@ def track_fit(
         F.sum(F.col("w") * F.col("v") * F.col("v")).alias("_wvv"),
         F.sum(F.col("w") * F.col("u") * F.col("v")).alias("_wuv"),
     )
-    ok = (F.col("_n") == F.col("_rows")) & (F.col("_n") >= 2)
-    m = m.withColumns(
-        {
-            "_cu": F.col("_wu") / F.col("_w"),
-            "_cv": F.col("_wv") / F.col("_w"),
-            "_muu": F.col("_wuu") / F.col("_w"),
-            "_mvv": F.col("_wvv") / F.col("_w"),
-        }
+    # variables instead of column chains: a filter on a result must not multiply the arithmetic when it is pushed down
+    moments = "named_struct('cu', _wu / _w, 'cv', _wv / _w, 'muu', _wuu / _w, 'mvv', _wvv / _w, 'muv', _wuv / _w)"
+    spread = f"""named_struct('cu', k.cu, 'cv', k.cv,
+        'suu', {_settle("k.muu - k.cu * k.cu", "k.muu")},
+        'svv', {_settle("k.mvv - k.cv * k.cv", "k.mvv")},
+        'suv', {_settle("k.muv - k.cu * k.cv", "sqrt(k.muu * k.mvv)")})"""
+    # variance across the line as a projection: no difference of two large eigenvalues
+    line = f"""named_struct(
+        'slope', d.slope,
+        'intercept', s.cv + {float(origin[1])!r}D - d.slope * (s.cu + {float(origin[0])!r}D),
+        'chi2', _w * greatest(0.0D, s.suu * d.s * d.s - 2.0D * s.suv * d.s * d.c + s.svv * d.c * d.c),
+        'angle', degrees(t))"""
+    direction = "named_struct('c', cos(t), 's', sin(t), 'slope', if(abs(cos(t)) >= 1e-12D, sin(t) / cos(t), null))"
+    angle = "atan2(2.0D * s.suv, s.suu - s.svv) / 2.0D"
+    fit = sql_let(moments, "k", sql_let(spread, "s", sql_let(angle, "t", sql_let(direction, "d", line))))
+    m = m.withColumn("_ok", F.expr("_n = _rows and _n >= 2")).withColumn("_fit", F.expr(f"if(_ok, {fit}, null)"))
+    return m.selectExpr(
+        key,
+        "_fit.slope as a_slope",
+        "_fit.intercept as a_intercept",
+        "_fit.chi2 as a_chi2",
+        "if(_ok and _n > 2, _fit.chi2 / (_n - 2), null) as a_chi2_reduced",
+        "_fit.angle as a_angle_deg",
+        "if(_ok, cast(_n as int), null) as a_n_points",
+        "if(_ok, cast(_n - 2 as int), null) as a_dof",
     )
 
-    # rounding noise of coinciding coordinates counts as 0, so vertical and point-like events are exact
-    def settle(c: Column, scale: Column) -> Column:
-        return F.when(F.abs(c) <= F.lit(1e-12) * scale, F.lit(0.0)).otherwise(c)
 
-    m = m.withColumns(
-        {
-            "_suu": settle(F.col("_muu") - F.col("_cu") * F.col("_cu"), F.col("_muu")),
-            "_svv": settle(F.col("_mvv") - F.col("_cv") * F.col("_cv"), F.col("_mvv")),
-            "_suv": settle(
-                F.col("_wuv") / F.col("_w") - F.col("_cu") * F.col("_cv"), F.sqrt(F.col("_muu") * F.col("_mvv"))
-            ),
-        }
-    )
-    m = m.withColumn("_theta", F.atan2(F.lit(2.0) * F.col("_suv"), F.col("_suu") - F.col("_svv")) / 2)
-    m = m.withColumns({"_cos": F.cos("_theta"), "_sin": F.sin("_theta")})
-    # variance across the line, written as a projection: no difference of two large eigenvalues
-    across = (
-        F.col("_suu") * F.col("_sin") * F.col("_sin")
-        - F.lit(2.0) * F.col("_suv") * F.col("_sin") * F.col("_cos")
-        + F.col("_svv") * F.col("_cos") * F.col("_cos")
-    )
-    m = m.withColumn("_chi2", F.col("_w") * F.greatest(F.lit(0.0), across))
-    slope = F.when(F.abs("_cos") >= 1e-12, F.col("_sin") / F.col("_cos"))
-    at_origin = F.col("_cv") + origin[1] - slope * (F.col("_cu") + origin[0])
-    dof = (F.col("_n") - 2).cast("int")
-    only = lambda c: F.when(ok, c)
-    return m.select(
-        key,
-        only(slope).alias("a_slope"),
-        only(at_origin).alias("a_intercept"),
-        only(F.col("_chi2")).alias("a_chi2"),
-        only(F.when(dof > 0, F.col("_chi2") / dof)).alias("a_chi2_reduced"),
-        only(F.degrees("_theta")).alias("a_angle_deg"),
-        only(F.col("_n").cast("int")).alias("a_n_points"),
-        only(dof).alias("a_dof"),
-    )
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once and uses it as ``name`` inside ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _settle(difference: str, scale: str) -> str:
+    """Rounding noise of coinciding coordinates counts as 0, so vertical and point-like events are exact."""
+    return f"if(abs({difference}) <= 1e-12D * {scale}, 0.0D, {difference})"
 
 
 def gauss(x: Column, amplitude: Column, mu: Column, sigma: Column) -> Column:
@@ -147,73 +137,70 @@ def gauss_fit(
 
     ``mode='compat'`` lets empty bins enter as log(1e-12) with weight 1; ``mode='positive'`` leaves them out.
     Where the parabola does not open downwards, the moments of the histogram are returned. Fewer than three
-    usable bins give no row. Five power sums and three mixed sums of the shifted centre form one aggregate.
+    usable bins give no row.
     """
-    groups = list(by)
-    by = groups or ["_all"]
-    hist = hist if groups else hist.withColumn("_all", F.lit(1))
-    h = hist.select(*by, F.col(center).cast("double").alias("_x"), F.col(count).cast("double").alias("_y"))
-    h = h.filter(finite(F.col("_x")) & finite(F.col("_y")) & (F.col("_y") >= 0))
+    by = list(by)
+    h = hist.select(*by, F.col(center).cast("double").alias("x"), F.col(count).cast("double").alias("y"))
+    h = h.filter(finite(F.col("x")) & finite(F.col("y")) & (F.col("y") >= 0))
     if fit_range is not None:
         lo, hi = min(fit_range), max(fit_range)
-        h = h.filter(F.col("_x").between(lo, hi))
+        h = h.filter(F.col("x").between(lo, hi))
     if mode == "positive":
-        h = h.filter(F.col("_y") > 0)
-    x, y = F.col("_x"), F.col("_y")
-    # histogram-sized from here: one row per bin
-    base = h.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.avg("_x").alias("_c"),
-        F.stddev_pop("_x").alias("_sd"),
-        F.sum("_y").alias("_sy"),
-        F.sum(x * y).alias("_sxy"),
-        F.max("_y").alias("_top"),
-        (F.max("_x") - F.min("_x")).alias("_span"),
-    ).filter(F.col("_k") >= 3)
-    base = base.withColumn("_mu0", F.when(F.col("_sy") > 0, F.col("_sxy") / F.col("_sy")).otherwise(F.col("_c")))
-    j = h.join(base, by, "inner")
-    t = F.try_divide(x - F.col("_c"), F.col("_span"))
-    w2 = F.greatest(y, F.lit(1.0))
-    log = F.ln(F.greatest(y, F.lit(1e-12)))
-    j = j.withColumns({"_t": t, "_w2": w2, "_l": log})
-    power = lambda p: F.sum(F.col("_w2") * F.pow("_t", F.lit(float(p))))
-    sums = j.groupBy(*by).agg(
-        *[power(p).alias(f"_s{p}") for p in range(5)],
-        *[F.sum(F.col("_w2") * F.pow("_t", F.lit(float(p))) * F.col("_l")).alias(f"_l{p}") for p in range(3)],
-        F.sum((x - F.col("_mu0")) * (x - F.col("_mu0")) * y).alias("_ss"),
-        *[F.first(c).alias(c) for c in ("_k", "_c", "_sd", "_sy", "_top", "_span", "_mu0")],
+        h = h.filter(F.col("y") > 0)
+    # a histogram has a set number of bins, so one array per group is bounded; the source is read once
+    g = h.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_h")).filter(F.size("_h") >= 3)
+
+    fit = g.select(*by, F.size("_h").cast("bigint").alias("n_bins"), F.expr(_parabola()).alias("_f"))
+    return fit.selectExpr(
+        *by,
+        "n_bins",
+        "_f.p.amplitude",
+        "_f.p.mu",
+        "_f.p.sigma",
+        "_f.p.converged",
+        "_f.chi2",
+        "_f.chi2 / greatest(n_bins - 3, 1) as chi2_red",
     )
 
 
-    s = [F.col(f"_s{p}") for p in range(5)]
-    r = [F.col(f"_l{p}") for p in range(3)]
-    det3 = lambda a, b, c, d, e, f, g, hh, i: a * (e * i - f * hh) - b * (d * i - f * g) + c * (d * hh - e * g)
-    det = det3(s[0], s[1], s[2], s[1], s[2], s[3], s[2], s[3], s[4])
-    sums = sums.withColumns(
-        {
-            "_b0": F.try_divide(det3(r[0], s[1], s[2], r[1], s[2], s[3], r[2], s[3], s[4]), det),
-            "_b1": F.try_divide(det3(s[0], r[0], s[2], s[1], r[1], s[3], s[2], r[2], s[4]), det),
-            "_b2": F.try_divide(det3(s[0], s[1], r[0], s[1], s[2], r[1], s[2], s[3], r[2]), det),
-        }
-    )
-    fits = F.coalesce(F.col("_b2") < 0, F.lit(False))
-    var_t = F.lit(-0.5) / F.col("_b2")
-    sigma = F.sqrt(var_t) * F.col("_span")
-    mu = F.col("_c") + F.col("_b1") * var_t * F.col("_span")
-    amp = F.exp(F.col("_b0") + F.col("_b1") * F.col("_b1") * var_t / 2)
-    var0 = F.col("_ss") / F.greatest(F.col("_sy"), F.lit(1.0))
-    sigma0 = F.when((F.col("_sy") > 0) & (var0 > 0), F.sqrt(var0)).when(
-        (F.col("_sy") <= 0) & (F.col("_sd") > 0), F.col("_sd")
-    ).otherwise(F.col("_span") / 6)
-    par = sums.select(
-        *by,
-        F.col("_k").alias("n_bins"),
-        F.when(fits, amp).otherwise(F.when(F.col("_sy") > 0, F.greatest("_top", F.lit(1e-9))).otherwise(F.lit(1.0))).alias("amplitude"),
-        F.when(fits, mu).otherwise(F.col("_mu0")).alias("mu"),
-        F.when(fits, sigma).otherwise(F.greatest(sigma0, F.lit(1e-9))).alias("sigma"),
-        fits.alias("converged"),
+def _total(rows: str, term: str) -> str:
+    return f"aggregate({rows}, 0.0D, (acc, e) -> acc + {term})"
+
+
+def _det3(*m: str) -> str:
+    a, b, c, d, e, f, g, h, i = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _parabola() -> str:
+    """SQL text: parameters and chi2 of the histogram array ``_h`` of (x, y)."""
+    sums = f"""named_struct('c', {_total("_h", "e.x")} / size(_h), 'sy', {_total("_h", "e.y")}, 'sxy', {_total("_h", "e.x * e.y")},
+        'top', array_max(_h.y), 'span', array_max(_h.x) - array_min(_h.x))"""
+    shape = f"""named_struct('c', a.c, 'sy', a.sy, 'top', a.top, 'span', a.span,
+        'sd', sqrt({_total("_h", "pow(e.x - a.c, 2D)")} / size(_h)), 'mu0', if(a.sy > 0, a.sxy / a.sy, a.c))"""
+    # centred and scaled abscissa, squared weight and log height of every bin
+    bins = """transform(_h, e -> named_struct('t', try_divide(e.x - m.c, m.span), 'w', greatest(e.y, 1.0D), 'l', ln(greatest(e.y, 1e-12D))))"""
+    power = {p: _total("q", f"e.w * pow(e.t, {p}D)") for p in range(5)}
+    mixed = {p: _total("q", f"e.w * pow(e.t, {p}D) * e.l") for p in range(3)}
+    normal = "named_struct(" + ", ".join(
+        [f"'s{p}', {t}" for p, t in power.items()] + [f"'l{p}', {t}" for p, t in mixed.items()]
+    ) + f""", 'ss', {_total("_h", "pow(e.x - m.mu0, 2D) * e.y")})"""
+    det = _det3("n.s0", "n.s1", "n.s2", "n.s1", "n.s2", "n.s3", "n.s2", "n.s3", "n.s4")
+    coef = [
+        _det3("n.l0", "n.s1", "n.s2", "n.l1", "n.s2", "n.s3", "n.l2", "n.s3", "n.s4"),
+        _det3("n.s0", "n.l0", "n.s2", "n.s1", "n.l1", "n.s3", "n.s2", "n.l2", "n.s4"),
+        _det3("n.s0", "n.s1", "n.l0", "n.s1", "n.s2", "n.l1", "n.s2", "n.s3", "n.l2"),
+    ]
+    solved = sql_let(det, "d", "named_struct(" + ", ".join(f"'b{i}', try_divide({c}, d)" for i, c in enumerate(coef)) + ")")
+    fitted = sql_let(
+        "-0.5D / b.b2",
+        "v",
+        "named_struct('amplitude', exp(b.b0 + b.b1 * b.b1 * v / 2D), 'mu', m.c + b.b1 * v * m.span, 'sigma', sqrt(v) * m.span, 'converged', true)",
     )
-    q = h.join(par, by, "inner")
-    resid = (y - gauss(x, F.col("amplitude"), F.col("mu"), F.col("sigma"))) / F.sqrt(F.greatest(y, F.lit(1.0)))
-    chi = q.withColumn("_r2", resid * resid).groupBy(*by, "n_bins", "amplitude", "mu", "sigma", "converged").agg(F.sum("_r2").alias("chi2"))
-    return chi.withColumn("chi2_red", F.col("chi2") / F.greatest(F.col("n_bins") - 3, F.lit(1))).drop("_all")
+    moments = """named_struct('amplitude', if(m.sy > 0, greatest(m.top, 1e-9D), 1.0D), 'mu', m.mu0,
+        'sigma', greatest(case when m.sy > 0 and n.ss > 0 then sqrt(n.ss / greatest(m.sy, 1.0D)) when m.sy <= 0 and m.sd > 0 then m.sd else m.span / 6D end, 1e-9D),
+        'converged', false)"""
+    parameters = sql_let(solved, "b", f"if(b.b2 < 0, {fitted}, {moments})")
+    inner = sql_let(sums, "a", sql_let(shape, "m", sql_let(bins, "q", sql_let(normal, "n", parameters))))
+    miss = "(e.y - p.amplitude * exp(-pow((e.x - p.mu) / p.sigma, 2D) / 2D))"
+    return sql_let(inner, "p", f"""named_struct('p', p, 'chi2', {_total("_h", f"{miss} * {miss} / greatest(e.y, 1.0D)")})""")

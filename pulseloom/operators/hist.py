@@ -58,7 +58,7 @@ def hist1d(
         .agg(amount.alias("n"))
     )
     if by:
-        grid = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("bin"))
+        grid = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
     else:
         grid = df.sparkSession.range(n).select(F.col("id").alias("bin"))
     return _with_edges(grid.join(counted, [*by, "bin"], "left").fillna(0, ["n"]), lo, width)

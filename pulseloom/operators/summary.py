@@ -15,7 +15,7 @@ PART_ROWS = 10_000
 
 def csum(cond: Column, value: Column) -> Column:
     """Conditional sum, 0.0 without rows."""
-    return F.sum(F.when(cond, value.cast("double")).otherwise(F.lit(0.0)))
+    return F.sum(F.when(cond, F.coalesce(value.cast("double"), F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
 def ccount(cond: Column) -> Column:
@@ -32,14 +32,13 @@ def event_summary(hits: DataFrame, key: str = "event_id") -> DataFrame:
 
     Expects charge, x, z, energy and the zone flags. A missing energy or position adds nothing.
     """
-    flag = {s: F.col(f"is_{s}") for s in ZONE_SUFFIXES}
-    w = F.col("charge").cast("double")
-    aggs = [cmean(flag["up"], F.col("z")).alias("z_up"), cmean(flag["dn"], F.col("z")).alias("z_dn")]
-    aggs += [csum(flag[s], w * F.col("x")).alias(f"Wx_{s}") for s in ZONE_SUFFIXES]
-    aggs += [ccount(flag[s]).alias(f"N_{s}") for s in ("al", "up", "dn")]
-    aggs += [csum(flag[s], w).alias(f"Q_{s}") for s in ZONE_SUFFIXES]
-    aggs += [csum(flag[s], F.col("energy")).alias(f"E_{s}") for s in ZONE_SUFFIXES]
-    return hits.groupBy(key).agg(*aggs)
+    mean = "try_divide(sum(if(is_{h}, cast(z as double), null)), cast(count_if(is_{h}) as double)) as z_{h}"
+    part = "sum(if(is_{z}, coalesce(cast({v} as double), 0.0D), 0.0D)) as {n}_{z}"
+    aggs = [mean.format(h=h) for h in ("up", "dn")]
+    for name, value in (("Wx", "charge * x"), ("Q", "charge"), ("E", "energy")):
+        aggs += [part.format(z=z, v=value, n=name) for z in ZONE_SUFFIXES]
+    aggs += [f"count_if(is_{z}) as N_{z}" for z in ("al", "up", "dn")]
+    return hits.groupBy(key).agg(*map(F.expr, aggs))
 
 
 def with_centroids(events: DataFrame) -> DataFrame:
