@@ -135,7 +135,7 @@ def follow(
         return pd.DataFrame([[*key, upto, out]], columns=[*keys, "upto", "out"])
 
     step_schema = T.StructType([*pre, T.StructField("upto", T.ArrayType(num_type)), T.StructField("out", T.ArrayType(num_type))])
-    steps = nodes.groupBy(*keys).cogroup(reach.groupBy(*keys)).applyInPandas(local, step_schema)
+    steps = nodes.groupBy(*keys).cogroup(reach.toDF(*reach.columns).groupBy(*keys)).applyInPandas(local, step_schema)
     steps = materialize(steps.withColumn("_group", F.floor(F.col("_zone") / F.lit(group_zones)).cast("bigint")))
 
     def as_zones(pdf: pd.DataFrame) -> list:
@@ -177,7 +177,7 @@ def follow(
         return got
 
     out_schema = T.StructType([*pre, T.StructField("_c", num_type), T.StructField("_l", num_type), T.StructField("step", T.LongType())])
-    on_chain = nodes.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(mark, out_schema)
+    on_chain = nodes.groupBy(*keys).cogroup(entries.toDF(*entries.columns).groupBy(*keys)).applyInPandas(mark, out_schema)
     return on_chain.withColumnsRenamed({"_c": c, "_l": limit, "_zone": "zone"})
 
 

@@ -134,19 +134,20 @@ def lag_by_position(
     ).drop("_seg")
 
 
-def carry_last(df: DataFrame, pos: str, value: str, name: str, *, width: int = BUCKET_ROWS) -> DataFrame:
-    """Last non-null ``value`` at or before the row in ``pos`` order (fill forward over the whole table)."""
+def carry_last(
+    df: DataFrame, pos: str, value: str, name: str, *, stream: Sequence[str] = (), width: int = BUCKET_ROWS
+) -> DataFrame:
+    """Last non-null ``value`` at or before the row in ``pos`` order (fill forward along every stream)."""
+    keys = [*stream, "_bucket"]
     rows = df.withColumn("_bucket", F.floor(F.col(pos) / F.lit(width)).cast("bigint"))
-    filled = F.col(value).isNotNull()
-    tails = rows.filter(filled).groupBy("_bucket").agg(F.max_by(value, pos).alias("_tail"))
-    buckets = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).join(tails, "_bucket", "left").select(
-        "_bucket",
-        F.last("_tail", ignorenulls=True).over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"),
+    over = W.partitionBy(*stream).orderBy("_bucket") if stream else W.orderBy("_bucket")
+    tails = rows.groupBy(*keys).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(pos))).alias("_tail")).select(
+        *keys, F.last("_tail", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
     )
-    upto = W.partitionBy("_bucket").orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         rows.withColumn("_in", F.last(value, ignorenulls=True).over(upto))
-        .join(buckets, "_bucket", "inner")
+        .join(tails, keys, "inner")
         .withColumn(name, F.coalesce("_in", "_carry"))
         .drop("_bucket", "_in", "_carry")
     )
