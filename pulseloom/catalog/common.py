@@ -54,9 +54,9 @@ FX_BYTES = """fx_bytes as (
   select p_partkey, concat(md5(p_name), md5(p_brand), substring(md5(p_type), 1, 16)) hex from part)"""
 
 FX_MAP = """fx_map as (
-  select cast(range // 32 as int) "sampaNo", cast(range % 32 as int) "sampaID", cast(range as int) "samidareID",
+  select cast(range // 32 as int) "chipNo", cast(range % 32 as int) "chipChannel", cast(range as int) "readoutID",
          case when range >= 120 then 'G' else cast((range * 7) % 120 as varchar) end gid from range(128)),
-  fx_map_gid as (select cast("samidareID" as bigint) map_id, coalesce(try_cast(gid as int), -1) tpc_id from fx_map)"""
+  fx_map_gid as (select cast("readoutID" as bigint) map_id, coalesce(try_cast(gid as int), -1) tpc_id from fx_map)"""
 
 # Pads: three rows of 20 triangles per half, the second half mirrored row by row.
 FX_PAD = """fx_row as (select cast(range as int) g, cast(range // 20 as int) r, cast(range % 20 as int) k from range(60)),

@@ -62,7 +62,7 @@ def channel_map(spark, d):
 def channel_map_legacy(spark, d):
     g = F.expr("try_cast(gid as int)")
     raw = fx.channel_map_rows(spark).select(
-        "samidareID",
+        "readoutID",
         F.coalesce((F.floor(g / 60) + 1).cast("string"), F.lit("GND")).alias("tpcID"),
         F.coalesce((g % 60 + 1).cast("string"), F.lit("GND")).alias("padID"),
     )

@@ -151,8 +151,8 @@ def pulse_t0(spark, d):
 
 @query(
     "pulse_features",
-    W + """select vec_id, chip * 32 + channel samidare_id, list_max(w) maxsample, list_sum(w)::double charge,
-      len(w) n_samples from fx_wave""".replace("samidare_id", "gch"),
+    W + """select vec_id, chip * 32 + channel gch, list_max(w) maxsample, list_sum(w)::double charge,
+      len(w) n_samples from fx_wave""",
 )
 def pulse_features(spark, d):
     return fx.waves(spark, d).select(

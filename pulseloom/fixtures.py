@@ -82,8 +82,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_map_rows(spark: SparkSession) -> DataFrame:
     """128 map rows as text, the form a CSV file gives; ids 120..127 are ground."""
     return spark.range(128).select(
-        F.expr("cast(id div 32 as int)").alias("sampaNo"),
-        F.expr("cast(id % 32 as int)").alias("sampaID"),
-        F.col("id").cast("int").alias("samidareID"),
+        F.expr("cast(id div 32 as int)").alias("chipNo"),
+        F.expr("cast(id % 32 as int)").alias("chipChannel"),
+        F.col("id").cast("int").alias("readoutID"),
         F.expr("case when id >= 120 then 'G' else cast((id * 7) % 120 as string) end").alias("gid"),
     )

@@ -13,7 +13,7 @@ PADS_PER_ROW = 20
 def channel_map(raw: DataFrame) -> DataFrame:
     """(map_id, tpc_id) from the text form of the map; ground ('G') and other bad ids become -1."""
     return raw.select(
-        F.col("samidareID").cast("bigint").alias("map_id"),
+        F.col("readoutID").cast("bigint").alias("map_id"),
         F.coalesce(F.expr("try_cast(gid as int)"), F.lit(-1)).alias("tpc_id"),
     )
 
@@ -21,7 +21,7 @@ def channel_map(raw: DataFrame) -> DataFrame:
 def channel_map_legacy(raw: DataFrame) -> DataFrame:
     """Older map form: rows whose tpcID or padID is no number are dropped; both are 1-based."""
     num = raw.select(
-        F.col("samidareID").cast("bigint").alias("map_id"),
+        F.col("readoutID").cast("bigint").alias("map_id"),
         F.expr("try_cast(tpcID as int)").alias("tpc"),
         F.expr("try_cast(padID as int)").alias("pad"),
     ).filter("tpc is not null and pad is not null")
