@@ -31,10 +31,11 @@ Y = with_views(FX_BYTES)
 
 def placed(spark, d):
     """Blocks with a dense position in stream order; every run (file) is one stretch of positions."""
-    keep = [*fx.BLOCK_ORDER, "chip", "sample_index", "error_level", "samples_value"]
-    b = with_position(fx.blocks(spark, d).select(*keep), fx.BLOCK_ORDER)
+    b = with_position(fx.blocks(spark, d).drop("samples_value"), fx.BLOCK_ORDER)
     return b.select(
-        "run", "pos", "chip", "sample_index", "error_level", "samples_value",
+        "run", "pos", "chip", "sample_index", "error_level",
+        # samples are derived after the ordering shuffle, which then carries only the order columns
+        F.expr(fx.SAMPLES).alias("samples_value"),
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 32).alias("timestamp"),
     )
 

@@ -12,6 +12,10 @@ BLOCK_ORDER = [
 ]
 
 
+# 32 ten-bit samples, one per channel.
+SAMPLES = "transform(sequence(0, 31), ch -> (l_partkey * 7 + ch * 31 + l_linenumber * 101) % 1024)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,9 +69,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(l_orderkey div 16) % 4").alias("chip"),
         F.col("l_linenumber").cast("bigint").alias("sample_index"),
         F.expr("l_suppkey % 32").alias("error_level"),
-        F.expr("transform(sequence(0, 31), ch -> (l_partkey * 7 + ch * 31 + l_linenumber * 101) % 1024)").alias(
-            "samples_value"
-        ),
+        F.expr(SAMPLES).alias("samples_value"),
     )
 
 

@@ -24,7 +24,7 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
 
     One range shuffle on the whole ordering key (so a frequent leading value spreads over many
     partitions as long as the key is total), then row numbers per partition plus a prefix sum over
-    one row per partition. The range-sorted rows are checkpointed, because the bounds of a range
+    one row per partition. The range-sorted rows are written to a table, because the bounds of a range
     shuffle come from a sample and a second evaluation could place rows differently.
     """
     spread = (

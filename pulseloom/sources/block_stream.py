@@ -223,7 +223,8 @@ class Framed:
         rest = []
         for i in idx[~plain]:
             c = int(self.c[i])
-            rest += self.blocks.get(c) or [(c // 8, int(self.end[i]), True, int(self.end[i]))]
+            end_i = int(self.end[i])
+            rest += self.blocks[c] if end_i < 0 else [(c // 8, end_i, True, end_i)]
         if rest:
             yield pa.RecordBatch.from_pylist([self._one(*b, file) for b in rest], schema=ARROW)
 
