@@ -58,7 +58,7 @@ def event_times(hits: DataFrame, time: str, per_unit_ns: float, key: str = "even
     rel = hits.join(first, key, "left").withColumn("_rel", F.col(time) - F.coalesce("_t0", F.lit(0)))
     half = lambda z: (F.avg(F.when(F.col(z), F.col("_rel").cast("double"))) * F.lit(per_unit_ns))
     return rel.groupBy(key).agg(
-        F.min("_t0").alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")
+        F.coalesce(F.min("_t0"), F.lit(0)).alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")
     )
 
 
