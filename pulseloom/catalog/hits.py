@@ -193,7 +193,7 @@ def q_event_summary(spark, d):
 
 @query(
     "event_hits",
-    H + """, t as (select event_id, tpc_id, x, t_us - min(t_us) over (partition by event_id) y, z, energy, pulse_no from fx_hit)
+    H + """, t as (select event_id, tpc_id, x, t_us y, z, energy, pulse_no from fx_hit)
       select event_id, cast(0 as bigint) part, array_to_string(list(tpc_id order by tpc_id, x, y, z, energy, pulse_no), ',') tpc_ids,
        array_to_string(list(cast(round(x * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') xs,
        array_to_string(list(y order by tpc_id, x, y, z, energy, pulse_no), ',') ys,
@@ -201,9 +201,7 @@ def q_event_summary(spark, d):
        array_to_string(list(cast(round(energy * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') energies from t group by event_id""",
 )
 def event_hits(spark, d):
-    h = hits(spark, d).select("event_id", "tpc_id", "x", "t_us", "z", "energy", "pulse_no")
-    first = h.groupBy("event_id").agg(F.min("t_us").alias("t0"))
-    h = h.join(first, "event_id").withColumn("y", F.col("t_us") - F.col("t0"))
+    h = hits(spark, d).select("event_id", "tpc_id", "x", F.col("t_us").alias("y"), "z", "energy", "pulse_no")
     parts = ordered_parts(h, ["event_id"], ["tpc_id", "x", "y", "z", "energy", "pulse_no"], ["tpc_id", "x", "y", "z", "energy"])
     return parts.select(
         "event_id",

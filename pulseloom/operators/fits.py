@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,12 +135,14 @@ def gauss_fit(
     *,
     fit_range: tuple[float, float] | None = None,
     mode: str = "compat",
+    method: str = "parabola",
 ) -> DataFrame:
     """Gaussian amplitude, mu and sigma of a histogram per group by a weighted parabola in log space.
 
     ``mode='compat'`` lets empty bins enter as log(1e-12) with weight 1; ``mode='positive'`` leaves them out.
     Where the parabola does not open downwards, the moments of the histogram are returned. Fewer than three
-    usable bins give no row.
+    usable bins give no row. ``method='least_squares'`` instead minimises chi2 with the Poisson weights of the bins,
+    starting from the moments, and falls back to the parabola where that fails.
     """
     by = list(by)
     h = hist.select(*by, F.col(center).cast("double").alias("x"), F.col(count).cast("double").alias("y"))
@@ -150,17 +155,71 @@ def gauss_fit(
     # a histogram has a set number of bins, so one array per group is bounded; the source is read once
     g = h.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_h")).filter(F.size("_h") >= 3)
 
-    fit = g.select(*by, F.size("_h").cast("bigint").alias("n_bins"), F.expr(_parabola()).alias("_f"))
-    return fit.selectExpr(
-        *by,
-        "n_bins",
-        "_f.p.amplitude",
-        "_f.p.mu",
-        "_f.p.sigma",
-        "_f.p.converged",
-        "_f.chi2",
-        "_f.chi2 / greatest(n_bins - 3, 1) as chi2_red",
-    )
+    fit = g.select(*by, "_h", F.size("_h").cast("bigint").alias("n_bins"), F.expr(_parabola()).alias("_f"))
+    flat = fit.selectExpr(*by, "_h", "n_bins", "_f.p.amplitude", "_f.p.mu", "_f.p.sigma", "_f.p.converged", "_f.chi2")
+    if method == "least_squares":
+        flat = flat.mapInPandas(_refine, flat.schema)
+    elif method != "parabola":
+        raise ValueError(f"method: {method}")
+    return flat.drop("_h").withColumn("chi2_red", F.expr("chi2 / greatest(n_bins - 3, 1)"))
+
+
+def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replace the parameters of every histogram by the weighted least-squares ones where these are found."""
+    for pdf in batches:
+        pdf = pdf.copy()
+        for i, bins in zip(pdf.index, pdf["_h"]):
+            x = np.array([b["x"] for b in bins])
+            y = np.array([b["y"] for b in bins])
+            best = least_squares_gauss(x, y)
+            if best is not None:
+                pdf.loc[i, ["amplitude", "mu", "sigma", "chi2"]] = best
+                pdf.loc[i, "converged"] = True
+        yield pdf
+
+
+def least_squares_gauss(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float, float, float] | None:
+    """Damped Gauss-Newton on (A, mu, sigma) of one histogram; errors sqrt(max(y, 1)); None without convergence.
+
+    A stays >= 0, sigma > 0 and mu within ten spans of the bins.
+    """
+    total, span = y.sum(), np.ptp(x)
+    if total <= 0 or span <= 0:
+        return None
+    mu = (x * y).sum() / total
+    spread = math.sqrt(((x - mu) ** 2 * y).sum() / total)
+    p = np.array([y.max(), mu, spread if spread > 0 else span / 6])
+    low = np.array([0.0, x.min() - 10 * span, 1e-9])
+    high = np.array([np.inf, x.max() + 10 * span, np.inf])
+    err = np.sqrt(np.maximum(y, 1.0))
+
+    def cost(q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        t = (x - q[1]) / q[2]
+        g = np.exp(-t * t / 2)
+        slope = np.stack([g, q[0] * g * t / q[2], q[0] * g * t * t / q[2]], axis=1) / err[:, None]
+        miss = (y - q[0] * g) / err
+        return float(miss @ miss), miss, slope
+
+    chi2, miss, slope = cost(p)
+    damp = 1e-3
+    for _ in range(steps):
+        normal, pull = slope.T @ slope, slope.T @ miss
+        try:
+            move = np.linalg.solve(normal + damp * np.diag(np.maximum(np.diag(normal), 1e-300)), pull)
+        except np.linalg.LinAlgError:
+            return None
+        q = np.clip(p + move, low, high)
+        new, miss_q, slope_q = cost(q)
+        if new <= chi2:
+            done = chi2 - new <= 1e-12 * max(chi2, 1e-12) and np.all(np.abs(q - p) <= 1e-9 * (np.abs(p) + 1e-9))
+            p, chi2, miss, slope, damp = q, new, miss_q, slope_q, max(damp / 10, 1e-12)
+            if done or chi2 == 0:
+                return float(p[0]), float(p[1]), float(p[2]), chi2
+        else:
+            damp *= 10
+            if damp > 1e12:
+                return float(p[0]), float(p[1]), float(p[2]), chi2
+    return None
 
 
 def _total(rows: str, term: str) -> str:

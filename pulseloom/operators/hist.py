@@ -50,18 +50,13 @@ def hist1d(
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     amount = F.count(F.lit(1)) if weight is None else F.sum(F.col("_w"))
     rows = df.select(*by, x.alias("_x"), *([] if weight is None else [(F.col(weight) if isinstance(weight, str) else weight).alias("_w")]))
-    counted = (
-        rows.filter(finite(F.col("_x")))
-        .withColumn("bin", uniform_bin(F.col("_x"), lo, width, n, hi))
-        .filter(F.col("bin").isNotNull())
-        .groupBy(*by, "bin")
-        .agg(amount.alias("n"))
-    )
-    if by:
-        grid = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
-    else:
-        grid = df.sparkSession.range(n).select(F.col("id").alias("bin"))
-    return _with_edges(grid.join(counted, [*by, "bin"], "left").fillna(0, ["n"]), lo, width)
+    counted = rows.withColumn("bin", F.when(finite(F.col("_x")), uniform_bin(F.col("_x"), lo, width, n, hi))).groupBy(*by, "bin").agg(amount.alias("n"))
+    # at most n + 1 rows per group from here: one row per group with its bins, then the full set of bins
+    entries = F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))
+    per_group = counted.groupBy(*by).agg(F.map_from_entries(entries).alias("_bins"))
+    zero = F.lit(0).cast(counted.schema["n"].dataType)
+    full = per_group.select(*by, "_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
+    return _with_edges(full.select(*by, "bin", F.coalesce(F.try_element_at("_bins", F.col("bin")), zero).alias("n")), lo, width)
 
 
 def _with_edges(h: DataFrame, lo, width) -> DataFrame:

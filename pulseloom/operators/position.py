@@ -171,11 +171,17 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, payload: str, to
     return rows.select("_row.*", F.col("_best._id").alias("match"), F.col("_best._k").alias("match_key"))
 
 
-def number_within(df: DataFrame, key: Sequence[str], pos: str, name: str) -> DataFrame:
+def number_within(df: DataFrame, key: Sequence[str], pos: str, name: str, *, width: int = BUCKET_ROWS) -> DataFrame:
     """0-based rank inside a key when ``pos`` is dense and each key is one contiguous stretch.
 
-    The first position per key is an aggregate with map-side combine, so a key that holds a large share
-    of the rows costs no more than the others.
+    The stretch of a key is found like any other segment, so a key that holds a large share of the rows is spread over
+    as many tasks as it fills buckets; a join or window on the key would put it into one.
     """
-    first = df.groupBy(*key).agg(F.min(pos).alias("_from"))
-    return df.join(first, list(key), "inner").withColumn(name, F.col(pos) - F.col("_from")).drop("_from")
+    def changes(p: Column, c: Column) -> Column:
+        test = F.lit(False)
+        for k in key:
+            test = test | ~p[k].eqNullSafe(c[k])
+        return test
+
+    marked = mark_segments(df, pos, changes, list(key), width=width, start_name="_from")
+    return marked.withColumn(name, F.col(pos) - F.col("_from")).drop("_from")

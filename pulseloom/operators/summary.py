@@ -49,16 +49,17 @@ def with_centroids(events: DataFrame) -> DataFrame:
     )
 
 
-def event_times(hits: DataFrame, time: str, per_unit_ns: float, key: str = "event_id") -> DataFrame:
+def event_times(hits: DataFrame, time: str, per_unit_ns: float, key: str = "event_id", near: str | None = "event_start") -> DataFrame:
     """Mean hit time of each half relative to the first hit of the event, in ns.
 
-    The first time is a (combining) aggregate of its own; offsets from it are small, so the sums are exact.
+    ``near`` is a column with one value per event close to its times (the event start): sums run over small offsets from
+    it, so one combining aggregate is exact enough and no second pass over the rows is needed. None means offsets from 0.
     """
-    first = hits.groupBy(key).agg(F.min(time).alias("_t0"))
-    rel = hits.join(first, key, "left").withColumn("_rel", F.col(time) - F.coalesce("_t0", F.lit(0)))
-    half = lambda z: (F.avg(F.when(F.col(z), F.col("_rel").cast("double"))) * F.lit(per_unit_ns))
-    return rel.groupBy(key).agg(
-        F.coalesce(F.min("_t0"), F.lit(0)).alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")
+    base = F.coalesce(F.col(near), F.lit(0)) if near else F.lit(0)
+    rel = (F.col(time) - base).cast("double")
+    half = lambda z: (F.avg(F.when(F.col(z), rel)) - F.min(rel)) * F.lit(per_unit_ns)
+    return hits.groupBy(key).agg(
+        F.coalesce(F.min(time), F.lit(0)).alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")
     )
 
 

@@ -27,7 +27,7 @@ def build_hits(pulses: DataFrame, mapping: DataFrame, time: str, gap: float, key
     The event id comes from all pulses, also those outside the pads.
     """
     spark: SparkSession = pulses.sparkSession
-    events = gap_events(pulses, time, gap)
+    events = gap_events(pulses, time, gap, with_start=True)
     hits = join_pads(mapped(events, mapping, key), pad_geometry(spark))
     return with_zones(hits.withColumn("w", F.col("charge").cast("double"))).filter("is_al")
 

@@ -327,6 +327,31 @@ def test_gauss_fit(spark, mode):
         assert abs(r["mu"] - 1.2) < 0.05 and abs(r["sigma"] - 0.8) < 0.05
 
 
+def test_gauss_fit_least_squares(spark):
+    rng = np.random.default_rng(11)
+    x = np.linspace(0, 100, 51)
+    rows, truth = [], {"a": (400, 47.0, 9.0), "b": (60, 70.0, 5.0)}
+    for g, (amp, mu, sigma) in truth.items():
+        rows += [(g, float(p), float(rng.poisson(amp * math.exp(-((p - mu) ** 2) / (2 * sigma**2))))) for p in x]
+    df = spark.createDataFrame(rows, "g string, center double, n double")
+    fits = {r["g"]: r for r in gauss_fit(df, by=["g"], method="least_squares").collect()}
+    rough = {r["g"]: r for r in gauss_fit(df, by=["g"]).collect()}
+    for g, (amp, mu, sigma) in truth.items():
+        r = fits[g]
+        assert abs(r["mu"] - mu) < 1 and abs(r["sigma"] - sigma) < 1 and abs(r["amplitude"] - amp) < 0.1 * amp
+        assert r["chi2"] <= rough[g]["chi2"] and r["n_bins"] == 51
+        # no small step in any direction lowers chi2
+        y = np.array([n for k, _, n in rows if k == g])
+        best = np.array([r["amplitude"], r["mu"], r["sigma"]])
+        chi2 = lambda q: (((y - q[0] * np.exp(-((x - q[1]) ** 2) / (2 * q[2] ** 2))) ** 2) / np.maximum(y, 1)).sum()
+        assert math.isclose(chi2(best), r["chi2"])
+        for k in range(3):
+            for step in (-1e-3, 1e-3):
+                q = best.copy()
+                q[k] *= 1 + step
+                assert chi2(q) >= r["chi2"]
+
+
 def test_gauss_fit_without_peak_gives_moments(spark):
     df = spark.createDataFrame([(0.0, 9.0), (1.0, 1.0), (2.0, 9.0)], "center double, n double")
     r = gauss_fit(df).first()
@@ -346,5 +371,5 @@ def test_pads(spark):
 
 def test_event_times_with_null_time(spark):
     df = spark.createDataFrame([(1, 5, True, False), (1, None, True, False), (1, 9, False, True), (2, None, True, False)], "event_id int, t bigint, is_up boolean, is_dn boolean")
-    got = {r["event_id"]: (r["y_offset"], r["y_up_ns"], r["y_dn_ns"]) for r in event_times(df, "t", 10.0).collect()}
+    got = {r["event_id"]: (r["y_offset"], r["y_up_ns"], r["y_dn_ns"]) for r in event_times(df, "t", 10.0, near=None).collect()}
     assert got == {1: (5, 0.0, 40.0), 2: (0, None, None)}
