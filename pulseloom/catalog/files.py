@@ -28,9 +28,9 @@ def query(key: str, sql: str | None = None):
 
 def encoded(spark, d, gap: bytes = b"") -> str:
     """Byte streams of all blocks of the block view, below a new scratch folder."""
-    b = fx.blocks(spark, d).withColumn("timestamp", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 32)
+    b = fx.blocks(spark, d).drop("samples_value").withColumn("timestamp", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 32)
     path = scratch_path(spark, "blocks")
-    write_blocks(b, path, "run", fx.BLOCK_ORDER[1:], gap=gap)
+    write_blocks(b, path, "run", fx.BLOCK_ORDER[1:], samples=fx.SAMPLES, gap=gap)
     return path
 
 

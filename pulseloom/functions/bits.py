@@ -123,19 +123,17 @@ def hex_words(b: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.hex(b)), "(.{4})", "$1 "))
 
 
-def pack10(samples: Column) -> Column:
-    """Hex text of 10-bit samples, four to five bytes; the number of samples is a multiple of four."""
-    groups = F.sequence(F.lit(0), F.size(samples) - 4, F.lit(4))
+def pack10(samples: str, n: int = CHANNELS) -> Column:
+    """Hex text of ``n`` (a multiple of four) 10-bit samples; written out per group, so it stays inside generated code."""
+    at = lambda i: f"cast({samples}[{i}] as bigint)"
+    words = [
+        f"lpad(hex((shiftleft({at(i)}, 30) | shiftleft({at(i + 1)}, 20)) | (shiftleft({at(i + 2)}, 10) | {at(i + 3)})), 10, '0')"
+        for i in range(0, n, 4)
+    ]
+    return F.expr(f"concat({', '.join(words)})")
 
-    def five(i: Column) -> Column:
-        s = [F.get(samples, i + k).cast("bigint") for k in range(4)]
-        word = F.shiftleft(s[0], 30).bitwiseOR(F.shiftleft(s[1], 20)).bitwiseOR(F.shiftleft(s[2], 10)).bitwiseOR(s[3])
-        return F.lpad(F.hex(word), 10, "0")
 
-    return F.array_join(F.transform(groups, five), "")
-
-
-def encode_block(chip: Column, index: Column, ticks: Column, samples: Column) -> Column:
+def encode_block(chip: Column, index: Column, ticks: Column, samples: str) -> Column:
     """The 60 bytes of one block."""
     h = lambda v, n: F.lpad(F.hex(v), n, "0")
     part = lambda k: h(F.shiftright(ticks, k).bitwiseAND(F.lit(65535)), 4)

@@ -95,7 +95,7 @@ def gap_events(
     return rows.join(slots, [*stream, "_slot"], "left").drop("_slot")
 
 
-ANCHOR_ZONE = 64
+ANCHOR_ZONE = 256
 
 
 def anchor_times(

@@ -40,6 +40,8 @@ ARROW = pa.schema(
 )
 WINDOW = 58  # bytes behind the header in which the footer must be complete
 AHEAD = 1 << 16
+ENTRY_BYTES = 1 << 12  # where the search is expected to enter a range, counted from its start
+UNRESOLVED = 1 << 62  # behind every position of a file
 RANGES_PER_GROUP = 1024
 
 
@@ -377,17 +379,45 @@ def read_blocks(
         src = Bytes(row["file"], row["start"], stop, row["length"])
         return src, kind(src, row["start"], stop, fmt)
 
+    # an explicit number of tasks: the rows are tiny, and adaptive execution would put them all into one
+    spread = ranges.repartition(tasks, "file", "start")
+    window = ENTRY_BYTES
+    while True:
+        known = materialize(_entries(spread, load, window, range_bytes))
+        if window >= range_bytes or known.filter(F.col("entry") == UNRESOLVED).isEmpty():
+            break
+        window *= 64  # a search has entered some range further inside: take more of every range into account
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                src, zone = load(row)
+                yield from zone.decode(visited(zone.c, zone.limit, row["entry"]), row["file"])
+                src.close()
+
+    return known.repartition(tasks, "file", "start").mapInArrow(decode, BLOCKS)
+
+
+def entry_map(zone: Framed | Fixed, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step function for limits up to ``reach``; larger ones that fall inside the range lead to UNRESOLVED."""
+    upto, out = step_function(zone.c, zone.limit, reach)
+    if upto[-1] < zone.c[-1]:
+        upto, out = np.append(upto, zone.c[-1]), np.append(out, UNRESOLVED)
+    return upto, out
+
+
+def _entries(spread: DataFrame, load, window: int, range_bytes: int) -> DataFrame:
+    """(file, length, start, entry) of every range with headers: the limit with which the search enters it."""
+
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 src, zone = load(row)
                 src.close()
                 if len(zone.c):
-                    upto, out = step_function(zone.c, zone.limit, zone.c[-1])
+                    upto, out = entry_map(zone, (row["start"] + window) * 8)
                     yield pa.RecordBatch.from_pylist([{**row, "upto": upto.tolist(), "out": out.tolist()}])
 
-    # an explicit number of tasks: the rows are tiny, and adaptive execution would put them all into one
-    spread = ranges.repartition(tasks, "file", "start")
     step = "file string, length bigint, start bigint, upto array<bigint>, out array<bigint>"
     steps = materialize(spread.mapInArrow(maps, step).withColumn("_group", F.floor(F.col("start") / F.lit(range_bytes * RANGES_PER_GROUP)).cast("bigint")))
 
@@ -411,28 +441,24 @@ def read_blocks(
 
     groups = steps.groupBy("file", "_group").applyInPandas(grouped, "file string, _group bigint, upto array<bigint>, out array<bigint>")
     leads = groups.groupBy("file").applyInPandas(entries("_group", ["file", "_group"]), "file string, _group bigint, entry bigint")
-    known = steps.join(leads, ["file", "_group"]).groupBy("file", "_group").applyInPandas(
+    return steps.join(leads, ["file", "_group"]).groupBy("file", "_group").applyInPandas(
         entries("start", ["file", "length", "start"]), "file string, length bigint, start bigint, entry bigint"
     )
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                src, zone = load(row)
-                yield from zone.decode(visited(zone.c, zone.limit, row["entry"]), row["file"])
-                src.close()
-
-    return known.repartition(tasks, "file", "start").mapInArrow(decode, BLOCKS)
 
+def write_blocks(
+    blocks: DataFrame, folder: str, stream: str, order: list[str | Column], *, samples: str = "samples_value", gap: bytes = b"", tail: bytes = b"\0" * 4
+) -> DataFrame:
+    """Write blocks (chip, sample_index, timestamp and ``samples``) as byte streams, one or more files per stream.
 
-def write_blocks(blocks: DataFrame, folder: str, stream: str, order: list[str | Column], *, gap: bytes = b"", tail: bytes = b"\0" * 4) -> DataFrame:
-    """Write blocks (chip, sample_index, timestamp, samples_value) as byte streams, one or more files per stream.
+    ``samples`` is a column or an SQL expression; an expression is evaluated behind the ordering shuffle.
 
     Returns the written files. Rows are range-partitioned by (stream, order), so a long stream is spread over several
     tasks, each with its own file; a repeated task writes the same file again.
     """
-    body = encode_block(F.col("chip"), F.col("sample_index"), F.col("timestamp"), F.col("samples_value"))
-    rows = blocks.repartitionByRange(stream, *order).sortWithinPartitions(stream, *order).select(F.col(stream).cast("string").alias("s"), body.alias("b"))
+    body = encode_block(F.col("chip"), F.col("sample_index"), F.col("timestamp"), "_v")
+    placed = blocks.repartitionByRange(stream, *order).sortWithinPartitions(stream, *order).withColumn("_v", F.expr(samples))
+    rows = placed.select(F.col(stream).cast("string").alias("s"), body.alias("b"))
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

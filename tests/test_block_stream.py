@@ -7,8 +7,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from pulseloom.operators.chain import compose, run_through, step_function, visited
-from pulseloom.sources.block_stream import Bytes, Fixed, Format, Framed, read_blocks
+from pulseloom.operators.chain import compose, run_through, visited
+from pulseloom.sources.block_stream import UNRESOLVED, Bytes, Fixed, Format, Framed, entry_map, read_blocks
 
 
 def block(chip, index, ticks, samples):
@@ -22,7 +22,7 @@ def some_blocks(rng, n):
     return [(rng.randrange(4), i % 64, rng.randrange(1 << 31), [rng.randrange(1024) for _ in range(32)]) for i in range(n)]
 
 
-def scan(path, fmt, range_bytes, group=3):
+def scan(path, fmt, range_bytes, group=3, window=16):
     """The two passes of the scan over byte ranges, without Spark."""
     length = Path(path).stat().st_size
     if fmt.max_bytes is not None:
@@ -33,15 +33,19 @@ def scan(path, fmt, range_bytes, group=3):
         stop = min(start + range_bytes, length)
         z = kind(Bytes(str(path), start, stop, length), start, stop, fmt)
         if len(z.c):
-            zones.append((z, step_function(z.c, z.limit, z.c[-1])))
+            zones.append((z, entry_map(z, (start + window) * 8)))
     packs = [zones[i : i + group] for i in range(0, len(zones), group)]
     leads, _ = run_through([compose([m for _, m in p]) for p in packs], None)
-    rows = []
+    entries = []
     for pack, lead in zip(packs, leads):
         at, _ = run_through([m for _, m in pack], lead)
-        for (z, _), x in zip(pack, at):
-            for batch in z.decode(visited(z.c, z.limit, x), "f"):
-                rows += batch.to_pylist()
+        entries += [(z, x) for (z, _), x in zip(pack, at)]
+    if any(x == UNRESOLVED for _, x in entries):
+        return scan(path, fmt, range_bytes, group, window * 64)
+    rows = []
+    for z, x in entries:
+        for batch in z.decode(visited(z.c, z.limit, x), "f"):
+            rows += batch.to_pylist()
     return sorted(rows, key=lambda r: r["offset"])
 
 
