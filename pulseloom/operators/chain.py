@@ -103,6 +103,7 @@ def follow(
     width: float,
     *,
     stream: Sequence[str] = (),
+    max_step: float | None = None,
     group_zones: int = GROUP_ZONES,
 ) -> DataFrame:
     """The elements on the greedy chain of every stream.
@@ -110,6 +111,7 @@ def follow(
     ``nodes`` has one row per distinct coordinate ``c`` and its ``limit`` (>= c, same type). Returns
     (stream.., c, limit, zone, step) with ``step`` counting the chain elements inside a zone from 0. A zone covers
     ``width`` units of the coordinate, so with integer coordinates it never has more than ``width`` elements.
+    ``max_step`` is a bound of limit - c where one is known; otherwise the largest limit of earlier zones is looked up.
     """
     stream = list(stream)
     keys = [*stream, "_zone"]
@@ -117,25 +119,32 @@ def follow(
         *stream, F.col(c).alias("_c"), F.col(limit).alias("_l"), F.floor(F.col(c) / F.lit(width)).cast("bigint").alias("_zone")
     )
     over = W.partitionBy(*stream).orderBy("_zone") if stream else W.orderBy("_zone")
-    reach = nodes.groupBy(*keys).agg(F.max("_l").alias("_m")).select(
-        *keys, F.max("_m").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_reach")
-    )
     pre = [T.StructField(f.name, f.dataType) for f in nodes.schema if f.name in keys]
     # explicit order: keys first
     pre = [next(f for f in pre if f.name == k) for k in keys]
     num_type = nodes.schema["_c"].dataType
     nk = len(keys)
 
-    def local(key: tuple, zone: pd.DataFrame, bound: pd.DataFrame) -> pd.DataFrame:
+    def step_of(key: tuple, zone: pd.DataFrame, top) -> pd.DataFrame:
         zone = zone.sort_values("_c")
         a, b = zone["_c"].to_numpy(), zone["_l"].to_numpy()
-        top = bound["_reach"].iloc[0] if len(bound) else None
-        top = a[0] if top is None or pd.isna(top) else type(a[0])(top)
-        upto, out = step_function(a, b, top)
+        upto, out = step_function(a, b, a[0] if top is None or pd.isna(top) else top)
         return pd.DataFrame([[*key, upto, out]], columns=[*keys, "upto", "out"])
 
+    def bounded(key: tuple, zone: pd.DataFrame) -> pd.DataFrame:
+        return step_of(key, zone, key[-1] * width + max_step)
+
+    def looked_up(key: tuple, zone: pd.DataFrame, bound: pd.DataFrame) -> pd.DataFrame:
+        return step_of(key, zone, bound["_reach"].iloc[0] if len(bound) else None)
+
     step_schema = T.StructType([*pre, T.StructField("upto", T.ArrayType(num_type)), T.StructField("out", T.ArrayType(num_type))])
-    steps = nodes.groupBy(*keys).cogroup(reach.toDF(*reach.columns).groupBy(*keys)).applyInPandas(local, step_schema)
+    if max_step is not None:
+        steps = nodes.groupBy(*keys).applyInPandas(bounded, step_schema)
+    else:
+        reach = nodes.groupBy(*keys).agg(F.max("_l").alias("_m")).select(
+            *keys, F.max("_m").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_reach")
+        )
+        steps = nodes.groupBy(*keys).cogroup(reach.toDF(*reach.columns).groupBy(*keys)).applyInPandas(looked_up, step_schema)
     steps = materialize(steps.withColumn("_group", F.floor(F.col("_zone") / F.lit(group_zones)).cast("bigint")))
 
     def as_zones(pdf: pd.DataFrame) -> list:

@@ -111,7 +111,7 @@ def anchor_times(
     num = df.schema[time].dataType
     times = df.filter(F.col(time).isNotNull()).groupBy(*stream, time).agg(F.lit(1).alias("_one")).drop("_one")
     nodes = times.withColumn("_limit", (F.col(time) + F.lit(threshold)).cast(num))
-    chain = follow(nodes, time, "_limit", threshold * zone_thresholds, stream=stream)
+    chain = follow(nodes, time, "_limit", threshold * zone_thresholds, stream=stream, max_step=threshold)
     anchors = materialize(numbered(chain, stream, "event_id").select(*stream, F.col(time).alias("event_start"), "event_id"))
     # distinct times and anchors meet inside zones of the same bounded width; the last anchor of earlier zones is carried
     zone = lambda c: F.floor(F.col(c) / F.lit(threshold * zone_thresholds)).cast("bigint")
