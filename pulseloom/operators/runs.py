@@ -15,6 +15,7 @@ from pulseloom.functions.bits import unpack_flags
 from pulseloom.functions.waveform import transpose
 from pulseloom.operators.chain import follow
 from pulseloom.operators.position import BUCKET_ROWS, carry_last, mark_segments
+from pulseloom.session import materialize
 
 NEVER = (1 << 62) - 1
 
@@ -128,17 +129,18 @@ def complete_frames(
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in pre], T.StructField("_pos", T.LongType()), T.StructField("_end", T.LongType())])
 
     def ends(key: tuple, rows: pd.DataFrame, behind: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos", ascending=False)
-        nxt = np.array(behind["_next"].iloc[0], dtype=np.int64)
-        end = np.empty(len(rows), dtype=np.int64)
-        for n, (p, i) in enumerate(zip(rows["_pos"].to_numpy(), rows["_i"].to_numpy())):
-            nxt[i] = p
-            end[n] = nxt.max()
+        rows = rows.sort_values("_pos")
+        at, index = rows["_pos"].to_numpy(), rows["_i"].to_numpy()
+        end = at.copy()
+        for i, later_at in enumerate(behind["_next"].iloc[0]):
+            own = np.append(at[index == i], later_at)
+            end = np.maximum(end, own[np.searchsorted(own[:-1], at)])
         got = rows[keys].copy()
-        got["_pos"], got["_end"] = rows["_pos"].to_numpy(), end
+        got["_pos"], got["_end"] = at, end
         return got
 
-    nodes = slim.groupBy(*keys).cogroup(ahead.toDF(*ahead.columns).groupBy(*keys)).applyInPandas(ends, schema).drop("_zone")
+    # three steps of the chain read the nodes, which are two numbers per block
+    nodes = materialize(slim.groupBy(*keys).cogroup(ahead.toDF(*ahead.columns).groupBy(*keys)).applyInPandas(ends, schema).drop("_zone"))
     frames = follow(nodes, "_pos", "_end", zone, stream=stream).filter(F.col("_end") < NEVER)
     frames = frames.select(*stream, F.col("_pos").alias(pos), F.struct(F.col("_pos").alias("start"), F.col("_end").alias("end")).alias("_frame"))
     tagged = used.drop("_zone").join(frames, [*stream, pos], "left")
