@@ -62,10 +62,10 @@ def window_of(w: Column, start: Column, end: Column) -> Column:
 
 
 def indices_where(w: Column, test) -> Column:
-    """0-based positions of the samples that pass ``test``."""
+    """0-based positions of the samples that pass ``test``; one lambda call per sample."""
     w = _c(w)
-    found = F.filter(F.transform(w, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    return found.cast("array<int>")
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: test(F.get(w, i)))
+    return F.when(F.size(w) > 0, at).otherwise(F.array().cast("array<int>"))
 
 
 # ---------------------------------------------------------------- baselines
@@ -351,6 +351,7 @@ def within_range(a: Column, lo: float, hi: float, *, inclusive: str = "both", ab
     return F.filter(_c(a), lambda x: in_range(size(x), lo, hi, inclusive))
 
 
+@bound
 def within_range_indices(a: Column, lo: float, hi: float, *, inclusive: str = "both", absolute: bool = False) -> Column:
     size = F.abs if absolute else (lambda x: x)
     return indices_where(a, lambda x: in_range(size(x), lo, hi, inclusive))
