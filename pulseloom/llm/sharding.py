@@ -134,7 +134,7 @@ def _sql(n_shards: int = 40, seed: int = 20) -> str:
         steps.append(f"y{i} as (select *, ({inp} * {m1} + {k}) % {p} y from h{i})")
         steps.append(f"z{i} as (select * exclude (y), ((y * y) % {p} * {m2} + {k}) % {p} z from y{i})")
         steps.append(f"h{i + 1} as (select * replace (({out} + {f.format(p=p)}) % {mod} as {out}) from z{i})".replace("select * replace", "select * exclude (z) replace"))
-    one = ", ".join(steps) + f" select * exclude (x, l, r), l + r * a x from h{ROUNDS}"
+    one = ", ".join(steps) + f' select n, a, b, "row", l + r * a x, step from h{ROUNDS}'
     return f"""with recursive size as (select count(*) n from documents),
   sides as (select n, greatest(1, cast(ceil(sqrt(n::double)) as bigint)) a from size),
   dom as (select n, a, greatest(1, (n + a - 1) // a) b from sides),
