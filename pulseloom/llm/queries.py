@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import chat, licenses, quality, sharding, urls
+from pulseloom.llm import bpe, chat, licenses, pii, quality, sharding, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_urls": urls.op2_urls,
+    "op3_bpe": bpe.op3_bpe,
     "op5_sharding": sharding.op5_sharding,
+    "op7_pii": pii.op7_pii,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
 }
 
+# The others are held against brute force in the tests: no SQL can fit trees, merge tokens or hash as Spark does.
 ORACLE = {
     "op1_licenses": licenses.SQL,
     "op2_urls": urls.SQL,
