@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import bpe, chat, licenses, pii, quality, sharding, urls
+from pulseloom.llm import bpe, chat, licenses, minhash, pii, quality, sharding, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_urls": urls.op2_urls,
     "op3_bpe": bpe.op3_bpe,
     "op5_sharding": sharding.op5_sharding,
+    "op6_minhash": minhash.op6_minhash,
     "op7_pii": pii.op7_pii,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
@@ -19,5 +20,6 @@ ORACLE = {
     "op1_licenses": licenses.SQL,
     "op2_urls": urls.SQL,
     "op5_sharding": sharding.SQL,
+    "op6_minhash": minhash.SQL,
     "op9_chat": chat.SQL,
 }
