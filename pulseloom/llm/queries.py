@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import bpe, chat, licenses, minhash, pii, quality, sharding, urls
+from pulseloom.llm import bpe, chat, licenses, minhash, pii, quality, repeats, sharding, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash": minhash.op6_minhash,
     "op7_pii": pii.op7_pii,
+    "op8_repeats": repeats.op8_repeats,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
 }
@@ -21,5 +22,6 @@ ORACLE = {
     "op2_urls": urls.SQL,
     "op5_sharding": sharding.SQL,
     "op6_minhash": minhash.SQL,
+    "op8_repeats": repeats.SQL,
     "op9_chat": chat.SQL,
 }
