@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import bpe, chat, licenses, minhash, pii, quality, repeats, sharding, urls
+from pulseloom.llm import bpe, chat, decontam, licenses, minhash, pii, quality, repeats, sharding, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_urls": urls.op2_urls,
     "op3_bpe": bpe.op3_bpe,
+    "op4_decontamination": decontam.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash": minhash.op6_minhash,
     "op7_pii": pii.op7_pii,

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+IS_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])  # space, controls and ASCII punctuation
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -51,13 +52,13 @@ class Family:
 class Words:
     """Where the words of each text are: byte ranges over the joined bytes, and ``first`` word number per text."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separators: np.ndarray = IS_SPACE):
         column = pc.fill_null(column, "").cast(pa.large_string())
         _, offsets, data = column.buffers()
         at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.raw, self.at = raw[at[0] : at[-1]], at - at[0]
-        inside = ~IS_SPACE[self.raw]
+        inside = ~separators[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.at] = True
         before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(inside) else inside
