@@ -236,16 +236,19 @@ def runs_by_chip_change(spark, d):
     return t.select("run", "run_start", "part", "chip", "channel", csv("samples").alias("samples"), "timestamp")
 
 
+FRAME = 7  # lines of an order are numbered 1..7
+
+
 @query(
     "complete_frames",
-    B + """, p as (select run, chip, pos, sample_index - 1 i, samples_value v from fx_pos where sample_index <= 3),
+    B + """, p as (select run, chip, pos, sample_index - 1 i, samples_value v from fx_pos),
       n as (select *, row_number() over (partition by run, chip order by pos) rn, """
     + ", ".join(
         f"min(case when i = {k} then pos end) over (partition by run, chip order by pos rows between current row and unbounded following) n{k}"
-        for k in range(3)
+        for k in range(FRAME)
     )
     + """ from p),
-      e as (select *, case when n0 is not null and n1 is not null and n2 is not null then greatest(n0, n1, n2) end e from n),
+      e as (select *, case when """ + " and ".join(f"n{k} is not null" for k in range(FRAME)) + " then greatest(" + ", ".join(f"n{k}" for k in range(FRAME)) + """) end e from n),
       step as (select a.run, a.chip, a.pos, a.e, c.pos nxt from e a join e b on b.run = a.run and b.chip = a.chip and b.pos = a.e
         left join e c on c.run = b.run and c.chip = b.chip and c.rn = b.rn + 1),
       walk(run, chip, s, e, nxt) as (
@@ -257,7 +260,7 @@ def runs_by_chip_change(spark, d):
       select run, chip, s frame_start, e frame_end, array_to_string(flatten(list_transform(range(32), lambda c: list_transform(v, lambda r: r[c + 1]))), ',') samples from g""",
 )
 def complete_frames(spark, d):
-    """Frames of indices 1..3 (the view has no longer frames) per run and chip."""
+    """Frames of all seven indices of the view per run and chip."""
     b = placed(spark, d).withColumn("sample_index", F.col("sample_index") - 1)
-    f = runs.complete_frames(b, stream=["run", "chip"], n_samples=3)
+    f = runs.complete_frames(b, stream=["run", "chip"], n_samples=FRAME)
     return f.select("run", "chip", "frame_start", "frame_end", csv(F.flatten("samples_value")).alias("samples"))

@@ -25,6 +25,16 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
+def e6(c: Column | str) -> Column:
+    """Six significant digits as text, for values of any size."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNotNull(), F.format_string("%.5e", c.cast("double") + F.lit(0.0)))
+
+
+def sql_e6(expr: str) -> str:
+    return f"(case when {expr} is not null then printf('%.5e', cast({expr} as double) + 0.0) end)"
+
+
 def sql_r6(expr: str, digits: int = 6) -> str:
     return f"(round(cast({expr} as double), {digits}) + 0.0)"
 

@@ -10,7 +10,7 @@ from pulseloom.catalog.common import FX_EVENT, FX_PULSE, FX_WAVE, GAP_US, csv, c
 from pulseloom.functions import waveform as wf
 from pulseloom.operators.position import lag_by_position, mark_segments, with_position
 from pulseloom.operators.sessions import anchor_events, gap_events, gap_slots
-from pulseloom.operators.summary import ordered_parts
+from pulseloom.operators.summary import PART_ROWS, ordered_parts
 
 QUERIES = {}
 ORACLE = {}
@@ -53,10 +53,17 @@ def event_anchor(spark, d):
 ARRAYS = "array_to_string(list({c} order by t_us, pulse_no), ',') {a}"
 
 
+def parts_sql(source: str, key: str, arrays: dict[str, str], extra: str = "") -> str:
+    """Arrays per key, cut every PART_ROWS rows; ``extra`` columns are the same in all parts of a key."""
+    lists = ", ".join(ARRAYS.format(c=c, a=a) for a, c in arrays.items())
+    more = ", any_value(n) n, any_value(t_first) t_first" if extra else ""
+    return f""", numbered as (select *, (row_number() over (partition by {key} order by t_us, pulse_no) - 1) // {PART_ROWS} part {extra} from {source})
+      select {key}, cast(part as bigint) part{more}, {lists} from numbered group by {key}, part"""
+
+
 @query(
     "event_anchor_arrays",
-    ANCHOR + f"""select event_id, cast(0 as bigint) part, {ARRAYS.format(c='t_us', a='times')}, {ARRAYS.format(c='gch', a='channels')},
-      {ARRAYS.format(c='charge', a='charges')} from fx_anchor group by event_id""",
+    ANCHOR + parts_sql("fx_anchor", "event_id", {"times": "t_us", "channels": "gch", "charges": "charge"}),
 )
 def event_anchor_arrays(spark, d):
     e = anchor_events(fx.pulses(spark, d), "t_us", GAP_US).select("event_id", "t_us", "pulse_no", "gch", "charge")
@@ -66,8 +73,7 @@ def event_anchor_arrays(spark, d):
 
 @query(
     "event_arrays",
-    EV + f"""select event_id, cast(0 as bigint) part, {ARRAYS.format(c='t_us', a='times')}, {ARRAYS.format(c='chip', a='chips')},
-      {ARRAYS.format(c='channel', a='channels')} from fx_event group by event_id""",
+    EV.rstrip() + parts_sql("fx_event", "event_id", {"times": "t_us", "chips": "chip", "channels": "channel"}),
 )
 def event_arrays(spark, d):
     e = gap_events(fx.pulses(spark, d), "t_us", GAP_US).select("event_id", "t_us", "pulse_no", "chip", "channel")
@@ -172,14 +178,17 @@ def topk_pulses(spark, d):
 
 @query(
     "channel_series",
-    P + f"""select chip, channel, cast(0 as bigint) part, count(*) n, min(t_us) t_first, {ARRAYS.format(c='t_us', a='times')},
-      {ARRAYS.format(c='charge', a='charges')} from fx_pulse group by chip, channel""",
+    P.rstrip() + parts_sql(
+        "fx_pulse", "chip, channel", {"times": "t_us", "charges": "charge"},
+        ", count(*) over (partition by chip, channel) n, min(t_us) over (partition by chip, channel) t_first",
+    ),
 )
 def channel_series(spark, d):
     p = fx.pulses(spark, d).select("chip", "channel", "t_us", "pulse_no", "charge")
     parts = ordered_parts(p, ["chip", "channel"], ["t_us", "pulse_no"], ["t_us", "charge"])
-    return parts.select(
-        "chip", "channel", "part", F.size("t_us").cast("bigint").alias("n"), F.get("t_us", F.lit(0)).alias("t_first"),
+    whole = p.groupBy("chip", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("t_first"))
+    return parts.join(whole, ["chip", "channel"]).select(
+        "chip", "channel", "part", "n", "t_first",
         csv("t_us").alias("times"), csv("charge").alias("charges"),
     )
 

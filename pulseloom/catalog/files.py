@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from pulseloom import fixtures as fx
 from pulseloom import schemas
-from pulseloom.catalog.common import FX_EVENT, FX_PULSE, csv, with_views
+from pulseloom.catalog.common import FX_PULSE, csv, with_views
 from pulseloom.session import scratch_path
 from pulseloom.sources import tables
 from pulseloom.sources.block_stream import Format, read_blocks, write_blocks
-from pulseloom.streaming.sessions import live_gap_events
+from pulseloom.streaming.sessions import end_of_stream, live_gap_events
 
 QUERIES = {}
 ORACLE = {}
@@ -75,19 +75,20 @@ def netlist_pins(spark, d):
 
 @query(
     "stream_event_gap",
-    with_views(FX_EVENT) + """, e as (select event_id, count(*) n_pulses, cast(sum(charge) as bigint) charge, min(t_us) t_first, max(t_us) t_last from fx_event group by event_id)
-      select n_pulses, charge, t_first, t_last from e where t_last + 300000000 <= (select max(t_us) from fx_pulse) - 600000000""",
+    with_views(FX_PULSE).rstrip() + """, f as (select *, case when lag(t_us) over o is null or t_us - lag(t_us) over o > 300000000 then 1 else 0 end f
+      from fx_pulse window o as (partition by chip order by t_us, pulse_no)),
+    e as (select *, sum(f) over (partition by chip order by t_us, pulse_no rows unbounded preceding) session from f)
+    select chip, count(*) n_pulses, cast(sum(charge) as bigint) charge, min(t_us) t_first, max(t_us) t_last from e group by chip, session""",
 )
 def stream_event_gap(spark, d):
-    """All pulses as a file stream, run to its end; sessions that the watermark has closed."""
+    """All pulses as a file stream, run to its end, sessions per chip."""
     source = scratch_path(spark, "arrivals")
-    micros = F.timestamp_micros(F.col("t_us"))
-    p = fx.pulses(spark, d).select(micros.alias("ts"), "charge", F.expr("pulse_no * 0").alias("run"))
-    p.write.parquet(source)
-    stream = spark.readStream.schema("ts timestamp, charge bigint, run bigint").parquet(source)
+    p = fx.pulses(spark, d).select(F.timestamp_micros(F.col("t_us")).alias("ts"), "charge", "chip")
+    p.unionByName(end_of_stream(p, "ts", "300 seconds", ["chip"])).write.parquet(source)
+    stream = spark.readStream.schema(p.schema).parquet(source)
     target = scratch_path(spark, "sessions")
     run = (
-        live_gap_events(stream, "ts", "300 seconds", ["run"])
+        live_gap_events(stream, "ts", "300 seconds", ["chip"])
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", target)
@@ -97,4 +98,4 @@ def stream_event_gap(spark, d):
     )
     run.awaitTermination()
     done = spark.read.parquet(target)
-    return done.select("n_pulses", "charge", F.unix_micros("t_first").alias("t_first"), F.unix_micros("t_last").alias("t_last"))
+    return done.select("chip", "n_pulses", "charge", F.unix_micros("t_first").alias("t_first"), F.unix_micros("t_last").alias("t_last"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom import fixtures as fx
-from pulseloom.catalog.common import FX_EVENT, FX_HIT, FX_MAP, FX_PAD, FX_PULSE, GAP_US, csv, csv_scaled, r6, sql_r6, with_views
+from pulseloom.catalog.common import e6, sql_e6, FX_EVENT, FX_HIT, FX_MAP, FX_PAD, FX_PULSE, GAP_US, csv, csv_scaled, r6, sql_r6, with_views
 from pulseloom.functions.calib import Readout, inverse_line, mirrored_pad
 from pulseloom.operators import dims
 from pulseloom.operators.fits import ols
 from pulseloom.operators.position import nearest_within
 from pulseloom.operators.sessions import gap_events
-from pulseloom.operators.summary import ZONE_SUFFIXES, event_summary, event_times, ordered_parts, with_centroids
+from pulseloom.operators.summary import PART_ROWS, ZONE_SUFFIXES, event_summary, event_times, ordered_parts, with_centroids
 from pulseloom.plans import hits as plan
 
 QUERIES = {}
@@ -193,12 +193,13 @@ def q_event_summary(spark, d):
 
 @query(
     "event_hits",
-    H + """, t as (select event_id, tpc_id, x, t_us y, z, energy, pulse_no from fx_hit)
-      select event_id, cast(0 as bigint) part, array_to_string(list(tpc_id order by tpc_id, x, y, z, energy, pulse_no), ',') tpc_ids,
+    H + f""", t as (select event_id, tpc_id, x, t_us y, z, energy, pulse_no,
+      cast((row_number() over (partition by event_id order by tpc_id, x, t_us, z, energy, pulse_no) - 1) // {PART_ROWS} as bigint) part from fx_hit)
+      select event_id, part, array_to_string(list(tpc_id order by tpc_id, x, y, z, energy, pulse_no), ',') tpc_ids,
        array_to_string(list(cast(round(x * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') xs,
        array_to_string(list(y order by tpc_id, x, y, z, energy, pulse_no), ',') ys,
        array_to_string(list(cast(round(z * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') zs,
-       array_to_string(list(cast(round(energy * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') energies from t group by event_id""",
+       array_to_string(list(cast(round(energy * 1000) as bigint) order by tpc_id, x, y, z, energy, pulse_no), ',') energies from t group by event_id, part""",
 )
 def event_hits(spark, d):
     h = hits(spark, d).select("event_id", "tpc_id", "x", F.col("t_us").alias("y"), "z", "energy", "pulse_no")
@@ -254,7 +255,7 @@ def q_event_times(spark, d):
     return t.select("event_id", "y_offset", r6("y_up_ns", 1).alias("y_up_ns"), r6("y_dn_ns", 1).alias("y_dn_ns"))
 
 
-TRACK_SQL = """, pts as (select event_id, w, z u, x v from fx_hit where w > 0),
+TRACK_SQL = """, pts as (select event_id, w, x u, z v from fx_hit where w > 0),
   cen as (select event_id, count(*) n, sum(w) sw, sum(w * u) / sum(w) cu, sum(w * v) / sum(w) cv from pts group by event_id),
   mom as (select event_id, n, sw, cu, cv, sum(w * (u - cu) * (u - cu)) / sw suu0, sum(w * (v - cv) * (v - cv)) / sw svv0,
     sum(w * (u - cu) * (v - cv)) / sw suv0 from pts join cen using (event_id) group by event_id, n, sw, cu, cv),
@@ -264,17 +265,17 @@ TRACK_SQL = """, pts as (select event_id, w, z u, x v from fx_hit where w > 0),
   track as (select event_id, case when n >= 2 and abs(cos(th)) >= 1e-12 then sin(th) / cos(th) end a_slope,
     case when n >= 2 and abs(cos(th)) >= 1e-12 then cv - sin(th) / cos(th) * cu end a_intercept,
     case when n >= 2 then sw * greatest(0.0, (suu + svv) / 2 - sqrt(((suu - svv) / 2) * ((suu - svv) / 2) + suv * suv)) end a_chi2,
-    case when n >= 2 then degrees(th) end a_angle_deg, case when n >= 2 then cast(n as int) end a_n_points,
-    case when n >= 2 then cast(n - 2 as int) end a_dof from ang)
+    case when n >= 2 then degrees(th) end a_angle_deg, cast(n as int) a_n_points,
+    cast(greatest(n - 2, 0) as int) a_dof from ang)
 """
-TRACK_OUT = f"""{sql_r6('a_slope', 5)} a_slope, {sql_r6('a_intercept', 3)} a_intercept, {sql_r6('a_chi2', 3)} a_chi2,
+TRACK_OUT = f"""{sql_e6('a_slope')} a_slope, {sql_e6('a_intercept')} a_intercept, {sql_r6('a_chi2', 3)} a_chi2,
   {sql_r6('case when a_dof > 0 then a_chi2 / a_dof end', 3)} a_chi2_reduced, {sql_r6('a_angle_deg', 4)} a_angle_deg, a_n_points, a_dof"""
 
 
 def track_columns():
     return [
-        r6("a_slope", 5).alias("a_slope"),
-        r6("a_intercept", 3).alias("a_intercept"),
+        e6("a_slope").alias("a_slope"),
+        e6("a_intercept").alias("a_intercept"),
         r6("a_chi2", 3).alias("a_chi2"),
         r6("a_chi2_reduced", 3).alias("a_chi2_reduced"),
         r6("a_angle_deg", 4).alias("a_angle_deg"),
@@ -318,14 +319,13 @@ def event_selection(spark, d):
 
 @query(
     "track_inverse",
-    H + TRACK_SQL + f"""select event_id, {sql_r6('case when abs(a_slope) >= 0.001 then 1.0 / a_slope end', 3)} slope,
-      {sql_r6('case when abs(a_slope) >= 0.001 then -a_intercept / a_slope end', 2)} intercept from track""",
+    H + TRACK_SQL + f"""select event_id, {sql_e6('(case when a_slope <> 0 then 1.0 / a_slope end)')} slope,
+      {sql_e6('(case when a_slope <> 0 then -a_intercept / a_slope end)')} intercept from track""",
 )
 def track_inverse(spark, d):
     t = plan.build_tracks(hits(spark, d))
     s, i = inverse_line(F.col("a_slope"), F.col("a_intercept"))
-    steep = F.abs("a_slope") >= 0.001  # flatter tracks have no printable inverse
-    return t.select("event_id", r6(F.when(steep, s), 3).alias("slope"), r6(F.when(steep, i), 2).alias("intercept"))
+    return t.select("event_id", e6(s).alias("slope"), e6(i).alias("intercept"))
 
 
 @query(

@@ -272,15 +272,14 @@ TEVENTS = H + TIMES_SQL + TRACK_SQL + SUMS_SQL + """, ev as (select s.*, y_up_ns
 
 @query(
     "track_distributions",
-    EVENTS + f"""select 'slope' what, bin, n from {sql_bins('ev', 'slope', -1, 0.05, 40, 1, where='abs(slope) > 1e-9')}
-      union all select 'chi2_red', bin, n from {sql_bins('(select a_chi2 / a_dof c from ev where a_dof > 0)', 'c', 0, 500, 40, 20000, where='c > 1e-6')}""",
+    EVENTS + f"""select 'slope' what, bin, n from {sql_bins('ev', 'slope', -1, 0.05, 40, 1)}
+      union all select 'intercept', bin, n from {sql_bins('ev', 'intercept', -20, 1, 40, 20)}
+      union all select 'chi2_red', bin, n from {sql_bins('(select a_chi2 / a_dof c from ev where a_dof > 0)', 'c', 0, 500, 40, 20000)}""",
 )
 def track_distributions(spark, d):
     e = checks.with_inverse(plan.build_tracks(hits(spark, d)))
-    # exact zeros carry rounding noise of either sign and are left to the flat-track count
-    slope = hist.hist1d(e.filter(F.abs("slope") > 1e-9), "slope", -1, 1, 40).select(F.lit("slope").alias("what"), "bin", "n")
-    chi = hist.hist1d(e.filter("a_chi2_reduced > 1e-6"), "a_chi2_reduced", 0, 20000, 40).select(F.lit("chi2_red").alias("what"), "bin", "n")
-    return slope.unionByName(chi)
+    one = lambda name, col, lo, hi: hist.hist1d(e, col, lo, hi, 40).select(F.lit(name).alias("what"), "bin", "n")
+    return one("slope", "slope", -1, 1).unionByName(one("intercept", "intercept", -20, 20)).unionByName(one("chi2_red", "a_chi2_reduced", 0, 20000))
 
 
 @query(
@@ -295,10 +294,10 @@ def energy_resolution(spark, d):
 @query(
     "position_residual",
     EVENTS + f"""select event_id, {sql_r6('sqrt(pow(slope * (45.0::double - 3.031088913245535::double) + intercept - x_ug, 2) + pow(slope * (136.5::double - 3.031088913245535::double) + intercept - x_dg, 2))', 3)} residual,
-      {sql_r6('abs(x_ug - x_dg)', 5)} x_diff from ev where abs(slope) < 0.5 and abs(x_ug) < 10 and abs(slope) > 1e-9""",
+      {sql_r6('abs(x_ug - x_dg)', 5)} x_diff from ev where abs(slope) < 0.5 and abs(x_ug) < 10""",
 )
 def position_residual(spark, d):
-    e = checks.position_residuals(events(spark, d), max_slope=0.5).filter(F.abs("slope") > 1e-9)
+    e = checks.position_residuals(events(spark, d), max_slope=0.5)
     return e.select("event_id", r6("residual", 3).alias("residual"), r6("x_diff", 5).alias("x_diff"))
 
 

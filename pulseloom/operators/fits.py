@@ -56,8 +56,8 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def track_fit(
     hits: DataFrame,
-    x: str = "z",
-    y: str = "x",
+    x: str = "x",
+    y: str = "z",
     weight: str = "w",
     key: str = "event_id",
     *,
@@ -69,7 +69,7 @@ def track_fit(
     ``atan2(2 Sxy, Sxx - Syy) / 2``, chi2 = weight sum times the smaller eigenvalue of the covariance. ``origin`` is a
     point near the data (e.g. the detector centre) and keeps the moments well conditioned without a second
     pass over the rows. Only weights > 0 take part; an event with a non-finite value or fewer than two points
-    has null results; a vertical track has null slope and intercept.
+    has null results but for its number of points; a vertical line has null slope and intercept.
     """
     w, u, v = F.col(weight).cast("double"), F.col(x).cast("double") - origin[0], F.col(y).cast("double") - origin[1]
     pts = hits.filter((w > 0) | F.isnan(w)).select(key, w.alias("w"), u.alias("u"), v.alias("v"))
@@ -107,8 +107,8 @@ def track_fit(
         "_fit.chi2 as a_chi2",
         "if(_ok and _n > 2, _fit.chi2 / (_n - 2), null) as a_chi2_reduced",
         "_fit.angle as a_angle_deg",
-        "if(_ok, cast(_n as int), null) as a_n_points",
-        "if(_ok, cast(_n - 2 as int), null) as a_dof",
+        "cast(_rows as int) as a_n_points",
+        "cast(greatest(_rows - 2, 0) as int) as a_dof",
     )
 
 

@@ -14,6 +14,20 @@ from pulseloom.session import materialize
 ZONE_SLOTS = 1 << 16
 
 
+def slot_of(time: str, gap: float) -> Column:
+    """Slot of width ``gap``; without a gap every distinct time is a slot of its own."""
+    if gap < 0:
+        raise ValueError("a gap or threshold must not be negative")
+    return F.floor(F.col(time) / F.lit(gap)).cast("bigint") if gap else F.col(time)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi join in which null keys meet; the key columns come from the left side once."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def gap_slots(
     df: DataFrame,
     time: str,
@@ -32,7 +46,7 @@ def gap_slots(
     ``zone_slots`` slots, and one row per zone goes through the last, global step.
     """
     stream = list(stream)
-    slot = F.floor(F.col(time) / F.lit(gap)).cast("bigint")
+    slot = slot_of(time, gap)
     slots = (
         df.filter(F.col(time).isNotNull())
         .groupBy(*stream, slot.alias("_slot"))
@@ -67,7 +81,7 @@ def gap_slots(
     return (
         slots.withColumn("_inner", F.sum(F.col("_open").cast("bigint")).over(upto))
         .withColumn("_start", F.last(F.when(F.col("_open"), F.col("_lo")), ignorenulls=True).over(upto))
-        .join(zones, keys, "inner")
+        .transform(lambda s: join_null_safe(s, zones, keys, "inner"))
         .withColumn("event_id", F.col("_base") + F.col("_inner"))
         .withColumn("event_start", F.coalesce("_start", "_zone_start"))
         .drop("_zone", "_open", "_inner", "_start", "_base", "_zone_start")
@@ -91,8 +105,8 @@ def gap_events(
     slots = gap_slots(df, time, gap, stream=stream, zone_slots=zone_slots).drop("_lo", "_hi")
     if not with_start:
         slots = slots.drop("event_start")
-    rows = df.withColumn("_slot", F.floor(F.col(time) / F.lit(gap)).cast("bigint"))
-    return rows.join(slots, [*stream, "_slot"], "left").drop("_slot")
+    rows = df.withColumn("_slot", slot_of(time, gap))
+    return join_null_safe(rows, slots, [*stream, "_slot"], "left").drop("_slot")
 
 
 ANCHOR_ZONE = 256
@@ -108,6 +122,9 @@ def anchor_times(
     rule runs as a greedy chain over zones of ``zone_thresholds`` thresholds.
     """
     stream = list(stream)
+    if threshold <= 0:  # nothing but the very same time belongs to an anchor, so anchors and gaps are the same
+        slots = gap_slots(df, time, threshold, stream=stream)
+        return slots.select(*stream, F.col("_lo").alias(time), "event_id", "event_start")
     num = df.schema[time].dataType
     times = df.filter(F.col(time).isNotNull()).groupBy(*stream, time).agg(F.lit(1).alias("_one")).drop("_one")
     nodes = times.withColumn("_limit", (F.col(time) + F.lit(threshold)).cast(num))
@@ -127,7 +144,7 @@ def anchor_times(
     upto = W.partitionBy(*stream, "_zone").orderBy("_t", F.col("event_id").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = F.last(F.when(F.col("event_id").isNotNull(), F.struct("event_id", "event_start")), ignorenulls=True).over(upto)
     marked = both.withColumn("_in", inner).filter(F.col("event_id").isNull()).drop("event_id", "event_start")
-    marked = marked.join(tails, [*stream, "_zone"], "inner").withColumn("_e", F.coalesce("_in", "_carry"))
+    marked = join_null_safe(marked, tails, [*stream, "_zone"], "inner").withColumn("_e", F.coalesce("_in", "_carry"))
     return marked.select(*stream, F.col("_t").alias(time), "_e.event_id", "_e.event_start")
 
 
@@ -136,4 +153,4 @@ def anchor_events(
 ) -> DataFrame:
     """All rows with the anchored ``event_id`` (1-based, null where the time is null) and ``event_start``."""
     ids = anchor_times(df, time, threshold, stream=stream, zone_thresholds=zone_thresholds)
-    return df.join(ids, [*stream, time], "left")
+    return join_null_safe(df, ids, [*stream, time], "left")

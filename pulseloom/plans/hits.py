@@ -12,7 +12,7 @@ from pulseloom.operators.sessions import gap_events
 from pulseloom.operators.summary import event_summary, event_times, with_centroids
 
 # A point between the two detector halves; keeps the track moments small.
-TRACK_ORIGIN = (90.0, 0.0)
+TRACK_ORIGIN = (0.0, 90.0)
 
 
 def mapped(pulses: DataFrame, mapping: DataFrame, key: str = "gch") -> DataFrame:
@@ -33,7 +33,8 @@ def build_hits(pulses: DataFrame, mapping: DataFrame, time: str, gap: float, key
 
 
 def build_tracks(hits: DataFrame) -> DataFrame:
-    return track_fit(hits, "z", "x", "w", origin=TRACK_ORIGIN)
+    """Lines z = a_slope x + a_intercept; a track straight down the detector is steep."""
+    return track_fit(hits, "x", "z", "w", origin=TRACK_ORIGIN)
 
 
 def build_events(hits: DataFrame, time: str, ns_per_unit: float) -> DataFrame:

@@ -26,7 +26,8 @@ def local_session(cores: int | str = 8, app: str = "pulseloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests, bench) a temporary folder is set. On a cluster
+    that folder would be another one on every machine and rows would be lost, so a missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="pulseloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made

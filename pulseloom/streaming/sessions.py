@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,7 +13,7 @@ def live_gap_events(stream: DataFrame, time: str, gap: str, keys: Sequence[str],
     """Pulses and charge per gap session of a stream with a timestamp column, for every key (e.g. the run).
 
     A step equal to the gap stays in the session, as in the batch form. State is one row per open session and a session
-    is emitted once the watermark has passed it. With few keys set
+    is emitted once the watermark has passed it; ``end_of_stream`` rows, sent last, close what is still open. With few keys set
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` so that pulses of a session are merged
     before the shuffle and a busy key ships one row per session and task.
     """
@@ -21,3 +22,14 @@ def live_gap_events(stream: DataFrame, time: str, gap: str, keys: Sequence[str],
         .groupBy(*keys, F.session_window(F.col(time), gap).alias("session"))
         .agg(F.count(F.lit(1)).alias("n_pulses"), F.sum("charge").alias("charge"), F.min(time).alias("t_first"), F.max(time).alias("t_last"))
     )
+
+
+def end_of_stream(pulses: DataFrame, time: str, gap: str, keys: Sequence[str], *, late: str = "10 minutes") -> DataFrame:
+    """One row per key that lies so far behind the last pulse that every session before it is closed.
+
+    Its own session stays open and is never written. Columns other than the time and the keys are null.
+    """
+    last = pulses.groupBy(*keys).agg(F.max(F.max(time)).over(W.partitionBy(F.lit(1))).alias(time)).filter(F.col(time).isNotNull())
+    far = F.col(time) + F.expr(f"interval {gap}") + F.expr(f"interval {late}") + F.expr("interval 1 second")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in pulses.schema if f.name not in (time, *keys)]
+    return last.select(*keys, far.alias(time), *rest).select(*pulses.columns)

@@ -12,6 +12,8 @@ from pulseloom.operators.fits import gauss_fit, ols, track_fit
 from pulseloom.operators.position import carry_last, lag_by_position, mark_segments, nearest_within, with_position
 from pulseloom.operators.sessions import anchor_events, gap_events
 from pulseloom.operators.summary import event_times, ordered_parts
+from pulseloom.plans import checks
+from pulseloom.plans.hits import build_tracks
 
 SHUFFLES = [1, 4, 16]
 
@@ -284,15 +286,40 @@ def test_track_fit(spark):
     rows += [(101, 60.0, 1.0, 1.0)]  # one point
     rows += [(102, float("nan"), 1.0, 1.0), (102, 3.0, 1.0, 1.0), (102, 4.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "event_id int, z double, x double, w double")
-    got = {r["event_id"]: r for r in track_fit(df, origin=(90.0, 0.0)).collect()}
+    got = {r["event_id"]: r for r in track_fit(df, "z", "x", origin=(90.0, 0.0)).collect()}
     for e, ((chi2, slope), n) in want.items():
         r = got[e]
         assert math.isclose(r["a_slope"], slope, rel_tol=1e-7) and r["a_n_points"] == n and r["a_dof"] == n - 2
         assert math.isclose(r["a_chi2"], chi2, rel_tol=1e-6, abs_tol=1e-6)
         assert r["a_chi2_reduced"] is None if n == 2 else math.isclose(r["a_chi2_reduced"], r["a_chi2"] / (n - 2))
     assert got[100]["a_slope"] is None and abs(got[100]["a_angle_deg"]) == 90 and got[100]["a_chi2"] < 1e-20
-    assert got[101]["a_slope"] is None and got[101]["a_n_points"] is None
-    assert got[102]["a_slope"] is None and got[102]["a_n_points"] is None
+    assert got[101]["a_slope"] is None and got[101]["a_n_points"] == 1 and got[101]["a_dof"] == 0
+    assert got[102]["a_slope"] is None and got[102]["a_n_points"] == 3 and got[102]["a_dof"] == 1
+
+
+def test_known_line_passes_the_cut_and_has_no_residual(spark):
+    """x = 0.02 z + 1 runs down the detector, x = 60 z - 5000 across it; numbers by hand."""
+    down = [(1, 0.02 * z + 1.0, z, 1.0 + i) for i, z in enumerate((42.0, 43.5, 45.0, 134.0, 135.0, 136.0))]
+    across = [(2, 60.0 * z - 5000.0, z, 1.0) for z in (83.2, 83.3, 83.4, 83.5)]
+    hits = spark.createDataFrame(down + across, "event_id int, x double, z double, w double")
+    e = checks.with_inverse(build_tracks(hits))
+    r = {x["event_id"]: x for x in e.collect()}
+    assert math.isclose(r[1]["a_slope"], 50.0, rel_tol=1e-9) and math.isclose(r[1]["a_intercept"], -50.0, rel_tol=1e-8)
+    assert math.isclose(r[1]["slope"], 0.02, rel_tol=1e-9) and math.isclose(r[1]["intercept"], 1.0, rel_tol=1e-8)
+    assert math.isclose(r[2]["slope"], 60.0, rel_tol=1e-6)
+    z_up, z_dn = 45.0 - 3.031088913245535, 136.5 - 3.031088913245535
+    e = e.withColumns({"x_ug": F.lit(0.02 * z_up + 1.0), "x_dg": F.lit(0.02 * z_dn + 1.5)})
+    kept = checks.position_residuals(e).collect()
+    assert [x["event_id"] for x in kept] == [1]
+    assert math.isclose(kept[0]["residual"], 0.5, rel_tol=1e-6)
+
+
+def test_array_parts_do_not_change_totals(spark):
+    df = spark.createDataFrame([(1, i, i * 2) for i in range(10)] + [(2, 5, 7)], "k int, t int, v int")
+    rows = ordered_parts(df, ["k"], ["t"], ["v"], part_rows=3).orderBy("k", "part").collect()
+    assert [(r["k"], r["part"], r["v"]) for r in rows] == [
+        (1, 0, [0, 2, 4]), (1, 1, [6, 8, 10]), (1, 2, [12, 14, 16]), (1, 3, [18]), (2, 0, [7]),
+    ]
 
 
 def test_ols(spark):

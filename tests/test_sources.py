@@ -51,6 +51,24 @@ def test_write_and_read_pulses(spark, folder):
     assert back.count() == 25 and tables.preview(back, 4).count() == 4
 
 
+def test_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
