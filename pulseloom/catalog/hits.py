@@ -86,6 +86,29 @@ def map_lookup(spark, d):
     return pads.join(report, pads.pad == report.tpc_id, "left").drop("tpc_id").fillna(0, ["n_ids", "n_pulses"])
 
 
+@query(
+    "map_lookup_channel",
+    MAP + """select pulse_no, chip, channel, min("readoutID") "readoutID" from fx_pulse left join fx_map on "chipNo" = chip and "chipChannel" = channel
+      group by pulse_no, chip, channel""",
+)
+def map_lookup_channel(spark, d):
+    """Map id of every pulse by its chip and channel."""
+    p = fx.pulses(spark, d).select("pulse_no", "chip", "channel")
+    return dims.lookup_each(p, fx.channel_map_rows(spark), {"chip": "chipNo", "channel": "chipChannel"}, "readoutID")
+
+
+@query(
+    "map_lookup_rows",
+    MAP + """select "chipNo", "chipChannel", "readoutID", gid, count(pulse_no) n_pulses from fx_map left join fx_pulse on gch = "readoutID"
+      where "chipNo" = 2 group by all""",
+)
+def map_lookup_rows(spark, d):
+    """All map rows of one chip, with the pulses that each has."""
+    rows = dims.lookup(fx.channel_map_rows(spark), chipNo=2)
+    used = fx.pulses(spark, d).groupBy("gch").agg(F.count(F.lit(1)).alias("n_pulses"))
+    return rows.join(used, rows.readoutID == used.gch, "left").drop("gch").fillna(0, ["n_pulses"])
+
+
 @query("map_channels", MAP + "select fx_pulse.*, tpc_id from fx_pulse left join fx_map_gid on gch = map_id")
 def map_channels(spark, d):
     return dims.join_map(fx.pulses(spark, d), mapping(spark), "gch")

@@ -321,6 +321,30 @@ def timing_sum_diff(spark, d):
     return t.select("event_id", r6("y_sum", 0).alias("y_sum"), r6("y_dif", 0).alias("y_dif"))
 
 
+TIMING = "select y_up_ns + y_dn_ns y_sum, y_up_ns - y_dn_ns y_dif from ev where abs(slope) < 1 and abs(x_ug) < 12 and N_up > 1 and N_dn > 1"
+
+
+@query(
+    "timing_distributions",
+    TEVENTS + f""", sel as ({TIMING}) select 'sum' what, bin, n from {sql_bins('sel', 'y_sum', 0, 1e10, 40, 4e11)}
+      union all select 'difference', bin, n from {sql_bins('sel', 'y_dif', -2e11, 1e10, 40, 2e11)}""",
+)
+def timing_distributions(spark, d):
+    t = checks.timing(events(spark, d, times=True), min_hits=1)
+    one = lambda name, col, lo, hi: hist.hist1d(t, col, lo, hi, 40).select(F.lit(name).alias("what"), "bin", "n")
+    return one("sum", "y_sum", 0, 4e11).unionByName(one("difference", "y_dif", -2e11, 2e11))
+
+
+@query(
+    "residual_distribution",
+    EVENTS + """, sel as (select sqrt(pow(slope * (45.0::double - 3.031088913245535::double) + intercept - x_ug, 2)
+      + pow(slope * (136.5::double - 3.031088913245535::double) + intercept - x_dg, 2)) res from ev where abs(slope) < 0.5 and abs(x_ug) < 10)
+      """ + f"select bin, n from {sql_bins('sel', 'res', -1, 0.5, 50, 24)}",
+)
+def residual_distribution(spark, d):
+    return hist.hist1d(checks.position_residuals(events(spark, d), max_slope=0.5), "residual", -1, 24, 50).select("bin", "n")
+
+
 @query(
     "multiplicity_energy",
     H + SUMS_SQL + """, u as (select 'up' half, N_up n, E_up e from sums union all select 'down', N_dn, E_dn from sums)

@@ -346,9 +346,12 @@ def in_range(x: Column, lo: float, hi: float, inclusive: str = "both") -> Column
     return low & high
 
 
-def within_range(a: Column, lo: float, hi: float, *, inclusive: str = "both", absolute: bool = False) -> Column:
+def within_range(a: Column, lo: float, hi: float, *, inclusive: str = "both", absolute: bool = False, finite_only: bool = True) -> Column:
+    """Elements in the range; bounds may come in either order. Without ``finite_only`` an infinite element can be in an open range."""
+    lo, hi = min(lo, hi), max(lo, hi)
     size = F.abs if absolute else (lambda x: x)
-    return F.filter(_c(a), lambda x: in_range(size(x), lo, hi, inclusive))
+    inside = lambda x: in_range(size(x), lo, hi, inclusive) & ~F.isnan(x.cast("double"))
+    return F.filter(_c(a), lambda x: inside(x) & (F.abs(x.cast("double")) < float("inf")) if finite_only else inside(x))
 
 
 @bound
@@ -357,8 +360,9 @@ def within_range_indices(a: Column, lo: float, hi: float, *, inclusive: str = "b
     return indices_where(a, lambda x: in_range(size(x), lo, hi, inclusive))
 
 
-def trim_ms_to_ns(a: Column, lo: float, hi: float, *, inclusive: bool = True) -> Column:
-    """Finite values inside the range, converted from ms to ns."""
+def trim_ms_to_ns(a: Column, lo: float | None = None, hi: float | None = None, *, inclusive: bool = True) -> Column:
+    """Values inside the range, converted from ms to ns; NaN and null are left out, a missing bound is open."""
+    lo, hi = float("-inf") if lo is None else lo, float("inf") if hi is None else hi
     kept = F.filter(
         _c(a),
         lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & in_range(x, lo, hi, "both" if inclusive else "neither"),

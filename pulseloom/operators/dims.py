@@ -76,5 +76,18 @@ def zone_columns(tpc: str = "tpc_id") -> dict:
     return {name: F.expr(test) for name, test in zones.items()}
 
 
+def lookup(mapping: DataFrame, **where) -> DataFrame:
+    """All map rows with the given values, e.g. ``lookup(m, chipNo=2, chipChannel=4)`` or ``lookup(m, tpc_id=7)``."""
+    for name, value in where.items():
+        mapping = mapping.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return mapping
+
+
+def lookup_each(df: DataFrame, mapping: DataFrame, keys: dict[str, str], label: str) -> DataFrame:
+    """``label`` of the first map row (by label) that fits each row of ``df``; ``keys`` maps columns of df to map columns."""
+    first = mapping.groupBy(*[F.col(m).alias(f"_{m}") for m in keys.values()]).agg(F.min(label).alias(label))
+    return df.join(first, [F.col(c) == F.col(f"_{m}") for c, m in keys.items()], "left").drop(*[f"_{m}" for m in keys.values()])
+
+
 def with_zones(hits: DataFrame, tpc: str = "tpc_id") -> DataFrame:
     return hits.withColumns(zone_columns(tpc))

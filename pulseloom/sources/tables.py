@@ -32,11 +32,13 @@ def read_channel_map(spark: SparkSession, path: str, comment: str | None = None)
     return reader.csv(path)
 
 
-def write_table(df: DataFrame, path: str, *, rows_per_file: int | None = None, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Zstd Parquet; ``rows_per_file`` limits the size of single files."""
+def write_table(df: DataFrame, path: str, *, rows_per_file: int | None = None, rows_per_group: int | None = None, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
+    """Zstd Parquet; ``rows_per_file`` and ``rows_per_group`` limit single files and the row groups in them."""
     w = df.write.mode(mode).option("compression", "zstd")
     if rows_per_file:
         w = w.option("maxRecordsPerFile", rows_per_file)
+    if rows_per_group:
+        w = w.option("parquet.block.row.count.limit", rows_per_group)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
