@@ -17,8 +17,9 @@ from pulseloom.session import materialize
 SHINGLE = 5
 NEED, OF = 75, 100  # linked: OF * intersection >= NEED * union
 BANDS, ROWS = 40, 5  # a link at 0.75 misses all bands with a probability of 2e-5, at 0.8 of 1e-7
-PERMUTATIONS = BANDS * ROWS // 2  # each gives its minimum and its maximum
-SKETCH_AGREE = 148  # of 200 sketch bits; a link at 0.75 has 175 on average and fewer than 148 once in 1e7
+PERMUTATIONS = 200  # each gives its minimum and its maximum; bands use half of them, sketches all
+SKETCH_BITS, SKETCH_WORDS = 3, 8  # bits kept of every signature entry, and numbers that hold one bit of all entries
+SKETCH_AGREE = 277  # of 400 entries; a link at 0.75 agrees in 312.5 on average and in fewer than 277 once in 1e5
 SET_BYTES = 6  # bytes kept of a shingle's number when sets are compared
 
 
@@ -67,14 +68,15 @@ class MinMax:
         for b in range(BANDS):
             h = np.full(len(sig), self.band[b])
             for r in range(ROWS):
-                h = mix(h * U(3) + sig[:, (b + r * BANDS) % sig.shape[1]])
+                h = mix(h * U(3) + sig[:, b + r * BANDS])
             out[:, b] = h
         return out
 
     def sketch(self, sig: np.ndarray) -> np.ndarray:
-        """One bit of every entry, in four numbers of 50 bits."""
-        bits = (mix(sig) & U(1)).reshape(len(sig), 4, -1)
-        return (bits << np.arange(bits.shape[2], dtype=U)).sum(axis=2, dtype=U)
+        """Three bits of every entry, each bit of all entries in four numbers."""
+        mixed = mix(sig)
+        planes = [((mixed >> U(j)) & U(1)).reshape(len(sig), SKETCH_WORDS, sig.shape[1] // SKETCH_WORDS) for j in range(SKETCH_BITS)]
+        return np.concatenate([(p << np.arange(p.shape[2], dtype=U)).sum(axis=2, dtype=U) for p in planes], axis=1)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -93,7 +95,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 sig = minmax.signatures([sets[i] for i in full]) if len(full) else np.zeros((0, 2 * PERMUTATIONS), U)
-                keys, s = np.zeros((len(n), BANDS), U), np.zeros((len(n), 4), U)
+                keys, s = np.zeros((len(n), BANDS), U), np.zeros((len(n), SKETCH_BITS * SKETCH_WORDS), U)
                 keys[full], s[full] = minmax.keys(sig), minmax.sketch(sig)
                 h1 = np.array([x.sum(dtype=U) for x in sets], U)
                 h2 = np.array([mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U) for x in sets], U)
@@ -128,8 +130,8 @@ def unpacked(bag: bytes) -> np.ndarray:
     return x.view(U).ravel()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough.
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their Jaccard distance on full sets (d), and whether they are linked.
 
     The set of a, of which many pairs share one, is attached first, so that the second shuffle goes by b.
     """
@@ -138,33 +140,102 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            d, linked = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if OF * both >= NEED * (len(x) + len(y) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+                union = len(x) + len(y) - both
+                d.append(1 - both / union)
+                linked.append(OF * both >= NEED * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
 
-    return two.mapInArrow(run, "a long, b long")
+    return two.mapInArrow(run, "a long, b long, d double, linked boolean")
 
 
 def likely(x: str, y: str):
-    """Conditions that every link meets: near sizes, and (but for one in ten million) enough equal sketch bits."""
-    same = " + ".join(f"bit_count({x}_s[{i}] ^ {y}_s[{i}])" for i in range(4))
-    return F.expr(
-        f"{OF} * least({x}_n, {y}_n) >= {NEED} * greatest({x}_n, {y}_n) and 200 - ({same}) >= {SKETCH_AGREE}"
+    """Conditions that every link meets: near sizes, and (but for one in 100,000 at the very threshold) enough equal sketch entries."""
+    w = SKETCH_WORDS
+    differ = " + ".join(
+        "bit_count(" + " | ".join(f"({x}_s[{i + j * w}] ^ {y}_s[{i + j * w}])" for j in range(SKETCH_BITS)) + ")" for i in range(w)
     )
+    near = f"{OF} * least({x}_n, {y}_n) >= {NEED} * greatest({x}_n, {y}_n)"
+    return F.expr(f"{near} and {2 * PERMUTATIONS} - ({differ}) >= {SKETCH_AGREE}")
+
+
+CELL = 500  # members of a bucket on either side of a comparison: what one task holds at a time
+
+
+def cell_links(cell: pa.Table) -> pa.Table:
+    """Links between members of two stretches of a bucket, as many as it takes to join their components.
+
+    Sizes, labels, distances to the bucket's smallest member and sketches are compared first, all at once per left
+    member; then full sets, the likeliest first, as long as the two components are still apart.
+    """
+    get = lambda c: np.array(cell[c].to_pylist())
+    rep, label, main, n, left = get("rep"), get("l"), get("main"), get("n"), get("left")
+    d = np.array([np.nan if x is None else x for x in cell["d"].to_pylist()])
+    sketch = np.array(cell["s"].to_pylist(), np.int64).reshape(len(rep), SKETCH_BITS, SKETCH_WORDS).view(U)
+    right = np.flatnonzero(~left)
+    bags: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def bag(i: int) -> np.ndarray:
+        if i not in bags:
+            bags[i] = unpacked(cell["bag"][i].as_buffer())
+        return bags[i]
+
+    out = []
+    for u in np.flatnonzero(left):
+        near = OF * np.minimum(n[u], n[right]) >= NEED * np.maximum(n[u], n[right])
+        near &= (label[right] != label[u]) & (main[right] | (rep[u] < rep[right])) & ~(np.abs(d[right] - d[u]) > 1 - NEED / OF + 1e-9)
+        at = right[near]
+        agree = 2 * PERMUTATIONS - np.bitwise_count(np.bitwise_or.reduce(sketch[at] ^ sketch[u], axis=1)).sum(axis=1, dtype=np.int64)
+        for k in np.argsort(-agree, kind="stable"):
+            if agree[k] < SKETCH_AGREE:
+                break
+            v = at[k]
+            if root(label[u]) == root(label[v]):
+                continue
+            x, y = bag(u), bag(v)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if OF * both >= NEED * (len(x) + len(y) - both):
+                parent[root(label[u])] = root(label[v])
+                out.append((rep[u], rep[v]))
+    return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(x) for _, x in out], pa.int64())})
+
+
+def links_across(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within buckets.
+
+    ``members``: key, rep, l (component), main (whether it is that of the bucket's smallest), d, n, s, bag. Each bucket is
+    cut to stretches of about CELL members, and every pair of stretches is a group of its own, so a bucket of any size
+    spreads over many tasks and no pair is ever a row. Members of the main component are not compared with each other.
+    """
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    each = F.sequence(F.lit(0), F.col("k") - 1)
+    cells = F.concat(
+        F.transform(each, lambda j: cell(j, own, False)),
+        F.when(F.col("main"), F.array().cast("array<struct<i:int,j:int,left:boolean>>")).otherwise(F.transform(each, lambda j: cell(own, j, True))),
+    )
+    spread = members.join(parts, "key").withColumn("cell", F.explode(cells)).select("key", "cell.*", "rep", "l", "main", "d", "n", "s", "bag")
+    return spread.groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts with equal sets form a class, represented by its smallest doc_id. Classes that share a band go to one bucket.
-    A bucket is never expanded to all its pairs: its members are compared with three of them first, the confirmed links
-    are joined to components, and only members outside the component of the bucket's smallest are then compared with
-    the other components, behind size and sketch conditions that no link fails. Links are confirmed on full sets.
+    A bucket is never expanded to all its pairs: its members are measured against three of them first and the confirmed
+    links are joined to components. Only members outside the component of the bucket's smallest are then compared with
+    the other components, in bounded cells and behind conditions that no link fails: sizes, sketches, and the triangle
+    inequality of Jaccard distances to the bucket's smallest member. Links are confirmed on full sets.
 
     A null or wordless text has an empty set and is linked with nothing. A null doc_id is linked with nothing and kept.
     Rows that repeat a doc_id get the component of their own text; only rows whose doc_id is the component_id are kept,
@@ -185,26 +256,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
     known = reps.select("rep", "n", "s", "h1", "h2").join(members.select("rep").distinct(), "rep", "left_semi")
     known = materialize(known)
     sets = materialize(
-        packed_sets(docs.select("doc_id", "text").join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
+        # The ids grow with the corpus, so the texts are shuffled at every size.
+        packed_sets(docs.select("doc_id", "text").join(known.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
         .withColumnRenamed("doc_id", "rep").join(known.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi")
         .dropDuplicates(["rep"]).select("rep", "bag")
     )
     side = lambda c: known.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("s").alias(f"{c}_s"))
     stars = members.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(likely("a", "b")).select("a", "b")
-    links = materialize(confirmed(stars, sets))
-    labels = materialize(components(links))
+    seen = materialize(measured(stars, sets))
+    labels = materialize(components(seen.filter("linked").select("a", "b")))
 
     # What is left: members outside the component of their bucket's smallest, against the others of the bucket.
     label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l"))
     m = members.select("key", "rep", "p0").join(label_of("rep"), "rep", "left").join(label_of("p0"), "p0", "left")
-    m = m.select("key", "rep", F.coalesce("rep_l", "rep").alias("l"), F.coalesce("p0_l", "p0").alias("main"))
+    m = m.select("key", "rep", "p0", F.coalesce("rep_l", "rep").alias("l"), F.coalesce("p0_l", "p0").alias("main"))
     mixed = m.filter("l <> main").select("key").distinct()
-    m = materialize(m.join(mixed, "key", "left_semi").join(known.select("rep", "n", "s"), "rep"))
-    part = lambda d, c: d.select("key", *[F.col(k).alias(f"{c}_{k}") for k in ("rep", "l", "n", "s")])
-    cross = part(m.filter("l <> main"), "a").join(part(m, "b"), "key").filter("a_l <> b_l").filter(likely("a", "b"))
-    cross = cross.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-    more = materialize(confirmed(cross, sets))
+    to_first = seen.select(F.col("a").alias("p0"), F.col("b").alias("rep"), "d")
+    m = m.join(mixed, "key", "left_semi").join(to_first, ["p0", "rep"], "left").join(known.select("rep", "n", "s"), "rep")
+    m = materialize(m.select("key", "rep", "l", "n", "s", F.when(F.col("p0") == F.col("rep"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("l") == F.col("main")).alias("main")))
+    more = materialize(links_across(m.join(sets, "rep")).distinct())
     if more.isEmpty():
         final = labels
     else:
