@@ -36,7 +36,7 @@ LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+){1,4}", re.I)),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\.) ?[0-9]{1,3}+){3}(?![0-9.])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{3,6}+(?:[ ._/-]{0,2}+[0-9]{2,7}+){1,5}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9])(?:00|\+)? ?[0-9]{0,3}+ ?[-.]?\(?[0-9]{3}+\)?[ .-]{0,2}+[0-9]{3}+[ .-]{1,2}+[0-9]{4}+(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+])(?:(?:00|\+)[0-9]{1,3}+[ .-]?|[0-9]{1,3}[ .-])?\(?[0-9]{3}+\)?[ .-]{0,2}+[0-9]{3}+[ .-]{1,2}+[0-9]{4}+(?![0-9])")),
 )
 HINTS = re.compile(r"\b(?:phone|tel|call|mobile|fax|card|visa|credit|pay|mail|contact|ip|server|host|from)\b", re.I)
 
