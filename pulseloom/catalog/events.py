@@ -10,6 +10,7 @@ from pulseloom.catalog.common import FX_EVENT, FX_PULSE, FX_WAVE, GAP_US, csv, c
 from pulseloom.functions import waveform as wf
 from pulseloom.operators.position import lag_by_position, mark_segments, with_position
 from pulseloom.operators.sessions import anchor_events, gap_events, gap_slots
+from pulseloom.operators.stream_order import anchor_events_in_order
 from pulseloom.operators.summary import PART_ROWS, ordered_parts
 
 QUERIES = {}
@@ -39,6 +40,16 @@ ANCHOR = P + """, times as (select distinct t_us from fx_pulse),
   fx_anchor as (select p.*, event_id, anchor event_start from fx_pulse p join bounds on p.t_us >= anchor and p.t_us < until)
 """
 
+# in file order: from each row on to the first one that is further away in time, before or after
+FILE_ANCHOR = P + """, rows as materialized (select *, row_number() over (order by pulse_no) pos from fx_pulse),
+  far as materialized (select a.pos, min(b.pos) nxt from rows a left join rows b on b.pos > a.pos and abs(b.t_us - a.t_us) > 300000000 group by a.pos),
+  walk(pos, event_id) as (
+    select cast(1 as bigint), cast(1 as bigint) union all
+    select far.nxt, event_id + 1 from walk join far on far.pos = walk.pos where far.nxt is not null),
+  walked as materialized (select pos, event_id, coalesce(lead(pos) over (order by pos), 9000000000000000000) until from walk),
+  fx_file_anchor as (select r.*, event_id from rows r join walked w on r.pos >= w.pos and r.pos < w.until)
+"""
+
 
 @query("event_gap", EV + "select pulse_no, chip, channel, gch, t_us, charge, event_id from fx_event")
 def event_gap(spark, d):
@@ -50,24 +61,25 @@ def event_anchor(spark, d):
     return anchor_events(fx.pulses(spark, d), "t_us", GAP_US).select("pulse_no", "t_us", "event_id", "event_start")
 
 
-ARRAYS = "array_to_string(list({c} order by t_us, pulse_no), ',') {a}"
+ARRAYS = "array_to_string(list({c} order by {order}), ',') {a}"
 
 
-def parts_sql(source: str, key: str, arrays: dict[str, str], extra: str = "") -> str:
+def parts_sql(source: str, key: str, arrays: dict[str, str], extra: str = "", order: str = "t_us, pulse_no") -> str:
     """Arrays per key, cut every PART_ROWS rows; ``extra`` columns are the same in all parts of a key."""
-    lists = ", ".join(ARRAYS.format(c=c, a=a) for a, c in arrays.items())
+    lists = ", ".join(ARRAYS.format(c=c, a=a, order=order) for a, c in arrays.items())
     more = ", any_value(n) n, any_value(t_first) t_first" if extra else ""
-    return f""", numbered as (select *, (row_number() over (partition by {key} order by t_us, pulse_no) - 1) // {PART_ROWS} part {extra} from {source})
+    return f""", numbered as (select *, (row_number() over (partition by {key} order by {order}) - 1) // {PART_ROWS} part {extra} from {source})
       select {key}, cast(part as bigint) part{more}, {lists} from numbered group by {key}, part"""
 
 
 @query(
     "event_anchor_arrays",
-    ANCHOR + parts_sql("fx_anchor", "event_id", {"times": "t_us", "channels": "gch", "charges": "charge"}),
+    FILE_ANCHOR.rstrip() + parts_sql("fx_file_anchor", "event_id", {"times": "t_us", "channels": "gch", "charges": "charge"}, order="pulse_no"),
 )
 def event_anchor_arrays(spark, d):
-    e = anchor_events(fx.pulses(spark, d), "t_us", GAP_US).select("event_id", "t_us", "pulse_no", "gch", "charge")
-    parts = ordered_parts(e, ["event_id"], ["t_us", "pulse_no"], ["t_us", "gch", "charge"])
+    p = with_position(fx.pulses(spark, d).select("t_us", "pulse_no", "gch", "charge"), ["pulse_no"])
+    e = anchor_events_in_order(p, "pos", "t_us", GAP_US)
+    parts = ordered_parts(e.drop("pos"), ["event_id"], ["pulse_no"], ["t_us", "gch", "charge"])
     return parts.select("event_id", "part", csv("t_us").alias("times"), csv("gch").alias("channels"), csv("charge").alias("charges"))
 
 

@@ -11,6 +11,7 @@ from pulseloom.operators import chain, dims, hist, runs
 from pulseloom.operators.fits import gauss_fit, ols, track_fit
 from pulseloom.operators.position import carry_last, lag_by_position, mark_segments, nearest_within, with_position
 from pulseloom.operators.sessions import anchor_events, gap_events
+from pulseloom.operators.stream_order import anchor_events_in_order
 from pulseloom.operators.summary import event_times, ordered_parts
 from pulseloom.plans import checks
 from pulseloom.plans.hits import build_tracks
@@ -400,3 +401,18 @@ def test_event_times_with_null_time(spark):
     df = spark.createDataFrame([(1, 5, True, False), (1, None, True, False), (1, 9, False, True), (2, None, True, False)], "event_id int, t bigint, is_up boolean, is_dn boolean")
     got = {r["event_id"]: (r["y_offset"], r["y_up_ns"], r["y_dn_ns"]) for r in event_times(df, "t", 10.0, near=None).collect()}
     assert got == {1: (5, 0.0, 40.0), 2: (0, None, None)}
+
+
+@pytest.mark.parametrize("width", [3, 16, 1000])
+def test_anchors_in_file_order(spark, width):
+    rng = random.Random(width)
+    t, rows, want, ref, event = 0, [], [], None, 0
+    for i in range(120):
+        t += rng.choice([0, 1, 2, 5, 9, -3, -12]) if i % 40 < 30 else 0
+        rows.append((i, t))
+        if ref is None or abs(t - ref) > 10:
+            event, ref = event + 1, t
+        want.append(event)
+    df = spark.createDataFrame(rows, "pos long, t long").repartition(4)
+    got = anchor_events_in_order(df, "pos", "t", 10, width=width).orderBy("pos").collect()
+    assert [r["event_id"] for r in got] == want
