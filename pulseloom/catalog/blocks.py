@@ -60,7 +60,7 @@ WORD = "cast(('0x' || substring(hex, {at}, 4)) as bigint)"
       select p_partkey,
        array_to_string(list_transform(range(32), lambda i: ((b[(i * 10) // 8 + 1] * 256 + coalesce(b[(i * 10) // 8 + 2], 0)) >> (6 - (i * 10) % 8)) & 1023), ',') msb,
        array_to_string(list_transform(range(32), lambda i: ((b[(i * 10) // 8 + 1] + coalesce(b[(i * 10) // 8 + 2], 0) * 256) >> ((i * 10) % 8)) & 1023), ',') lsb,
-       ((b[1] * 256 + b[2]) >> 6) & 1023 first_value, (b[4] * 256 & 65535) >> 0 & 1023 unused from v""".replace(", (b[4] * 256 & 65535) >> 0 & 1023 unused", ""),
+       ((b[1] * 256 + b[2]) >> 6) & 1023 first_value from v""",
 )
 def unpack10(spark, d):
     return payload(spark, d).select(

@@ -348,7 +348,7 @@ def residual_distribution(spark, d):
 @query(
     "multiplicity_energy",
     H + SUMS_SQL + """, u as (select 'up' half, N_up n, E_up e from sums union all select 'down', N_dn, E_dn from sums)
-      select half, cast(floor(n) as bigint) bx, cast(floor(e / 5.0::double) as bigint) "by", count(*) n from u where n <= 20 and e <= 100 group by half, bx, "by" """.replace("floor(n)", "least(n, 19)").replace('floor(e / 5.0::double)', 'least(floor(e / 5.0::double), 19)'),
+      select half, cast(least(n, 19) as bigint) bx, cast(least(floor(e / 5.0::double), 19) as bigint) "by", count(*) n from u where n <= 20 and e <= 100 group by half, bx, "by" """,
 )
 def multiplicity_energy(spark, d):
     s = event_summary(hits(spark, d))

@@ -213,7 +213,8 @@ def find_pulses(
         # a null wave has no pulses
         return F.flatten(F.filter(F.transform(waves, channel), lambda found: found.isNotNull()))
 
-    return F.when(sv.isNotNull() & ts.isNotNull(), let(sv, channels))
+    # nothing to search is nothing found
+    return F.coalesce(F.when(sv.isNotNull() & ts.isNotNull(), let(sv, channels)), F.array())
 
 
 def as_parallel_arrays(items: Column | str) -> Column:

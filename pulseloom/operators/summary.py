@@ -32,13 +32,12 @@ def event_summary(hits: DataFrame, key: str = "event_id") -> DataFrame:
 
     Expects charge, x, z, energy and the zone flags. A missing energy or position adds nothing.
     """
-    mean = "try_divide(sum(if(is_{h}, cast(z as double), null)), cast(count_if(is_{h}) as double)) as z_{h}"
-    part = "sum(if(is_{z}, coalesce(cast({v} as double), 0.0D), 0.0D)) as {n}_{z}"
-    aggs = [mean.format(h=h) for h in ("up", "dn")]
-    for name, value in (("Wx", "charge * x"), ("Q", "charge"), ("E", "energy")):
-        aggs += [part.format(z=z, v=value, n=name) for z in ZONE_SUFFIXES]
-    aggs += [f"count_if(is_{z}) as N_{z}" for z in ("al", "up", "dn")]
-    return hits.groupBy(key).agg(*map(F.expr, aggs))
+    zone = lambda z: F.col(f"is_{z}")
+    aggs = [cmean(zone(h), F.col("z")).alias(f"z_{h}") for h in ("up", "dn")]
+    for name, value in (("Wx", F.col("charge") * F.col("x")), ("Q", F.col("charge")), ("E", F.col("energy"))):
+        aggs += [csum(zone(z), value).alias(f"{name}_{z}") for z in ZONE_SUFFIXES]
+    aggs += [ccount(zone(z)).alias(f"N_{z}") for z in ("al", "up", "dn")]
+    return hits.groupBy(key).agg(*aggs)
 
 
 def with_centroids(events: DataFrame) -> DataFrame:
