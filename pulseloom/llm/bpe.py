@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pulseloom.llm.common import table
 
 END = ""  # stands for the word-end mark of the vocabulary while a word is cut
-CACHED_WORDS = 400_000  # words whose ids a task remembers; the memory starts anew beyond that
+CACHED_WORDS = 300_000  # words whose ids a task remembers; the memory starts anew beyond that
 SLICE_CHARS = 1 << 22  # texts are taken in slices of about so many characters
 # The split pattern and the normaliser of the vocabulary file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
