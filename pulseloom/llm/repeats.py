@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import table
 from pulseloom.llm.tokens import Family, U, Words, mix
-from pulseloom.session import scratch_path
+from pulseloom.session import materialize, scratch_path
 
 WINDOW = 35
 ROUNDS = 6
@@ -293,8 +293,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 if len(at):
                     yield asked(batch.column(0)[i].as_py(), window_question(b, at))
 
-    first = _written(first, "symbols")
-    second = _written(answers(blocks.join(first, "block", "left").select("block", "texts", "answers").mapInArrow(ask_windows, ASK)), "windows")
+    first = materialize(first)
+    second = materialize(answers(blocks.join(first, "block", "left").select("block", "texts", "answers").mapInArrow(ask_windows, ASK)))
 
     def finish(batches):
         for batch in batches:
@@ -317,12 +317,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return both.select("block", "texts", "doc_ids", "answers", "verified").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def op8_repeats(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
