@@ -5,6 +5,8 @@ import harness
 import pytest
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+RARE = {"chip_charge_pairs"}  # has rows on the larger tables only
 QUERIES, ORACLE = spark_entry.queries(), spark_entry.oracle_sql()
 
 
@@ -16,7 +18,7 @@ def con():
 @pytest.mark.parametrize("key", sorted(k for k in QUERIES if k != "pipeline" and not k.startswith("op")))
 def test_matches_sql(spark, con, key):
     df = QUERIES[key](spark, SF)
-    assert not df.isEmpty()
+    assert not (df if key not in RARE else QUERIES[key](spark, LARGER)).isEmpty()
     if key in ORACLE:
         assert harness.compare(df, con, ORACLE[key]) is None
 
