@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.llm.common import table
+from pulseloom.session import materialize
 
 # Short public notices by licence id.
 TEMPLATES = (
@@ -45,14 +46,21 @@ def template_terms(templates=TEMPLATES) -> dict[str, dict[str, int]]:
     return out
 
 
-def inverse_frequencies(files: DataFrame, terms: list[str]) -> dict[str, float]:
-    """idf = ln((1 + N) / (1 + n)) + 1 over all texts; the key "" holds the idf of a term that is in no text."""
-    have = F.array_intersect(F.array_distinct(tokens(F.coalesce(F.col("text"), F.lit("")))), F.array(*[F.lit(t) for t in terms]))
-    rows = files.select(F.explode(F.array_append(have, F.lit(""))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    seen = {r["t"]: r["n"] for r in rows.collect()}  # at most one row per template term
+def frequencies(files: DataFrame) -> DataFrame:
+    """token, n: in how many texts it is, for every token of all texts; the token "" holds the number of texts."""
+    have = F.array_append(F.array_distinct(tokens(F.coalesce(F.col("text"), F.lit("")))), F.lit(""))
+    return files.select(F.explode(have).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inverse_frequency(total: Column, n: Column) -> Column:
+    return F.log((1 + total) / (1 + n)) + 1
+
+
+def inverse_frequencies(counts: DataFrame, terms: list[str]) -> tuple[dict[str, float], int]:
+    """idf = ln((1 + N) / (1 + n)) + 1 of template terms, and N."""
+    seen = {r["token"]: r["n"] for r in counts.filter(F.col("token").isin(["", *terms])).collect()}  # at most one row per template term
     n = seen.get("", 0)
-    idf = {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in terms}
-    return idf | {"": math.log(1 + n) + 1}
+    return {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in terms}, n
 
 
 def key_terms(weights: dict[str, float], match: float) -> list[str]:
@@ -74,14 +82,14 @@ def key_terms(weights: dict[str, float], match: float) -> list[str]:
 def scan_lines(files: DataFrame, *, templates=TEMPLATES, match: float = MATCH) -> DataFrame:
     """Best template of every line that reaches ``match``: path, line, license, score, line_tokens.
 
-    Vectors are tf * idf, with the idf of template terms from all texts and the highest idf for every other token, each
-    of whose occurrences counts as a dimension of its own. Every line of every text is looked at; lines without a key
+    Vectors are tf * idf, and the idf of every token, in a template or not, is that of all texts. Every line of every text is looked at; lines without a key
     term of any template cannot match and are left out before anything is exploded. Ties go to the smaller licence id.
     """
     spark = files.sparkSession
     counts = template_terms(templates)
     vocabulary = sorted({t for c in counts.values() for t in c})
-    idf = inverse_frequencies(files, vocabulary)
+    frequency = materialize(frequencies(files))
+    idf, total = inverse_frequencies(frequency, vocabulary)
     weighted = {name: {t: n * idf[t] for t, n in c.items()} for name, c in counts.items()}
     keys = sorted({k for w in weighted.values() for k in key_terms(w, match)})
     pattern = "(^|[^a-z0-9])(" + "|".join("\\.?".join(k) for k in keys) + ")\\.?($|[^a-z0-9])"
@@ -97,9 +105,8 @@ def scan_lines(files: DataFrame, *, templates=TEMPLATES, match: float = MATCH) -
         lines.select("path", "line", F.size("_w").alias("line_tokens"), F.explode("_w").alias("token"))
         .groupBy("path", "line", "line_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
-    plain = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "token string, _idf double"))
-    sized = tf.join(plain, "token", "left").withColumn(
-        "_sq", F.when(F.col("_idf").isNull(), F.col("tf") * F.lit(idf[""] ** 2)).otherwise(F.pow(F.col("tf") * F.col("_idf"), 2))
+    sized = tf.select("path", "line", "token", "tf").join(frequency, "token").withColumn(
+        "_sq", F.pow(F.col("tf") * inverse_frequency(F.lit(total), F.col("n")), 2)
     )
     norms = sized.groupBy("path", "line").agg(F.sqrt(F.sum("_sq")).alias("_norm"))
     dots = tf.join(index, "token").groupBy("path", "line", "line_tokens", "license").agg(

@@ -125,6 +125,19 @@ def test_licence_lines_of_all_documents(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("times", [10, 1000])
+def test_headers_with_extra_words_keep_their_licence_at_any_size(spark, times):
+    header = "// This file is licensed under the Apache License, Version 2.0."
+    texts = [header + "\nint x;", "# Copyright Foo. Licensed under the Apache License, Version 2.0.\nx = 1", "this file is about foo"]
+    texts += [f"this file is one of {i} that hold the other words" for i in range(7)]
+    files = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(texts)], "path string, text string")
+    many = files.crossJoin(spark.range(times)).select(F.concat_ws("/", F.col("id").cast("string"), "path").alias("path"), "text")
+    got = licenses.scan_licenses(many).select(F.substring_index("path", "/", -2).alias("p"), "own_license", "own_score").distinct().collect()
+    assert len(got) == len(texts)
+    score = {r["p"]: (r["own_license"], r["own_score"]) for r in got}
+    assert score["d0/x"][0] == score["d1/x"][0] == "Apache-2.0" and all(score[f"d{i}/x"] == (None, None) for i in range(2, 10))
+
+
 def test_pipeline_stages_on_their_own_input(spark):
     import corpus_pipeline as cp
     from pulseloom.llm import bpe, decontam, minhash, pii, quality
