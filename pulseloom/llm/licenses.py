@@ -1,14 +1,16 @@
-"""License scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory with a licence file."""
+"""License scans: TF-IDF cosine of files, blocks and lines to templates, then inheritance from the nearest directory with a licence file."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import table
+from pulseloom.llm.common import let, table
 from pulseloom.session import materialize
 
 # Short public notices by licence id.
@@ -26,12 +28,20 @@ TEMPLATES = (
 MATCH = 0.75
 FILE_SHARE = 0.5
 TOKEN_SPLIT = "[^a-z0-9]+"
+TEXTS = Path(__file__).resolve().parent / "licence_texts"  # full texts and standard headers, read by the driver
+COMMENT = r"^\s*(?:///?|/?\*|#|--|;|%|<!--|!|dnl\b|rem\b)"
+FILE, BLOCK, LINE = 0, 1, 2  # kinds of units
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.lower(text), ".", ""), TOKEN_SPLIT), "")
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Licence id and text of every full licence text and standard header."""
+    return tuple((p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in sorted(TEXTS.glob("*.txt")))
+
+
 def template_terms(templates=TEMPLATES) -> dict[str, dict[str, int]]:
     """Term counts of every template, tokenised as ``tokens`` does."""
     import re
@@ -56,22 +66,21 @@ def inverse_frequency(total: Column, n: Column) -> Column:
     return F.log((1 + total) / (1 + n)) + 1
 
 
-def inverse_frequencies(counts: DataFrame, terms: list[str]) -> tuple[dict[str, float], int]:
-    """idf = ln((1 + N) / (1 + n)) + 1 of template terms, and N."""
+def term_frequencies(counts: DataFrame, terms: list[str]) -> tuple[dict[str, int], int]:
+    """In how many texts each template term is, and the number of texts."""
     seen = {r["token"]: r["n"] for r in counts.filter(F.col("token").isin(["", *terms])).collect()}  # at most one row per template term
-    n = seen.get("", 0)
-    return {t: math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in terms}, n
+    return {t: seen.get(t, 0) for t in terms}, seen.get("", 0)
 
 
-def key_terms(weights: dict[str, float], match: float) -> list[str]:
+def key_terms(weights: dict[str, float], match: float, seen: dict[str, int]) -> list[str]:
     """Terms of which a text must have one to come within ``match`` of a template.
 
     What is left of the template without them has less than ``match`` of its norm, so by Cauchy-Schwarz a text that
-    shares only the rest stays below. The heaviest terms come first.
+    shares only the rest stays below. Terms that are in the fewest texts for their weight come first.
     """
     norm2 = sum(w * w for w in weights.values())
     rest, keys = norm2, []
-    for t, w in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+    for t, w in sorted(weights.items(), key=lambda x: (seen[x[0]] / x[1] ** 2, -x[1], x[0])):
         if rest < match * match * norm2 * (1 - 1e-9):
             break
         keys.append(t)
@@ -79,44 +88,89 @@ def key_terms(weights: dict[str, float], match: float) -> list[str]:
     return keys
 
 
-def scan_lines(files: DataFrame, *, templates=TEMPLATES, match: float = MATCH) -> DataFrame:
-    """Best template of every line that reaches ``match``: path, line, license, score, line_tokens.
+def fewest_terms(weights: dict[str, float], match: float) -> int:
+    """How many different terms of a template a text has at least that comes within ``match`` of it (Cauchy-Schwarz)."""
+    squares = sorted((w * w for w in weights.values()), reverse=True)
+    need, n = match * match * sum(squares) * (1 - 1e-9), 0
+    while need > 0 and n < len(squares):
+        need -= squares[n]
+        n += 1
+    return n
+
+
+def any_term(terms: list[str]) -> str:
+    """Pattern of a text that has one of the terms; terms with the same start share it, so a word is tried once."""
+
+    def branch(rest: list[str]) -> str:
+        heads = sorted({t[0] for t in rest if t})
+        arms = [c + "\\.*+" + branch([t[1:] for t in rest if t[:1] == c]) for c in heads]
+        arms += ["(?:$|[^a-z0-9.])"] if "" in rest else []
+        return arms[0] if len(arms) == 1 else "(?:" + "|".join(arms) + ")"
+
+    return "(?:^|[^a-z0-9.])\\.*+" + branch(terms) if terms else "$^"
 
-    Vectors are tf * idf, and the idf of every token, in a template or not, is that of all texts. Every line of every text is looked at; lines without a key
-    term of any template cannot match and are left out before anything is exploded. Ties go to the smaller licence id.
+
+def blocks(text: Column) -> Column:
+    """Neighbouring lines that belong together: runs of comment lines, bodies of /* */, and paragraphs; single lines are left out."""
+    cut = "\u0001"
+    lines = F.split(text, "\n")
+    joined = lambda apart: F.split(F.array_join(F.transform(lines, lambda x: F.when(apart(x), F.lit(cut)).otherwise(F.translate(x, cut, " "))), "\n"), cut)
+    comments = joined(lambda x: ~F.lower(x).rlike(COMMENT))
+    paragraphs = joined(lambda x: F.trim(F.translate(x, "\t\r", "  ")) == "")
+    bodies = F.transform(F.filter(F.split(text, r"\*/"), lambda x: x.contains("/*")), lambda x: F.substring_index(x, "/*", -1))
+    return F.array_distinct(F.filter(F.concat(comments, paragraphs, bodies), lambda x: F.trim(F.translate(x, "\n", " ")) != F.lit("")))
+
+
+def scan_units(files: DataFrame, *, templates=TEMPLATES, texts=None, match: float = MATCH) -> DataFrame:
+    """Best template of every unit that reaches ``match``: path, kind, unit, license, score, full, n_tokens.
+
+    Units are the whole file, its blocks and its lines; all are measured against the short ``templates`` and the full
+    ``texts``. Vectors are tf * idf, and the idf of every token, in a template or not, is that of all texts. Units that
+    cannot match by the Cauchy-Schwarz inequality are left out before anything is exploded; units of equal tokens are
+    scored once. A full text goes before a short notice, ties go to the smaller licence id.
     """
     spark = files.sparkSession
-    counts = template_terms(templates)
-    vocabulary = sorted({t for c in counts.values() for t in c})
+    texts = full_texts() if texts is None else texts
+    # Templates are numbered: a licence may have several.
+    named = [(name, False, *template_terms([(name, t)]).values()) for name, t in templates]
+    named += [(name, True, *template_terms([(name, t)]).values()) for name, t in texts]
+    vocabulary = sorted({t for _, _, c in named for t in c})
     frequency = materialize(frequencies(files))
-    idf, total = inverse_frequencies(frequency, vocabulary)
-    weighted = {name: {t: n * idf[t] for t, n in c.items()} for name, c in counts.items()}
-    keys = sorted({k for w in weighted.values() for k in key_terms(w, match)})
-    pattern = "(^|[^a-z0-9])(" + "|".join("\\.?".join(k) for k in keys) + ")\\.?($|[^a-z0-9])"
-    rows = [
-        (t, idf[t], name, w / math.sqrt(sum(x * x for x in ws.values())))
-        for name, ws in weighted.items() for t, w in ws.items()
-    ]
-    # One row per template term: bounded by the templates.
-    index = F.broadcast(spark.createDataFrame(rows, "token string, idf double, license string, weight double"))
-    split_lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike(pattern))
-    lines = files.select("path", F.posexplode(split_lines).alias("line", "_t")).select("path", "line", tokens(F.col("_t")).alias("_w"))
-    tf = (
-        lines.select("path", "line", F.size("_w").alias("line_tokens"), F.explode("_w").alias("token"))
-        .groupBy("path", "line", "line_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
+    seen, total = term_frequencies(frequency, vocabulary)
+    idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in seen.items()}
+    weighted = [(name, full, {t: n * idf[t] for t, n in c.items()}) for name, full, c in named]
+    keys = lambda which: sorted({k for _, full, w in weighted if full in which for k in key_terms(w, match, seen)})
+    short, every, whole = any_term(keys([False])), any_term(keys([False, True])), any_term(keys([True]))
+    long = [(fewest_terms(w, match), F.split(F.lit(" ".join(w)), " ")) for _, full, w in weighted if full]
+    least = min((n for n, _ in long), default=0)
+    enough = lambda have: (F.size(have) >= least) & reduce(
+        lambda x, y: x | y, (F.size(F.array_intersect(have, terms)) >= n for n, terms in long)
+    )
+    possible = lambda x: F.lower(x).rlike(short) | (F.lower(x).rlike(whole) & let(F.array_distinct(tokens(x)), enough) if long else F.lit(False))
+    units = lambda kind, xs: F.transform(
+        F.filter(xs, possible), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit"), F.array_join(tokens(x), " ").alias("words"))
     )
-    sized = tf.select("path", "line", "token", "tf").join(frequency, "token").withColumn(
-        "_sq", F.pow(F.col("tf") * inverse_frequency(F.lit(total), F.col("n")), 2)
+    text = F.col("text")
+    found = files.filter(F.lower(text).rlike(every)).select(
+        "path", F.explode(F.concat(units(FILE, F.array(text)), units(BLOCK, blocks(text)), units(LINE, F.split(text, "\n")))).alias("u")
     )
-    norms = sized.groupBy("path", "line").agg(F.sqrt(F.sum("_sq")).alias("_norm"))
-    dots = tf.join(index, "token").groupBy("path", "line", "line_tokens", "license").agg(
-        F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("_dot")
+    found = materialize(found.select("path", "u.*", F.md5(F.encode("u.words", "UTF-8")).alias("id")))
+    index = F.broadcast(spark.createDataFrame(  # one row per template term: bounded by the templates
+        [(t, idf[t], k, w / math.sqrt(sum(x * x for x in ws.values()))) for k, (_, _, ws) in enumerate(weighted) for t, w in ws.items()],
+        "token string, idf double, template int, weight double",
+    ))
+    names = F.broadcast(spark.createDataFrame([(k, name, full) for k, (name, full, _) in enumerate(weighted)], "template int, license string, full boolean"))
+    once = found.groupBy("id").agg(F.first("words").alias("words"))
+    tf = once.select("id", F.explode(F.split("words", " ")).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    norms = tf.join(frequency, "token").groupBy("id").agg(
+        F.sqrt(F.sum(F.pow(F.col("tf") * inverse_frequency(F.lit(total), F.col("n")), 2))).alias("_norm")
     )
-    scores = dots.join(norms, ["path", "line"]).withColumn("score", F.round(F.col("_dot") / F.col("_norm"), 6))
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"), F.col("line_tokens").alias("n")))
-    return (
-        scores.filter(F.col("score") >= match).groupBy("path", "line").agg(best.alias("b"))
-        .select("path", "line", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.n").alias("line_tokens"))
+    dots = tf.join(index, "token").groupBy("id", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("_dot"))
+    scores = dots.join(norms, "id").withColumn("score", F.round(F.col("_dot") / F.col("_norm"), 6)).filter(F.col("score") >= match)
+    best = F.min(F.struct((~F.col("full")).alias("f"), (-F.col("score")).alias("s"), F.col("license").alias("l")))
+    of_id = scores.join(names, "template").groupBy("id").agg(best.alias("b"))
+    return found.select("path", "kind", "unit", "id", F.size(F.split("words", " ")).alias("n_tokens")).join(of_id, "id").select(
+        "path", "kind", "unit", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score"), (~F.col("b.f")).alias("full"), "n_tokens"
     )
 
 
@@ -124,11 +178,14 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, *, templates=TEMPLATES, match: float = MATCH, file_share: float = FILE_SHARE) -> DataFrame:
+def scan_licenses(
+    files: DataFrame, *, templates=TEMPLATES, texts=None, match: float = MATCH, file_share: float = FILE_SHARE
+) -> DataFrame:
     """One row per path: path, own_license, own_score, is_license_file, license, license_from.
 
-    ``own_license`` is the best matching line of the file. A file of whose tokens at least ``file_share`` stand in
-    matching lines is a licence file and covers its directory and all below that have no nearer one; of several in one
+    ``own_license`` is that of the best matching unit: the file as a whole, a block of neighbouring lines, or a line. A
+    file that matches as a whole, or of whose tokens at least ``file_share`` stand in matching lines, is a licence file
+    and covers its directory and all below that have no nearer one; of several in one
     directory the higher score wins, then the smaller path. ``license`` is the own licence, else the inherited one, else
     null; ``license_from`` is the directory it came from ("" is the root; null for own or none).
 
@@ -136,15 +193,15 @@ def scan_licenses(files: DataFrame, *, templates=TEMPLATES, match: float = MATCH
     order. A null path is a file without a directory, a null or empty text has no licence, and an empty table gives no rows.
     """
     files = files.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    hits = scan_lines(files.filter("path is not null"), templates=templates, match=match)
-    first = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))
-    own = hits.groupBy("path").agg(first.alias("b"), F.sum("line_tokens").alias("_matched")).select(
-        "path", F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score"), "_matched"
-    )
+    hits = scan_units(files.filter("path is not null"), templates=templates, texts=texts, match=match)
+    first = F.min(F.struct((~F.col("full")).alias("f"), (-F.col("score")).alias("s"), F.col("license").alias("l")))
+    own = hits.groupBy("path").agg(
+        first.alias("b"), F.sum(F.when(F.col("kind") == LINE, F.col("n_tokens"))).alias("_matched"), F.max(F.col("kind") == FILE).alias("_whole")
+    ).select("path", F.col("b.l").alias("own_license"), (-F.col("b.s")).alias("own_score"), "_matched", "_whole")
     # Only paths and counts are joined from here on, no texts.
     sizes = files.groupBy("path").agg(F.sum(F.size(tokens(F.col("text")))).alias("_n"))
     known = sizes.join(own, "path", "left").withColumn(
-        "is_license_file", F.coalesce(F.col("_matched") >= F.col("_n") * file_share, F.lit(False))
+        "is_license_file", F.coalesce("_whole", F.lit(False)) | F.coalesce(F.col("_matched") >= F.col("_n") * file_share, F.lit(False))
     ).withColumn("_dir", folder_of(F.col("path")))
     pick = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_license").alias("l")))
     covers = known.filter("is_license_file").groupBy("_dir").agg(pick.alias("b")).select(F.col("_dir").alias("_up"), F.col("b.l").alias("_license"))

@@ -138,6 +138,25 @@ def test_headers_with_extra_words_keep_their_licence_at_any_size(spark, times):
     assert score["d0/x"][0] == score["d1/x"][0] == "Apache-2.0" and all(score[f"d{i}/x"] == (None, None) for i in range(2, 10))
 
 
+def test_full_texts_and_wrapped_headers(spark):
+    texts = {p.name: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    mit = "MIT License\n\nCopyright (c) 2019 Jane Doe\nAll rights reserved.\n\n" + texts["MIT.txt"].split("\n\n", 2)[2]
+    header = "".join(f"# {x.strip()}\n" for x in texts["Apache-2.0.header.txt"].splitlines())
+    code = "".join(f"value{i} = other{i}(thing{i})\n" for i in range(300))
+    wrapped = "/*\n   Released under\n   the MIT\n   License.\n*/\n"
+    rows = [
+        ("m/LICENSE", mit), ("m/x.py", code), ("a/y.py", header + "\n" + code), ("a/z.py", code), ("w/v.c", wrapped + code),
+        ("b/COPYING", texts["BSD-3-Clause.txt"]), ("b/c/t.py", code), ("g/COPYING", texts["GPL-3.0.txt"]), ("l/COPYING", texts["LGPL-2.1.txt"]),
+        ("p/LICENSE", texts["Apache-2.0.txt"]), ("g2/COPYING", texts["GPL-2.0.txt"]),
+    ]
+    got = {r["path"]: (r["license"], r["license_from"], r["is_license_file"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", None, True), "m/x.py": ("MIT", "m", False), "a/y.py": ("Apache-2.0", None, False), "a/z.py": (None, None, False),
+        "w/v.c": ("MIT", None, False), "b/COPYING": ("BSD-3-Clause", None, True), "b/c/t.py": ("BSD-3-Clause", "b", False),
+        "g/COPYING": ("GPL-3.0", None, True), "l/COPYING": ("LGPL-2.1", None, True), "p/LICENSE": ("Apache-2.0", None, True), "g2/COPYING": ("GPL-2.0", None, True),
+    }
+
+
 def test_pipeline_stages_on_their_own_input(spark):
     import corpus_pipeline as cp
     from pulseloom.llm import bpe, decontam, minhash, pii, quality
