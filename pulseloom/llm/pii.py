@@ -36,6 +36,7 @@ LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]{1,63}+(?: dot [A-Za-z0-9-]{1,63}+){1,4}", re.I)),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\.) ?[0-9]{1,3}+){3}(?![0-9.])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{3,6}+(?:[ ._/-]{0,2}+[0-9]{2,7}+){1,5}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+])(?:(?:00|\+)[1-9][0-9]{0,2}+[ .-]?)?(?:\(0?[0-9]{1,4}\)|[0-9]{1,5}+)(?:[ .-]{1,2}+|/|(?<=\)))[0-9]{2,8}+(?:[ .-]{1,2}+[0-9]{2,4}+){0,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+])(?:(?:00|\+)[0-9]{1,3}+[ .-]?|[0-9]{1,3}[ .-])?\(?[0-9]{3}+\)?[ .-]{0,2}+[0-9]{3}+[ .-]{1,2}+[0-9]{4}+(?![0-9])")),
 )
 HINTS = re.compile(r"\b(?:phone|tel|call|mobile|fax|card|visa|credit|pay|mail|contact|ip|server|host|from)\b", re.I)
@@ -88,7 +89,8 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
     starts = np.array([a for a, _ in taken] or [0])
     ends = np.array([b for _, b in taken] or [0])
     free = lambda a, b: not ((starts < b) & (ends > a)).any()
-    return sorted(c for c in found if free(c[1], c[2]))
+    digits = lambda c: len(only_digits(text[c[1] : c[2]]))
+    return sorted(c for c in found if free(c[1], c[2]) and (c[0] != "phone" or 7 <= digits(c) <= 15))
 
 
 def describe(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -120,17 +122,37 @@ def variants(kind: str, s: str, rng: random.Random) -> list[tuple[str, int]]:
         cut = lambda x: ".".join(x[i : i + 4] for i in range(0, len(x), 4))
         return [(cut(d), 1), (off, 0), (cut(off), 0), (d[:10], 0)]
     nine = d[-10:]
+    two, rest = nine[2:], nine[3:]
+    national = [  # groupings of other countries, with the leading zero of the trunk
+        f"0{nine[0]} {' '.join(nine[i : i + 2] for i in range(1, 9, 2))}", f"0{nine[:2]}/{two}", f"0{nine[:3]} {rest}", f"(0{nine[:2]}) {two[:4]} {two[4:]}",
+        f"0{nine[:2]}-{two[:4]}-{two[4:]}", f"0{nine[:4]} {nine[4:]}", f"0{nine[:2]} {two[:4]} {two[4:]}",
+    ]
+    broken = [f"{nine[:1]}-{nine[1:2]}-{nine[2:]}", f"{nine[:5]}.{nine[5:]}", f"{nine[:3]} {nine[3:5]}", f"{rng.randint(1, 9)} {nine[:2]} {nine[2:4]} {nine[4:6]}"]
     return [
+        *((x, 1) for x in national if len(nine) == 10), *((x, 0) for x in broken),
         (f"({nine[:3]}) {nine[3:6]}-{nine[6:]}", 1), (f"{nine[:3]}-{nine[3:6]}-{nine[6:]}", 1), (f"00{d[:-10]} {nine[:3]} {nine[3:6]} {nine[6:]}", 1),
         (nine, 0), (f"{nine[:4]} {nine[4:]}", 0), (f"{nine[:4]}-{nine[4:6]}-{nine[6:8]}", 0),
     ]
 
 
+def breaks_rules(kind: str, s: str) -> bool:
+    """Whether a loose match cannot be data of its kind, however it is spelled."""
+    d = only_digits(s)
+    if kind == "email":
+        return not re.search(r"(?:dot|\.)[^A-Za-z0-9]*[A-Za-z-]{2,}$", s, re.I)
+    if kind == "ip":
+        return any(int(x) > 255 for x in re.findall("[0-9]+", s))
+    if kind == "card":
+        return not (13 <= len(d) <= 19 and luhn(d))
+    return not 7 <= len(d) <= 15 or len(set(d)) < 3
+
+
 def labelled(text: str) -> list[tuple[list[float], int]]:
     """Labelled rows out of one text, without human labels.
 
     Each base span is respelled in place: the spellings of the same data are positive, its look-alikes negative. What the
-    loose patterns find elsewhere (numbers, versions, keys) is negative.
+    loose patterns find elsewhere is negative only where it breaks a rule of its form; the rest may be personal data and
+    is left out, so that a form does not become unlikely by being frequent.
     """
     base = base_spans(text)
     flat = sorted((a, b, k) for k, ss in base.items() for a, b in ss)
@@ -144,7 +166,7 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
                 if x < at + len(s) and z > at:
                     whole = x <= at + 2 and z >= at + len(s) - 2 and x >= at - 2
                     rows.append((describe(changed, k, x, z), int(y and whole and k == kind)))
-    rows += [(describe(text, k, a, b), 0) for k, a, b in candidates(text, [(a, b) for a, b, _ in flat])]
+    rows += [(describe(text, k, a, b), 0) for k, a, b in candidates(text, [(a, b) for a, b, _ in flat]) if breaks_rules(k, text[a:b])]
     return rows
 
 

@@ -60,6 +60,28 @@ def test_trees_find_respelled_data_and_leave_numbers_alone(spark):
         assert found(clean) == []
 
 
+def test_frequent_forms_are_still_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rng = random.Random(5)
+    n = lambda k: "".join(rng.choices("123456789", k=k))
+    rows, forms = [], {}
+    for i, r in enumerate(docs):
+        text = r["text"] or ""
+        if i % 3 == 0:
+            phone = (f"({n(3)}) {n(3)}-{n(4)}", f"0{n(2)} {n(4)} {n(4)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{n(3)} {n(7)}")[i // 3 % 4]
+            mail = f"jane{i} [at] mail [dot] com"
+            text += f"\nplease call {phone} today\nwrite to {mail} soon"
+            forms[i] = (phone, mail)
+        rows.append((i, text))
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    hit = {k: 0 for k in range(5)}
+    for i, (phone, mail) in forms.items():
+        got = {rows[i][1][a:b] for _, a, b, _, _ in pii.spans_of(rows[i][1], model)}
+        hit[i // 3 % 4] += phone in got
+        hit[4] += mail in got
+    assert hit[4] > 0.95 * len(forms) and all(hit[k] > 0.9 * len(forms) / 4 for k in range(4)), hit
+
+
 def test_calibration_rises_and_is_right_on_held_out_rows():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(6000, 4))
