@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import bpe, chat, decontam, licenses, minhash, pii, quality, repeats, sharding, urls
+from pulseloom.llm import bpe, chat, decontam, lexical, licenses, minhash, pii, quality, repeats, sharding, urls, whitening
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_search": lexical.op13_search,
 }
 
 # The others are held against brute force in the tests: no SQL can fit trees, merge tokens or hash as Spark does.
@@ -25,4 +27,5 @@ ORACLE = {
     "op6_minhash": minhash.SQL,
     "op8_repeats": repeats.SQL,
     "op9_chat": chat.SQL,
+    "op13_search": lexical.SQL,
 }
