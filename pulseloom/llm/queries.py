@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseloom.llm import bpe, chat, decontam, lexical, licenses, minhash, pii, quality, repeats, sharding, urls, whitening
+from pulseloom.llm import bpe, chat, decontam, lexical, licenses, minhash, pii, quality, repeats, sharding, urls, whitening, wrappers
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
+    "op11_html": wrappers.op11_html,
     "op12_whitening": whitening.op12_whitening,
     "op13_search": lexical.op13_search,
 }
