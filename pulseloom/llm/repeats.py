@@ -19,6 +19,7 @@ WINDOW = 35
 ROUNDS = 6
 BLOCK_BYTES = 4 << 20  # texts are packed to rows of about this size
 PART_BYTES = 32 << 20  # bytes of text per hash part and per bucket: what one task holds at a time
+MOST_BUCKETS = 50_000  # a table may not have more than twice as many; the hash parts are not bound to it
 
 
 def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,11 +215,11 @@ def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
 
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     name = f"blocks_{secrets.token_hex(8)}"
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pack, "block long, doc_ids array<long>, texts array<string>")
-    rows.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name), buckets
+    rows.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(min(parts, MOST_BUCKETS), "block").saveAsTable(name)
+    return spark.table(name), parts
 
 
 def answers(questions: DataFrame) -> DataFrame:

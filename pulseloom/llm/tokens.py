@@ -23,29 +23,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+PLACES = 256  # bytes of a word whose random numbers are held in a table; those of later bytes are worked out
+
+
 class Family:
-    """Hash functions of byte strings and of sequences of numbers, set by a seed."""
+    """Hash functions of byte strings and of sequences of numbers, set by a seed.
+
+    Every byte at every place of a word has a random number of its own, and so has every place of a window a factor. Equal
+    sums of different words are a matter of chance (2^-64), whatever the words look like; powers of a base would let
+    regular words meet under every seed.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.bytes = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-        self.base, self.step = (U(int(v) * 8 + 5) for v in rng.integers(1, 1 << 60, 2))
-        self.powers = np.ones(1, U)
+        self.seed = seed
+        self.byte_at = rng.integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
+        self.far, self.size = rng.integers(0, 1 << 64, 2, dtype=np.uint64) | U(1)
+        self.factors = rng.integers(0, 1 << 64, 64, dtype=np.uint64) | U(1)
+
+    def __reduce__(self):
+        return Family, (self.seed,)  # the tables are drawn again where they are used
+
+    def factors_to(self, n: int) -> np.ndarray:
+        if len(self.factors) < n:
+            more = np.random.default_rng((self.seed, n)).integers(0, 1 << 64, n, dtype=np.uint64) | U(1)
+            more[: len(self.factors)] = self.factors
+            return more
+        return self.factors[:n]
 
-    def powers_to(self, n: int) -> np.ndarray:
-        if len(self.powers) < n:
-            more = np.full(max(n, 2 * len(self.powers)), self.base)
-            more[0] = U(1)
-            self.powers = np.cumprod(more, dtype=U)
-        return self.powers
+    def terms(self, chars: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The numbers of bytes at their places."""
+        if not len(place) or int(place.max()) < PLACES:
+            return self.byte_at[place * 256 + chars]
+        out = np.empty(len(chars), U)
+        near = place < PLACES
+        out[near] = self.byte_at[place[near] * 256 + chars[near]]
+        out[~near] = mix(mix(place[~near].astype(U) * self.far + self.size) ^ self.byte_at[chars[~near]])
+        return out
 
     def windows(self, x: np.ndarray, size: int) -> np.ndarray:
         """One number for every ``size`` neighbours in a row of numbers (len(x) - size + 1 of them)."""
         if len(x) < size:
             return np.zeros(0, U)
         out = np.zeros(len(x) - size + 1, U)
-        for j in range(size):
-            out = out * self.step + x[j : j + len(out)]
+        for j, f in enumerate(self.factors_to(size)):
+            out += x[j : j + len(out)] * f
         return mix(out)
 
 
@@ -79,5 +101,5 @@ class Words:
         begin = np.cumsum(size) - size
         chars = self.raw[self.inside]
         place = np.arange(len(chars)) - np.repeat(begin, size)
-        terms = family.bytes[LOWER[chars] if lower else chars] * family.powers_to(int(size.max()))[place]
-        return mix(np.add.reduceat(terms, begin) + size.astype(U))
+        terms = family.terms(LOWER[chars] if lower else chars, place)
+        return mix(np.add.reduceat(terms, begin) + size.astype(U) * family.size)
