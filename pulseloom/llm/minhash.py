@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +84,11 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n, h1, h2 (fingerprint of the set), keys, s (sketch); no text."""
+def signatures(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """One row per document: doc_id, the columns to carry, n, h1, h2 (fingerprint of the set), keys, s (sketch); no text."""
     family, minmax = Family(6), MinMax()
+    docs = docs.select("doc_id", "text", *carry)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,10 +104,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h2 = np.array([mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U) for x in sets], U)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), signed(m.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), signed(h1), signed(h2), lists(keys), lists(s)], names=["doc_id", "n", "h1", "h2", "keys", "s"]
+                    [batch.column(0), *batch.columns[2:], pa.array(n), signed(h1), signed(h2), lists(keys), lists(s)],
+                    names=["doc_id", *carry, "n", "h1", "h2", "keys", "s"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>, s array<long>")
+    return docs.mapInArrow(run, "doc_id long, " + kept + ", " * bool(kept) + "n long, h1 long, h2 long, keys array<long>, s array<long>")
 
 
 def packed_sets(docs: DataFrame) -> DataFrame:
@@ -163,19 +167,46 @@ def likely(x: str, y: str):
 
 
 CELL = 500  # members of a bucket on either side of a comparison: what one task holds at a time
+CELL_BYTES = 16 << 20  # and their sets, on average
+
+
+def _close(rep, label, main, n, d, sketch, u: int, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of ``right`` that a left member may be linked with by all but the full sets, and their equal sketch entries."""
+    near = OF * np.minimum(n[u], n[right]) >= NEED * np.maximum(n[u], n[right])
+    near &= (label[right] != label[u]) & (main[right] | (rep[u] < rep[right])) & ~(np.abs(d[right] - d[u]) > 1 - NEED / OF + 1e-9)
+    at = right[near]
+    agree = 2 * PERMUTATIONS - np.bitwise_count(np.bitwise_or.reduce(sketch[at] ^ sketch[u], axis=1)).sum(axis=1, dtype=np.int64)
+    return at[agree >= SKETCH_AGREE], agree[agree >= SKETCH_AGREE]
+
+
+def _members(cell: pa.Table) -> tuple:
+    column = lambda c: cell[c].to_numpy(zero_copy_only=False)
+    sketch = cell["s"].combine_chunks().flatten().to_numpy().reshape(cell.num_rows, SKETCH_BITS, SKETCH_WORDS).view(U)
+    return column("rep"), column("l"), column("main").astype(bool), column("n"), column("d").astype(float), sketch
+
+
+def cell_close(cell: pa.Table) -> pa.Table:
+    """The members of a cell whose full sets are needed."""
+    m = _members(cell)
+    left = cell["left"].to_numpy(zero_copy_only=False).astype(bool)
+    right = np.flatnonzero(~left)
+    need = np.zeros(cell.num_rows, bool)
+    for u in np.flatnonzero(left):
+        at, _ = _close(*m, u, right)
+        need[at] = True
+        need[u] = len(at) > 0
+    return cell.filter(pa.array(need))
 
 
 def cell_links(cell: pa.Table) -> pa.Table:
     """Links between members of two stretches of a bucket, as many as it takes to join their components.
 
-    Sizes, labels, distances to the bucket's smallest member and sketches are compared first, all at once per left
-    member; then full sets, the likeliest first, as long as the two components are still apart.
+    Full sets are compared, the likeliest first, as long as the two components are still apart.
     """
-    get = lambda c: np.array(cell[c].to_pylist())
-    rep, label, main, n, left = get("rep"), get("l"), get("main"), get("n"), get("left")
-    d = np.array([np.nan if x is None else x for x in cell["d"].to_pylist()])
-    sketch = np.array(cell["s"].to_pylist(), np.int64).reshape(len(rep), SKETCH_BITS, SKETCH_WORDS).view(U)
+    rep, label, *rest = _members(cell)
+    left = cell["left"].to_numpy(zero_copy_only=False).astype(bool)
     right = np.flatnonzero(~left)
+    sets = cell["bag"].combine_chunks()
     bags: dict[int, np.ndarray] = {}
     parent: dict[int, int] = {}
 
@@ -186,19 +217,13 @@ def cell_links(cell: pa.Table) -> pa.Table:
 
     def bag(i: int) -> np.ndarray:
         if i not in bags:
-            bags[i] = unpacked(cell["bag"][i].as_buffer())
+            bags[i] = unpacked(sets[i].as_buffer())
         return bags[i]
 
     out = []
     for u in np.flatnonzero(left):
-        near = OF * np.minimum(n[u], n[right]) >= NEED * np.maximum(n[u], n[right])
-        near &= (label[right] != label[u]) & (main[right] | (rep[u] < rep[right])) & ~(np.abs(d[right] - d[u]) > 1 - NEED / OF + 1e-9)
-        at = right[near]
-        agree = 2 * PERMUTATIONS - np.bitwise_count(np.bitwise_or.reduce(sketch[at] ^ sketch[u], axis=1)).sum(axis=1, dtype=np.int64)
-        for k in np.argsort(-agree, kind="stable"):
-            if agree[k] < SKETCH_AGREE:
-                break
-            v = at[k]
+        at, agree = _close(rep, label, *rest, u, right)
+        for v in at[np.argsort(-agree, kind="stable")]:
             if root(label[u]) == root(label[v]):
                 continue
             x, y = bag(u), bag(v)
@@ -209,43 +234,39 @@ def cell_links(cell: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(x) for x, _ in out], pa.int64()), "b": pa.array([int(x) for _, x in out], pa.int64())})
 
 
-def links_across(members: DataFrame) -> DataFrame:
+def links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join components within buckets.
 
-    ``members``: key, rep, l (component), main (whether it is that of the bucket's smallest), d, n, s, bag. Each bucket is
-    cut to stretches of about CELL members, and every pair of stretches is a group of its own, so a bucket of any size
-    spreads over many tasks and no pair is ever a row. Members of the main component are not compared with each other.
+    ``members``: key, rep, l (component), main (whether it is that of the bucket's smallest), d, n, s; ``sets``: rep, bag.
+    The members of a bucket are cut to stretches of about CELL members, those outside the main component to stretches of
+    their own, and every pair of stretches is a group, so a bucket of any size spreads over many tasks and no pair is
+    ever a row. A member travels once for every stretch outside the main component: with one stray, once. Sizes, labels,
+    distances and sketches are compared first; full sets go only to the cells, and only of the members, that need them.
     """
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("k"))
-    own = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    lots = lambda which: F.greatest(F.ceil(F.count_if(which) / CELL), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) * SET_BYTES / CELL_BYTES)).cast("int")
+    parts = members.groupBy("key").agg(lots(F.lit(True)).alias("k"), lots(~F.col("main")).alias("strays"))
+    own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     cell = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
-    each = F.sequence(F.lit(0), F.col("k") - 1)
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     cells = F.concat(
-        F.transform(each, lambda j: cell(j, own, False)),
-        F.when(F.col("main"), F.array().cast("array<struct<i:int,j:int,left:boolean>>")).otherwise(F.transform(each, lambda j: cell(own, j, True))),
+        F.transform(each("strays"), lambda i: cell(i, own("k"), False)),
+        F.when(F.col("main"), F.array().cast("array<struct<i:int,j:int,left:boolean>>")).otherwise(F.transform(each("k"), lambda j: cell(own("strays"), j, True))),
     )
-    spread = members.join(parts, "key").withColumn("cell", F.explode(cells)).select("key", "cell.*", "rep", "l", "main", "d", "n", "s", "bag")
-    return spread.groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    slim = ["key", "i", "j", "left", "rep", "l", "main", "d", "n", "s"]
+    spread = members.join(parts.filter("strays > 0"), "key").withColumn("cell", F.explode(cells)).select("key", "cell.*", *slim[4:])
+    need = materialize(spread.select(*slim).groupBy("key", "i", "j").applyInArrow(cell_close, spread.select(*slim).schema))
+    return need.join(sets, "rep").select(*slim, "bag").groupBy("key", "i", "j").applyInArrow(cell_links, "a long, b long")
 
-    Texts with equal sets form a class, represented by its smallest doc_id. Classes that share a band go to one bucket.
-    A bucket is never expanded to all its pairs: its members are measured against three of them first and the confirmed
-    links are joined to components. Only members outside the component of the bucket's smallest are then compared with
-    the other components, in bounded cells and behind conditions that no link fails: sizes, sketches, and the triangle
-    inequality of Jaccard distances to the bucket's smallest member. Links are confirmed on full sets.
 
-    A null or wordless text has an empty set and is linked with nothing. A null doc_id is linked with nothing and kept.
-    Rows that repeat a doc_id get the component of their own text; only rows whose doc_id is the component_id are kept,
-    so repeated rows stay together. Other columns are not read; an empty table gives no rows.
-    """
-    sig = materialize(signatures(docs))
+def labelled(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the columns to carry, n (shingles), label (number of the component, null where
+    nothing can be linked) and component_id."""
+    sig = materialize(signatures(docs, carry))
     usable = sig.filter("n > 0 and doc_id is not null")
+    # A class is known by its number. Its smallest doc_id may be that of other texts, too.
     reps = materialize(
-        usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "s", "keys"), "doc_id").alias("x"))
-        .select("h1", "h2", "rep", "x.n", "x.s", "x.keys")
+        usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "s", "keys"), "doc_id").alias("x"))
+        .select("h1", "h2", "id", "x.n", "x.s", "x.keys", F.monotonically_increasing_id().alias("rep"))
     )
     rows = reps.select("rep", F.explode("keys").alias("key"))
     pivot = lambda i: F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(i)), "rep"))
@@ -253,12 +274,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.min("rep").alias("p0"), pivot(1).alias("p1"), pivot(2).alias("p2")
     ).filter("c > 1").drop("c")
     members = materialize(rows.join(buckets, "key"))
-    known = reps.select("rep", "n", "s", "h1", "h2").join(members.select("rep").distinct(), "rep", "left_semi")
+    known = reps.select("rep", "id", "n", "s", "h1", "h2").join(members.select("rep").distinct(), "rep", "left_semi")
     known = materialize(known)
     sets = materialize(
         # The ids grow with the corpus, so the texts are shuffled at every size.
-        packed_sets(docs.select("doc_id", "text").join(known.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
-        .withColumnRenamed("doc_id", "rep").join(known.select("rep", "h1", "h2"), ["rep", "h1", "h2"], "left_semi")
+        packed_sets(docs.select("doc_id", "text").join(known.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
+        .withColumnRenamed("doc_id", "id").join(known.select("id", "rep", "h1", "h2"), ["id", "h1", "h2"])
         .dropDuplicates(["rep"]).select("rep", "bag")
     )
     side = lambda c: known.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("s").alias(f"{c}_s"))
@@ -275,20 +296,54 @@ def near_copies(docs: DataFrame) -> DataFrame:
     to_first = seen.select(F.col("a").alias("p0"), F.col("b").alias("rep"), "d")
     m = m.join(mixed, "key", "left_semi").join(to_first, ["p0", "rep"], "left").join(known.select("rep", "n", "s"), "rep")
     m = materialize(m.select("key", "rep", "l", "n", "s", F.when(F.col("p0") == F.col("rep"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("l") == F.col("main")).alias("main")))
-    more = materialize(links_across(m.join(sets, "rep")).distinct())
+    more = materialize(links_across(m, sets).distinct())
     if more.isEmpty():
         final = labels
     else:
-        final = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    of_class = reps.select("h1", "h2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("h1", "h2", F.coalesce("label", "rep").alias("component"))
-    slim = sig.select("doc_id", "n", "h1", "h2")
-    linked = F.col("n") > 0
-    out = slim.join(of_class, ["h1", "h2"], "left")
-    component = F.when(linked & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+        final = materialize(components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+    final = final.withColumnRenamed("node", "rep")
+    least = final.join(reps.select("rep", "id"), "rep").groupBy("label").agg(F.min("id").alias("component"))
+    of_class = reps.select("h1", "h2", "rep", "id").join(final.join(least, "label"), "rep", "left")
+    of_class = of_class.select("h1", "h2", F.coalesce("label", "rep").alias("label"), F.coalesce("component", "id").alias("component"))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = sig.select("doc_id", *carry, "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    return out.select("doc_id", *carry, "n", F.when(linked, F.col("label")).alias("label"), F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Texts with equal sets form a class. Classes that share a band go to one bucket.
+    A bucket is never expanded to all its pairs: its members are measured against three of them first and the confirmed
+    links are joined to components. Only members outside the component of the bucket's smallest are then compared with
+    the other components, in bounded cells and behind conditions that no link fails: sizes, sketches, and the triangle
+    inequality of Jaccard distances to the bucket's smallest member. Links are confirmed on full sets.
+
+    A null or wordless text has an empty set and is linked with nothing. A null doc_id is linked with nothing and kept.
+    Rows that repeat a doc_id get the component of their own text; only rows whose doc_id is the component_id are kept,
+    so repeated rows stay together. Other columns are not read; an empty table gives no rows.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return labelled(docs, []).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component one row stays, of the smallest doc_id (of equal ones any).
+
+    Rows are told apart by their place in the Parquet files that ``docs`` reads, so rows that share a doc_id are judged
+    each by its own text. Other tables are written first. Rows without words or doc_id all stay.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        docs = materialize(docs)
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    found = materialize(labelled(placed, ["_file", "_at"]).filter("label is not null").select("doc_id", "_file", "_at", "label"))
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "_file", "_at")).alias("x"), F.count(F.lit(1)).alias("c"))
+    stays = first.filter("c > 1").select("x._file", "x._at")
+    copies = found.join(first.filter("c > 1").select("label"), "label", "left_semi").select("_file", "_at")
+    gone = copies.join(stays, ["_file", "_at"], "left_anti")
+    return placed.join(gone, ["_file", "_at"], "left_anti").select(*docs.columns)
 
 
 def op6_minhash(spark, sf_dir):
