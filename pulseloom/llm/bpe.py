@@ -11,14 +11,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.llm.common import table
 
 END = ""  # stands for the word-end mark of the vocabulary while a word is cut
-CACHED_WORDS = 300_000  # words whose ids a task remembers; the memory starts anew beyond that
+CACHED_WORDS = 150_000  # words whose ids a worker remembers, from task to task; the memory starts anew beyond that
 SLICE_CHARS = 1 << 22  # texts are taken in slices of about so many characters
 # The split pattern and the normaliser of the vocabulary file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -198,28 +199,52 @@ def _free(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text") -> DataFrame:
+def shared(spark: SparkSession, vocabulary: Vocabulary) -> Broadcast:
+    """The vocabulary (of the file's size) for all tasks, as bytes that need no installed package; see ``worker``."""
+    return spark.sparkContext.broadcast({"packed": cloudpickle.dumps(vocabulary)})
+
+
+def worker(held: Broadcast) -> tuple[Encoder, np.ndarray]:
+    """The encoder and the tokens by id. A Python worker unpacks them once and keeps them for its later tasks."""
+    got = held.value
+    if "encoder" not in got:
+        v = cloudpickle.loads(got.pop("packed"))
+        got["tokens"] = np.array([v.text.get(i) for i in range(max(v.text) + 1)], object)
+        got["encoder"] = Encoder(v)
+    return got["encoder"], got["tokens"]
+
+
+def joined(tokens: np.ndarray, ids: np.ndarray) -> str:
+    return " ".join(filter(None, tokens[ids].tolist()))
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", decoded: bool = False) -> DataFrame:
     """All columns of ``df`` and ``ids`` (array of int), the ids of the whole text; a null text is empty.
 
-    Rows stay where they are: nothing is shuffled. A column named ``ids`` is replaced. Special tokens that stand in a text
-    get their ids, as in the usual encoder.
+    With ``decoded`` the text that ``decode`` makes of the ids is added in the same pass. Rows stay where they are: nothing
+    is shuffled. Columns of these names are replaced. Special tokens that stand in a text get their ids, as in the usual
+    encoder.
     """
-    keep = df.select(*_free(df, "ids"), F.col(text).alias("_text"))
-    schema = T.StructType([*keep.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-
-    columns = [*keep.columns[:-1], "ids"]
+    added = ["ids", "decoded"] if decoded else ["ids"]
+    keep = df.select(*_free(df, *added), F.col(text).alias("_text"))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([*keep.schema.fields[:-1], *fields[: len(added)]])
+    held, names = shared(df.sparkSession, vocabulary), schema.names
 
     def run(batches):
-        enc = Encoder(vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in slices(texts):
-                lists = enc.encode(texts[a:b])
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=columns)
+        enc, tokens = worker(held)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                for a, b in slices(texts):
+                    lists = enc.encode(texts[a:b])
+                    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+                    made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                    if decoded:
+                        made.append(pa.array([joined(tokens, flat[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *made], names=names)
 
     return keep.mapInArrow(run, schema)
 
@@ -229,17 +254,17 @@ def decode(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     The vocabulary file names no decoder, so word ends stay visible. Null ids give an empty text.
     """
-    text = vocabulary.text
     keep = df.select(*_free(df, "decoded"))
     columns, at = keep.columns, keep.columns.index("ids")
     schema = T.StructType([*keep.schema.fields, T.StructField("decoded", T.StringType())])
+    held = shared(df.sparkSession, vocabulary)
 
     def run(batches):
-        tokens = np.array([text.get(i) for i in range(max(text) + 1)], object)
+        _, tokens = worker(held)
         for batch in batches:
             lists = (x.values.to_numpy() if x.is_valid else np.zeros(0, int) for x in batch.column(at))
             known = (x[(x >= 0) & (x < len(tokens))] for x in lists)
-            out = pa.array([" ".join(filter(None, tokens[x].tolist())) for x in known], pa.string())
+            out = pa.array([joined(tokens, x) for x in known], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*columns, "decoded"])
 
     return keep.mapInArrow(run, schema)
@@ -256,6 +281,7 @@ def digests(coded: DataFrame) -> DataFrame:
 
 
 def op3_bpe(spark, sf_dir):
+    """Digests of ids and decoded text of every document; null and empty texts have no ids, repeated rows equal ones."""
     v = load_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs, v).select("doc_id", "ids"), v))
+    return digests(encode(docs, v, decoded=True))

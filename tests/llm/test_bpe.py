@@ -33,6 +33,8 @@ def test_given_texts(spark, vocabulary, library):
         want = library.encode(r["text"], add_special_tokens=False).ids
         assert r["ids"] == want
         assert r["decoded"] == library.decode(want, skip_special_tokens=False)
+    both = bpe.encode(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), vocabulary, decoded=True)
+    assert sorted(both.select("doc_id", "ids", "decoded").collect()) == sorted(rows.select("doc_id", "ids", "decoded").collect())
 
 
 def test_random_letters(encoder, library):
@@ -43,10 +45,8 @@ def test_random_letters(encoder, library):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8", categories=["L", "N", "P", "S", "Z", "M"], max_codepoint=0x2FFF), st.sampled_from(" \n\t<|>'sΣİ")), max_size=60))
-def test_any_text(text):
-    enc = test_any_text.__dict__.setdefault("enc", bpe.Encoder(bpe.load_vocabulary()))
-    lib = test_any_text.__dict__.setdefault("lib", tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json")))
-    assert enc.encode([text])[0] == lib.encode(text, add_special_tokens=False).ids
+def test_any_text(encoder, library, text):
+    assert encoder.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
 
 
 def test_special_tokens_and_long_words(encoder, library):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pulseloom.llm import decontam, minhash, repeats
 from pulseloom.llm.components import components
+from pulseloom.llm.tokens import Family, Words
 
 SF = "/root/testdata/sf0.001"
 
@@ -210,3 +211,70 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     assert {(r["doc_id"], x["item_id"]) for r in rows for x in r["leaks"]} == {(5, 3), (4, 4)}
     assert decontam.flag_leaks(no_docs, items).count() == 0
     assert all(r["leaks"] == [] for r in decontam.flag_leaks(odd_docs, items.limit(0)).select("leaks").collect())
+
+
+def regular_words():
+    """Two different words whose letters follow one rule with a and b exchanged; sums of powers cannot tell them apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_are_different_words(spark):
+    t, u = regular_words()
+    for seed in (4, 6, 8, 88):
+        a, b = Words(pa.array([f"{t} {u}"])).numbers(Family(seed))
+        assert a != b
+    rows = [(1, t), (2, u)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+    lead = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{lead} {t}"), (2, f"{lead} {u}")]
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in out] == [0, 0]
+    both = repeats.remove_repeats(spark.createDataFrame([*rows, (3, rows[0][1])], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in both} == {1: 35, 2: 0, 3: 35}
+
+
+def test_word_numbers_beyond_the_table():
+    rng = random.Random(9)
+    long = ["".join(rng.choice("abc") for _ in range(n)) for n in (255, 256, 257, 300, 5000)]
+    near = [w[:-1] + ("x" if w[-1] != "x" else "y") for w in long] + ["x" + w[1:] for w in long]
+    words = [*long, *near, *long]
+    n = Words(pa.array([" ".join(words)])).numbers(Family(3))
+    assert n[: len(long)].tolist() == n[-len(long) :].tolist() and len(set(n.tolist())) == len(set(words))
+
+
+def test_texts_that_share_an_id_are_judged_each_on_its_own(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choice("klmnop") * rng.randint(1, 9) + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, c), (9, c), (3, b + " most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_copies(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (8, 3), (9, 9), (9, 9)]
+    stays = sorted((r["doc_id"], r["text"]) for r in minhash.without_copies(df).collect())
+    assert stays == sorted([(5, a), (3, b + " most"), (9, c)])
+
+
+def test_heavy_nodes(spark, monkeypatch):
+    from pulseloom.llm import components as c
+
+    monkeypatch.setattr(c, "LEAST_HEAVY", 5)
+    monkeypatch.setattr(c, "MOST_HEAVY", 2)
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 320)] + [(150, 300), (400, 401)]
+    got = {r["node"]: r["label"] for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(200), *range(300, 321)]} | {400: 400, 401: 400}
+
+
+def test_a_stray_makes_every_member_travel_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 10)
+    sketch = [0] * (minhash.SKETCH_BITS * minhash.SKETCH_WORDS)
+    far = [-1] * len(sketch)
+    rows = [(1, i, 0, 50, sketch, 0.1, True) for i in range(100)] + [(1, 100, 100, 50, far, 0.9, False), (2, 7, 7, 50, sketch, 0.0, True)]
+    members = spark.createDataFrame(rows, "key long, rep long, l long, n long, s array<long>, d double, main boolean")
+    seen = []
+    monkeypatch.setattr(minhash, "materialize", lambda df: seen.append(df) or df)
+    sets = spark.createDataFrame([(i, b"") for i in range(101)], "rep long, bag binary")
+    assert minhash.links_across(members, sets).count() == 0
+    assert seen[0].count() == 0  # no member needs its full set
