@@ -17,9 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies, the one with the smallest doc_id."""
-    gone = minhash.near_copies(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near copies, of the smallest doc_id; rows that share an id count each by its own text."""
+    return minhash.without_copies(docs)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of ids and of the decoded text."""
     vocabulary = bpe.load_vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary).drop("text"), vocabulary)
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary, decoded=True)
     return coded.select(
         "doc_id", "source", "lang", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
