@@ -21,6 +21,7 @@ BANDS, ROWS = 40, 5  # a link at 0.75 misses all bands with a probability of 2e-
 PERMUTATIONS = 200  # each gives its minimum and its maximum; bands use half of them, sketches all
 SKETCH_BITS, SKETCH_WORDS = 3, 8  # bits kept of every signature entry, and numbers that hold one bit of all entries
 SKETCH_AGREE = 277  # of 400 entries; a link at 0.75 agrees in 312.5 on average and in fewer than 277 once in 1e5
+ORDERS = (0x2B5D8C713A96E4F1, 0x54A2738EC5691B0E)  # any two numbers below 2^63; see where they are used
 SET_BYTES = 6  # bytes kept of a shingle's number when sets are compared
 
 
@@ -269,9 +270,10 @@ def labelled(docs: DataFrame, carry: list[str]) -> DataFrame:
         .select("h1", "h2", "id", "x.n", "x.s", "x.keys", F.monotonically_increasing_id().alias("rep"))
     )
     rows = reps.select("rep", F.explode("keys").alias("key"))
-    pivot = lambda i: F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(i)), "rep"))
+    # Two more orders of the numbers, each the same in all buckets, in as few bytes as a number.
+    other = lambda x: F.min(F.col("rep").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x))
     buckets = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"), F.min("rep").alias("p0"), pivot(1).alias("p1"), pivot(2).alias("p2")
+        F.count(F.lit(1)).alias("c"), F.min("rep").alias("p0"), *[other(x).alias(f"p{i}") for i, x in enumerate(ORDERS, 1)]
     ).filter("c > 1").drop("c")
     members = materialize(rows.join(buckets, "key"))
     known = reps.select("rep", "id", "n", "s", "h1", "h2").join(members.select("rep").distinct(), "rep", "left_semi")
@@ -280,7 +282,7 @@ def labelled(docs: DataFrame, carry: list[str]) -> DataFrame:
         # The ids grow with the corpus, so the texts are shuffled at every size.
         packed_sets(docs.select("doc_id", "text").join(known.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
         .withColumnRenamed("doc_id", "id").join(known.select("id", "rep", "h1", "h2"), ["id", "h1", "h2"])
-        .dropDuplicates(["rep"]).select("rep", "bag")
+        .dropDuplicates(["id", "h1", "h2"]).select("rep", "bag")
     )
     side = lambda c: known.select(F.col("rep").alias(c), F.col("n").alias(f"{c}_n"), F.col("s").alias(f"{c}_s"))
     stars = members.select(F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
@@ -342,7 +344,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     first = found.groupBy("label").agg(F.min(F.struct("doc_id", "_file", "_at")).alias("x"), F.count(F.lit(1)).alias("c"))
     stays = first.filter("c > 1").select("x._file", "x._at")
     copies = found.join(first.filter("c > 1").select("label"), "label", "left_semi").select("_file", "_at")
-    gone = copies.join(stays, ["_file", "_at"], "left_anti")
+    gone = copies.join(stays, ["_file", "_at"], "left_anti").hint("merge")  # grows with the corpus, so no size sends it to all tasks
     return placed.join(gone, ["_file", "_at"], "left_anti").select(*docs.columns)
 
 
