@@ -26,14 +26,28 @@ def query(key: str, sql: str | None = None):
     return add
 
 
-def encoded(spark, d, gap: bytes = b"") -> str:
+TICKS = "l_orderkey * 1000 + l_linenumber * 32"
+
+
+def encoded(spark, d, gap: bytes = b"", ticks: str = TICKS, **more) -> str:
     """Byte streams of all blocks of the block view, below a new scratch folder."""
-    b = fx.blocks(spark, d).drop("samples_value").withColumn("timestamp", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 32)
+    b = fx.blocks(spark, d).drop("samples_value").withColumn("timestamp", F.expr(ticks))
     path = scratch_path(spark, "blocks")
-    write_blocks(b, path, "run", fx.BLOCK_ORDER[1:], samples=fx.SAMPLES, gap=gap)
+    write_blocks(b, path, "run", fx.BLOCK_ORDER[1:], **{"samples": fx.SAMPLES, "gap": gap, **more})
     return path
 
 
+def damaged(body):
+    """By order and line: blocks without footer, blocks cut off at 47 bytes, whole blocks."""
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    lost = F.unhex(F.concat(F.substring(F.hex(body), 1, 112), F.lit("0000"), F.substring(F.hex(body), 117, 4)))
+    return F.when(kind == 3, lost).when(kind == 5, F.substring(body, 1, 47)).otherwise(body)
+
+
+# What is left of a file whose last block has lost its end: one more header, and bytes that complete what is before it.
+OPEN_END = b"\xaf\xaf" + b"\0" * 64
+
+
 BLOCK_ROWS = """with b as (select (l_orderkey // 16) % 4 chip, cast(l_linenumber as bigint) sample_index, l_orderkey * 1000 + l_linenumber * 32 ts,
   list_transform(range(32), lambda ch: (l_partkey * 7 + ch * 31 + l_linenumber * 101) % 1024) v from lineitem)
 """
@@ -52,6 +66,35 @@ def raw_blocks(spark, d):
     return rows(read_blocks(spark, encoded(spark, d, gap=b"\0"), range_bytes=1 << 20))
 
 
+@query(
+    "raw_blocks_damaged",
+    BLOCK_ROWS.replace("% 1024", "% 256").replace(" from lineitem", ", (l_orderkey + l_linenumber) % 7 kind from lineitem") + """
+    select cast(case kind when 5 then 47 else 60 end as bigint) data_block, cast(case kind when 3 then 16 when 5 then 17 else 0 end as bigint) error_level,
+      chip, sample_index, ts "timestamp", case when kind not in (3, 5) then array_to_string(v, ',') end samples, count(*) n from b group by all""",
+)
+def raw_blocks_damaged(spark, d):
+    """Streams in which blocks have lost their footer or their end: these end at the next header."""
+    # samples of eight bits, so that no marker arises in them by chance
+    path = encoded(spark, d, samples=fx.SAMPLES.replace("% 1024", "% 256"), alter=damaged, tail=OPEN_END)
+    return rows(read_blocks(spark, path, range_bytes=1 << 20))
+
+
+@query(
+    "header_blocks",
+    """with b as (select (l_orderkey // 16) % 4 chip, cast(l_linenumber as bigint) sample_index, l_orderkey * 4096 + l_linenumber * 8 ts,
+      (l_orderkey + l_linenumber) % 7 kind from lineitem)
+    select cast(case kind when 5 then 47 else 60 end as bigint) data_block, cast(case when kind in (3, 5) then 16 else 0 end as bigint) error_level,
+      cast(case when kind in (3, 5) then 1 else 0 end as bigint) n_missing, chip, sample_index, ts "timestamp", count(*) n from b group by all""",
+)
+def header_blocks(spark, d):
+    """The same streams cut from header to header, with the marks that each block lacks."""
+    # Samples and times in which no header arises by chance, at any bit shift.
+    path = encoded(spark, d, ticks="l_orderkey * 4096 + l_linenumber * 8", samples="array_repeat(0, 32)", alter=damaged, tail=OPEN_END)
+    found = read_blocks(spark, path, Format(layout="headers"), range_bytes=1 << 20)
+    missing = F.bit_count("error_level").cast("bigint").alias("n_missing")
+    return found.groupBy("data_block", "error_level", missing, "chip", "sample_index", "timestamp").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("raw_blocks_fixed", BLOCK_ROWS + "select cast(58 as bigint) data_block, cast(0 as bigint) error_level, " + ROW)
 def raw_blocks_fixed(spark, d):
     # the 58 bytes up to and with the footer are the fixed layout; the echo behind it is skipped byte by byte

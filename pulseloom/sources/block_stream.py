@@ -2,14 +2,20 @@
 
 A stream is a chain: where a block ends decides where the search for the next header goes on, so no byte range of a
 file can be decoded on its own. The scan therefore runs in two passes over byte ranges. The first finds all candidate
-headers of a range and reduces the range to a short step function "position where the search enters -> position where
-it leaves". The functions are composed per file. In the second pass every range knows its entry and decodes its blocks.
+headers of a range and reduces the range to a short function "state in which the chain enters -> state in which it
+leaves". The functions are composed per file. In the second pass every range knows its entry and decodes its blocks.
 Both passes are tasks over (file, range) rows; no file and no range table passes through the driver.
+
+The chain is in one of two states at a border. It searches: the state is a limit (8 * position + bit shift), and the next
+header behind it is entered. Or a block without footer was ended by a header inside its window, and the block that starts
+there is not decided yet: the state is a negative ``code`` of that header and of the position from which further headers
+count. Blocks that have to wait for a header beyond the bytes a range has loaded get it from a table of the first headers
+of all ranges, so a range never reads on through the file to decide a chain.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions.bits import encode_block
-from pulseloom.operators.chain import compose, run_through, step_function, visited
 from pulseloom.session import materialize
 
 BLOCKS = (
@@ -39,9 +44,10 @@ ARROW = pa.schema(
     ]
 )
 WINDOW = 58  # bytes behind the header in which the footer must be complete
-AHEAD = 1 << 16
-ENTRY_BYTES = 1 << 12  # where the search is expected to enter a range, counted from its start
-UNRESOLVED = 1 << 62  # behind every position of a file
+AHEAD = 1 << 16  # bytes loaded behind a range
+BEHIND = 64  # and before it: more than a block's window
+PIECE = 1 << 22  # bytes of a long gap that are looked at together
+UNKNOWN = 1 << 62  # limit behind a header that waits for one beyond the loaded bytes, while that one is not known
 RANGES_PER_GROUP = 1024
 
 
@@ -49,8 +55,9 @@ RANGES_PER_GROUP = 1024
 class Format:
     """Markers and layout of a stream.
 
-    ``layout`` is ``framed`` (header at any bit shift, footer with an echo of the first two bytes), ``fixed58`` or
-    ``fixed46`` (blocks of fixed parts at byte alignment, without and with no timestamp field respectively).
+    ``layout`` is ``framed`` (header at any bit shift, footer with an echo of the first two bytes), ``headers`` (every
+    header at any bit shift starts a block, which ends at the next one; markers are looked for anywhere inside),
+    ``fixed58`` or ``fixed46`` (blocks of fixed parts at byte alignment, with and without a timestamp field respectively).
     """
 
     header: int = 0xAFAF
@@ -71,7 +78,7 @@ class Format:
 # ---------------------------------------------------------------- bytes of one file
 
 class Bytes:
-    """Byte range of a file that grows on demand towards the end."""
+    """Bytes of a file from a little before a range to AHEAD behind it."""
 
     def __init__(self, path: str, start: int, stop: int, length: int):
         from pyarrow import fs
@@ -79,28 +86,35 @@ class Bytes:
         uri = path
         if uri.startswith("file:"):
             uri = "/" + uri[5:].lstrip("/")
+        for scheme in ("s3a:", "s3n:"):  # names that only Hadoop knows
+            if uri.startswith(scheme):
+                uri = "s3:" + uri[len(scheme) :]
         self.fs, self.path = fs.FileSystem.from_uri(uri)
-        self.start, self.length = start, length
+        self.start, self.length = max(start - BEHIND, 0), length
         self.handle = self.fs.open_input_file(self.path)
-        self.data = self._read(start, min(stop + AHEAD, length))
+        self.data = self._read(self.start, min(stop + AHEAD, length))
 
     def _read(self, a: int, b: int) -> np.ndarray:
         self.handle.seek(a)
-        return np.frombuffer(self.handle.read(b - a), dtype=np.uint8)
+        return np.frombuffer(self.handle.read(max(b - a, 0)), dtype=np.uint8)
 
     @property
     def stop(self) -> int:
         return self.start + len(self.data)
 
-    def need(self, stop: int) -> None:
-        """Make bytes up to ``stop`` available (or up to the end of the file)."""
-        if self.stop < min(stop, self.length):
-            more = self._read(self.stop, min(max(stop, self.stop + AHEAD), self.length))
-            self.data = np.concatenate([self.data, more])
-
     def at(self, a: int, b: int) -> bytes:
-        self.need(b)
-        return self.data[a - self.start : b - self.start].tobytes()
+        if b <= self.stop:
+            return self.data[a - self.start : b - self.start].tobytes()
+        return self._read(a, min(b, self.length)).tobytes()
+
+    def find(self, word: bytes, a: int, b: int) -> int:
+        """First place of a two-byte word that lies inside [a, b), or -1; a long stretch is read in pieces."""
+        while b - a >= len(word):
+            found = self.at(a, min(a + PIECE, b)).find(word)
+            if found >= 0:
+                return a + found
+            a = min(a + PIECE, b) - len(word) + 1
+        return -1
 
     def close(self) -> None:
         self.handle.close()
@@ -120,26 +134,93 @@ def headers(raw: np.ndarray, base: int, marker: int, last: int) -> list[np.ndarr
     return found
 
 
-class Framed:
-    """Chain elements of a framed stream in one byte range: coordinate = 8 * position + bit shift."""
+NOTHING = np.zeros(0, np.int64)
+
+
+def code(h, s, visible):
+    """A block at header ``h`` of shift ``s`` that is not decided yet; headers count from ``visible`` (h + 1 to h + 59) on."""
+    return -((h * 8 + s) * 64 + (visible - h) + 1)
+
 
-    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format):
-        self.src, self.fmt = src, fmt
+def decoded(x) -> tuple:
+    at, d = np.divmod(-x - 1, 64)
+    return at // 8, at % 8, at // 8 + d
+
+
+class Zone:
+    """Chain elements in one byte range: ``c`` = 8 * position + bit shift, ``limit`` = state that each leads to.
+
+    ``key`` are the codes with which the chain may enter the range, ``to`` what they lead to. ``first`` has, for each
+    shift, the first header of a stretch as long as the range, AHEAD behind it; ``later`` the first header of all
+    following stretches (None while that is not known; ``waiting`` says that it is needed).
+    """
+
+    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format, later: list | None = None):
+        self.src, self.fmt, self.start, self.stop, self.later = src, fmt, start, stop, later
+        self.key = self.to = NOTHING
+        self.first, self.waiting = [-1] * 8, False
+
+    def path(self, x: int | None) -> tuple[list[int], list[tuple]]:
+        """Elements on the chain that enters with ``x``, and the blocks before the first of them: (start, end, ok, seen)."""
+        nxt = np.where(self.limit >= 0, np.searchsorted(self.c, self.limit, side="right"), len(self.c)).tolist()
+        before: list[tuple] = []
+        if x is not None and x < -1:
+            before, x = self.walk(x)
+        i = 0 if x is None else int(np.searchsorted(self.c, x, side="right")) if x >= -1 else len(nxt)
+        out = []
+        while i < len(nxt):
+            out.append(i)
+            i = nxt[i]
+        return out, before
+
+    def walk(self, x: int) -> tuple[list[tuple], int]:
+        return [], x
+
+
+class Headers(Zone):
+    """A zone with the headers of all bit shifts."""
+
+    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format, later: list | None = None):
+        super().__init__(src, start, stop, fmt, later)
         self.length = src.length
         # the last byte of a stream only completes what is before it
         self.usable = self.length if fmt.emit_tail else self.length - 1
-        self.last_header = self.length - 3
-        self.heads = headers(src.data, src.start, fmt.header, self.last_header)
-        self.known = src.stop - 2
+        self.end_of_file = self.length * 8 + 8
+        self.heads = headers(src.data, src.start, fmt.header, self.length - 3)
         c = np.concatenate([h * 8 + s for s, h in enumerate(self.heads)])
         c.sort()
-        self.c = c[(c >= start * 8) & (c < stop * 8)]
-        self.blocks: dict[int, list] = {}
+        self.all, self.c = c, c[(c >= start * 8) & (c < stop * 8)]
+        for s, h in enumerate(self.heads):
+            i = int(np.searchsorted(h, start + AHEAD - 2))
+            self.first[s] = int(h[i]) if i < len(h) else -1
+
+    def next_head(self, s: int, at: np.ndarray) -> np.ndarray:
+        """First header of shift ``s`` at or behind each position; -1 where there is none, UNKNOWN // 8 where that is not known."""
+        h = self.heads[s]
+        i = np.searchsorted(h, at)
+        out = h[np.minimum(i, len(h) - 1)] if len(h) else np.zeros(len(at), np.int64)
+        beyond = i >= len(h)
+        if beyond.any():
+            known = -1 if self.src.stop >= self.length else UNKNOWN // 8 if self.later is None else self.later[s]
+            self.waiting |= known == UNKNOWN // 8
+            out = np.where(beyond, -1 if known is None else known, out)
+        return out
+
+
+class Framed(Headers):
+    """Blocks that end with a footer inside the window, else at a header."""
+
+    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format, later: list | None = None):
+        super().__init__(src, start, stop, fmt, later)
         self.end = self._footers(self.c // 8)
-        limit = (self.end - 2) * 8 - 1
-        for i in np.flatnonzero(self.end < 0):
-            limit[i] = self._fallback(int(self.c[i]))
-        self.limit = limit
+        self.limit = (self.end - 2) * 8 - 1
+        lost = np.flatnonzero(self.end < 0)
+        h, s = self.c[lost] // 8, self.c[lost] % 8
+        own = code(h, s, h + 1)
+        self.key = self._entering()
+        self._states(np.unique(np.concatenate([own, self.key])))
+        self.limit[lost] = self.leads[np.searchsorted(self.codes, own)]
+        self.to = self.leads[np.searchsorted(self.codes, self.key)]
 
     def _footers(self, h: np.ndarray) -> np.ndarray:
         """Exclusive end of the block of each header when its footer is inside the window, else -1."""
@@ -162,73 +243,91 @@ class Framed:
                 break
         return end
 
-    def _next_head(self, s: int, at: int, below: int | None = None) -> int | None:
-        """First header of one shift at or behind ``at`` (and before ``below``)."""
-        h = self.heads[s]
-        i = int(np.searchsorted(h, at))
-        if i < len(h):
-            return int(h[i]) if below is None or h[i] < below else None
-        if below is not None and below <= self.known:
-            return None
-        # not in the loaded bytes: walk on through the file in pieces that are not kept
-        pos = max(at, self.known - 1)
-        while pos <= self.last_header and (below is None or pos < below):
-            piece = self.src._read(pos, min(pos + (1 << 22), self.length))
-            got = headers(piece, pos, self.fmt.header, self.last_header)[s]
-            if len(got):
-                return int(got[0]) if below is None or got[0] < below else None
-            pos += max(len(piece) - 3, 1)
-        return None
-
-    def _fallback(self, c: int) -> int:
-        """Limit behind a header without a footer; remembers the blocks it stands for."""
-        h, s = c // 8, c % 8
-        out: list = []
-        self.blocks[c] = out
-        visible = h + 1
-        first = True
-        while True:
-            if not first:
-                e = int(self._footer_of(h))
-                ready = max(e, visible + 3)  # the byte after the queued header has been reached
-                if e > 0 and visible + 2 <= h + WINDOW + 1 and ready <= self.usable:
-                    out.append((h, e, True, ready))
-                    return (ready - 2) * 8 - 1
-            queued = self._next_head(s, visible, h + WINDOW + 1)
-            if queued is not None:
-                if h + 62 > self.length:
-                    break
-                out.append((h, queued, False, h + 61))
-                visible, h, first = h + 59, queued, False
+    def _entering(self) -> np.ndarray:
+        """Codes of headers of this range whose block may have been opened by one before the range."""
+        out = []
+        for s, h in enumerate(self.heads):
+            a, b, c = np.searchsorted(h, [self.start - WINDOW, self.start, min(self.start + WINDOW, self.stop)])
+            early, own = h[a:b], h[b:c]
+            for p in early.tolist():
+                out += [code(x, s, p + WINDOW + 1) for x in own.tolist() if x <= p + WINDOW]
+        return np.unique(np.array(out, np.int64))
+
+    def _step(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each code the state behind its block, and the block's end (-1: none), footer and bytes seen."""
+        h, s, visible = decoded(x)
+        end = self._footers(h)
+        ready = np.maximum(end, visible + 3)  # the byte after the queued header has been reached
+        ok = (end > 0) & (visible <= h + WINDOW - 1) & (ready <= self.usable)
+        to, seen = np.where(ok, (ready - 2) * 8 - 1, self.end_of_file), np.where(ok, ready, 0)
+        end = np.where(ok, end, -1)
+        for shift in range(8):
+            at = np.flatnonzero(~ok & (s == shift))
+            if not len(at):
                 continue
-            nxt = self._next_head(s, max(visible, h + 59))
-            if nxt is None:
-                break
-            out.append((h, nxt, False, nxt + 2))
-            return nxt * 8 + s - 1
+            heads, o, v = self.heads[shift], h[at], visible[at]
+            i = np.searchsorted(heads, v)
+            q = np.append(heads, UNKNOWN)[i]
+            queued = q < o + WINDOW + 1
+            done = queued & (o + WINDOW + 4 <= self.length)
+            to[at[done]], end[at[done]], seen[at[done]] = code(q[done], shift, o[done] + WINDOW + 1), q[done], o[done] + WINDOW + 3
+            at, o, v = at[~queued], o[~queued], v[~queued]
+            n = self.next_head(shift, np.maximum(v, o + WINDOW + 1))
+            found = n >= 0
+            to[at[found]], end[at[found]], seen[at[found]] = n[found] * 8 + shift - 1, n[found], n[found] + 2
         if self.fmt.emit_tail:
-            out.append((h, self.length, False, self.length))
-        return self.length * 8 + 8
-
-    def _footer_of(self, h: int) -> int:
-        b = self.src.at(h + 2, min(h + 2 + WINDOW, self.usable))
-        foot = self.fmt.footer.to_bytes(2, "big")
-        for k in range(0, WINDOW - 3, 2):
-            if b[k : k + 2] == foot and k + 4 <= len(b) and b[k + 2 : k + 4] == b[:2]:
-                return h + 2 + k + 4
-        return -1
-
-    def decode(self, idx: np.ndarray, file: str) -> Iterator[pa.RecordBatch]:
+            tail = end < 0
+            end[tail], seen[tail] = self.length, self.length
+        return to, end, ok, seen
+
+    def _states(self, codes: np.ndarray) -> None:
+        """All codes that the given ones lead through inside the range, each worked out once, and where each leads in the end."""
+        parts: list[tuple] = []
+        todo, known = codes, codes
+        while len(todo):
+            parts.append((todo, *self._step(todo)))
+            to = parts[-1][1]
+            todo = np.setdiff1d(to[(to < -1) & (decoded(to)[0] < self.stop)], known)
+            known = np.union1d(known, todo)
+        joined = [np.concatenate(x) for x in zip(*parts)] if parts else [NOTHING] * 5
+        order = np.argsort(joined[0])
+        self.codes, self.after, self.block_end, self.block_ok, self.seen = (x[order] for x in joined)
+        n = len(order)
+        at = np.searchsorted(self.codes, self.after)
+        inner = np.zeros(n, bool)
+        fits = at < n
+        inner[fits] = self.codes[at[fits]] == self.after[fits]
+        self.next_code = jump = np.append(np.where(inner, at, n), n)  # n: the chain leaves these codes
+        last = np.arange(n)
+        while (jump[:n] < n).any():
+            last = np.where(jump[:n] < n, last[np.minimum(jump[:n], n - 1)], last)
+            jump = np.append(jump[jump[:n]], n)
+        self.leads = self.after[last]
+
+    def walk(self, x: int) -> tuple[list[tuple], int]:
+        i = int(np.searchsorted(self.codes, x))
+        if i >= len(self.codes) or self.codes[i] != x:
+            return [], x  # a header behind this range
+        at = []
+        while i < len(self.codes):
+            at.append(i)
+            i = int(self.next_code[i])
+        at = np.array(at)
+        full = at[self.block_end[at] >= 0]
+        blocks = zip(decoded(self.codes[full])[0].tolist(), self.block_end[full].tolist(), self.block_ok[full].tolist(), self.seen[full].tolist())
+        return list(blocks), int(self.after[at[-1]])
+
+    def decode(self, x: int | None, file: str) -> Iterator[pa.RecordBatch]:
+        on, rest = self.path(x)
+        idx = np.array(on, np.int64)
         h, end = self.c[idx] // 8, self.end[idx]
         plain = (end - h) == 60
         yield self._plain(h[plain], file)
-        rest = []
         for i in idx[~plain]:
-            c = int(self.c[i])
-            end_i = int(self.end[i])
-            rest += self.blocks[c] if end_i < 0 else [(c // 8, end_i, True, end_i)]
-        if rest:
-            yield pa.RecordBatch.from_pylist([self._one(*b, file) for b in rest], schema=ARROW)
+            h, e = int(self.c[i]) // 8, int(self.end[i])
+            rest += self.walk(int(code(h, int(self.c[i]) % 8, h + 1)))[0] if e < 0 else [(h, e, True, e)]
+        for at in range(0, len(rest), 10_000):
+            yield pa.RecordBatch.from_pylist([one_block(self.src, self.fmt, *b, file) for b in rest[at : at + 10_000]], schema=ARROW)
 
     def _plain(self, h: np.ndarray, file: str) -> pa.RecordBatch:
         """Blocks of the regular size, all at once."""
@@ -276,37 +375,65 @@ class Framed:
             schema=ARROW,
         )
 
-    def _one(self, h: int, end: int, ok: bool, seen: int, file: str) -> dict:
-        """Any other block. ``seen`` is the end of the bytes read when the block was closed."""
-        b = self.src.at(h + 2, seen)
-        gap = b[: end - h - 2]
-        at = {n: gap.find(getattr(self.fmt, n).to_bytes(2, "big")) for n in ("t3", "t2", "t1")}
-        part = {n: b[p + 2 : p + 4] if p >= 0 else b"" for n, p in at.items()}
-        level = (len(gap) != 58) | sum((at[n] < 0) << (i + 1) for i, n in enumerate(("t3", "t2", "t1"))) | (not ok) << 4
-        stamp = None
-        if all(len(v) == 2 for v in part.values()):
-            stamp = int.from_bytes(part["t3"] + part["t2"] + part["t1"], "big")
-        samples = None
-        if ok and at["t1"] >= 0:
-            body = np.frombuffer(b[at["t1"] + 4 : max(end - h - 6, at["t1"] + 4)], dtype=np.uint8)
-            samples = unpack(body[None, :])[0].tolist()
-        return {
-            "file": file,
-            "offset": h,
-            "data_block": len(gap) + 2,
-            "error_level": int(level),
-            "timestamp": stamp,
-            "chip": b[0] if len(b) > 0 else None,
-            "sample_index": b[1] if len(b) > 1 else None,
-            "samples_value": samples,
-        }
-
-
-class Fixed:
+
+def one_block(src: Bytes, fmt: Format, h: int, end: int, ok: bool, seen: int, file: str) -> dict:
+    """Any block. ``seen`` is the end of the bytes read when the block was closed."""
+    at = {n: src.find(getattr(fmt, n).to_bytes(2, "big"), h + 2, end) for n in ("t3", "t2", "t1")}
+    part = {n: src.at(p + 2, min(p + 4, seen)) if p >= 0 else b"" for n, p in at.items()}
+    size = end - h
+    level = (size != 60) | sum((at[n] < 0) << (i + 1) for i, n in enumerate(("t3", "t2", "t1"))) | (not ok) << 4
+    stamp = None
+    if all(len(v) == 2 for v in part.values()):
+        stamp = int.from_bytes(part["t3"] + part["t2"] + part["t1"], "big")
+    samples = None
+    if ok and at["t1"] >= 0:
+        first = at["t1"] + 4
+        samples = unpack(np.frombuffer(src.at(first, max(end - 4, first)), dtype=np.uint8)[None, :])[0].tolist()
+    ident = src.at(h + 2, min(h + 4, seen))
+    return {
+        "file": file,
+        "offset": h,
+        "data_block": size,
+        "error_level": int(level),
+        "timestamp": stamp,
+        "chip": ident[0] if len(ident) > 0 else None,
+        "sample_index": ident[1] if len(ident) > 1 else None,
+        "samples_value": samples,
+    }
+
+
+class HeaderToHeader(Headers):
+    """Every header starts a block that ends at the next header, of whatever shift."""
+
+    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format, later: list | None = None):
+        super().__init__(src, start, stop, fmt, later)
+        self.limit = self.c.copy()
+        self.end = np.append(self.all, UNKNOWN)[np.searchsorted(self.all, self.c, side="right")] // 8
+        if len(self.c) and self.end[-1] == UNKNOWN // 8:
+            found = [n for n in (self.next_head(s, self.c[-1:] // 8 + 1)[0] for s in range(8)) if n >= 0]
+            self.end[-1] = min(found, default=-1)
+
+    def decode(self, x: int | None, file: str) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for c, end in zip(self.c.tolist(), self.end.tolist()):
+            if end < 0 and not self.fmt.emit_tail:
+                continue
+            h, end = c // 8, max(end if end >= 0 else self.length, c // 8 + 2)
+            row = one_block(self.src, self.fmt, h, end, False, end, file)
+            footer = self.src.find(self.fmt.footer.to_bytes(2, "big"), h + 2, end)
+            rows.append({**row, "error_level": (row["error_level"] & 14) | (footer < 0) << 4})
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+
+
+class Fixed(Zone):
     """Chain elements of a stream of fixed blocks: positions with header and footer in place."""
 
-    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format):
-        self.src, self.fmt = src, fmt
+    def __init__(self, src: Bytes, start: int, stop: int, fmt: Format, later: list | None = None):
+        super().__init__(src, start, stop, fmt, later)
         size, raw, base = fmt.fixed_size, src.data, src.start
         n = max(min(stop, src.length - size + 1) - start, 0)
         h, f = raw[start - base :], raw[start - base + size - 2 :]
@@ -315,9 +442,9 @@ class Fixed:
         self.c = (np.flatnonzero(hit) + start) * 8
         self.limit = self.c + size * 8 - 1
 
-    def decode(self, idx: np.ndarray, file: str) -> Iterator[pa.RecordBatch]:
+    def decode(self, x: int | None, file: str) -> Iterator[pa.RecordBatch]:
         size = self.fmt.fixed_size
-        h = self.c[idx] // 8
+        h = self.c[np.array(self.path(x)[0], np.int64)] // 8
         m = self.src.data[(h - self.src.start)[:, None] + np.arange(size)].astype(np.int64)
         a, b = m[:, 2], m[:, 3]
         chip, index = (a, b) if self.fmt.chip_first else (b, a)
@@ -362,128 +489,195 @@ def byte_ranges(spark: SparkSession, path: str, range_bytes: int, max_bytes: int
     return listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
 
 
+KINDS = {"framed": Framed, "headers": HeaderToHeader, "fixed58": Fixed, "fixed46": Fixed}
+STEP_LISTS = ["later", "upto", "out", "key", "to", "first"]
+STEP = "file string, length bigint, start bigint, " + ", ".join(f"{n} array<bigint>" for n in STEP_LISTS) + ", waiting boolean"
+STEP_ARROW = pa.schema(
+    [("file", pa.string()), ("length", pa.int64()), ("start", pa.int64()), *[(n, pa.list_(pa.int64())) for n in STEP_LISTS], ("waiting", pa.bool_())]
+)
+
+
 def read_blocks(
     spark: SparkSession, path: str, fmt: Format = Format(), *, range_bytes: int = 32 << 20, tasks: int | None = None
 ) -> DataFrame:
     """One row per block of all files below ``path``, ordered by (file, offset) where order matters.
 
     The file and offset columns take the place of the implicit stream order. Ranges are spread evenly over ``tasks``
-    tasks (default: one per range, at most 20,000); a range is the unit of memory.
+    tasks (default: one per range, at most 100,000); a range is the unit of memory. Damaged streams cost time in proportion
+    to their length, too: a range is read with a fixed margin, twice, and a third time if some block of the file waits for
+    a header beyond the margin. The bytes of a long gap are looked through once, when its block is decoded.
+
+    In the layout ``headers`` error_level has the bits 2, 4, 8 for a missing marker and 16 for a missing footer mark, and
+    the last header of a file starts a block only with ``emit_tail``. Empty files and files without headers give no rows.
     """
-    kind = Framed if fmt.layout == "framed" else Fixed
+    kind = KINDS[fmt.layout]
     ranges = byte_ranges(spark, path, range_bytes, fmt.max_bytes)
-    tasks = tasks or max(1, min(ranges.count(), 20_000))
+    tasks = tasks or max(1, min(ranges.count(), 100_000))
 
-    def load(row: dict) -> tuple[Bytes, Framed | Fixed]:
+    def load(row: dict) -> tuple[Bytes, Zone]:
         stop = min(row["start"] + range_bytes, row["length"])
         src = Bytes(row["file"], row["start"], stop, row["length"])
-        return src, kind(src, row["start"], stop, fmt)
+        return src, kind(src, row["start"], stop, fmt, row["later"])
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                src, zone = load(row)
+                src.close()
+                made = dict(zip(("upto", "out", "key", "to"), (x.tolist() for x in zone_map(zone))))
+                yield pa.RecordBatch.from_pylist([{**row, **made, "first": zone.first, "waiting": zone.waiting}], schema=STEP_ARROW)
 
     # an explicit number of tasks: the rows are tiny, and adaptive execution would put them all into one
-    spread = ranges.repartition(tasks, "file", "start")
-    window = ENTRY_BYTES
-    while True:
-        known = materialize(_entries(spread, load, window, range_bytes))
-        if window >= range_bytes or known.filter(F.col("entry") == UNRESOLVED).isEmpty():
-            break
-        window *= 64  # a search has entered some range further inside: take more of every range into account
+    spread = lambda df: df.select("file", "length", "start", "later").repartition(tasks, "file", "start")
+    steps = materialize(spread(ranges.withColumn("later", F.lit(None).cast("array<bigint>"))).mapInArrow(maps, STEP))
+    if not steps.filter("waiting").isEmpty():
+        behind = "over (partition by file order by start rows between 1 following and unbounded following)"
+        later = F.array(*[F.expr(f"min(case when first[{s}] >= 0 then first[{s}] end) {behind}") for s in range(8)])
+        steps = materialize(spread(steps.select("file", "length", "start", later.alias("later"))).mapInArrow(maps, STEP))
+    known = materialize(_entries(steps, range_bytes))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 src, zone = load(row)
-                yield from zone.decode(visited(zone.c, zone.limit, row["entry"]), row["file"])
+                yield from zone.decode(row["entry"], row["file"])
                 src.close()
 
     return known.repartition(tasks, "file", "start").mapInArrow(decode, BLOCKS)
 
 
-def entry_map(zone: Framed | Fixed, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Step function for limits up to ``reach``; larger ones that fall inside the range lead to UNRESOLVED."""
-    upto, out = step_function(zone.c, zone.limit, reach)
-    if upto[-1] < zone.c[-1]:
-        upto, out = np.append(upto, zone.c[-1]), np.append(out, UNRESOLVED)
-    return upto, out
+def zone_map(zone: Zone) -> tuple[np.ndarray, ...]:
+    """(upto, out, key, to): a limit x enters at the first element > x, so it leaves as at the first run with upto > x; a
+    code that is a key leaves as its ``to``; everything else passes by."""
+    c, limit, n = zone.c, zone.limit, len(zone.c)
+    jump = np.append(np.where(limit >= 0, np.searchsorted(c, limit, side="right"), n), n)
+    last = np.arange(n)
+    while (jump[:n] < n).any():  # pointer doubling: the last element of the chain that starts at each
+        last = np.where(jump[:n] < n, last[np.minimum(jump[:n], n - 1)], last)
+        jump = np.append(jump[jump[:n]], n)
+    out = limit[last]
+    to = onward(zone.to, c, out, NOTHING, NOTHING)
+    close = np.append(out[1:] != out[:-1], True) if n else np.zeros(0, bool)
+    return c[close], out[close], zone.key, to
+
+
+def onward(x: np.ndarray, upto: np.ndarray, out: np.ndarray, key: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """States behind a stretch of zones for states in front of it."""
+    res = x.copy()
+    if len(upto):
+        i = np.searchsorted(upto, x, side="right")
+        on = (x >= 0) & (i < len(upto))
+        res[on] = out[i[on]]
+    if len(key):
+        i = np.minimum(np.searchsorted(key, x), len(key) - 1)
+        on = key[i] == x
+        res[on] = to[i[on]]
+    return res
+
+
+def compose_zones(zones: list[tuple]) -> tuple[np.ndarray, ...]:
+    """The map of several zones in a row, worked out from the last zone backwards. Keys fall with the position."""
+    upto, out = (np.concatenate([z[i] for z in zones]) for i in (0, 1))
+    key = to = NOTHING
+    end = len(upto)
+    for u, _, k, t in reversed(zones):
+        start = end - len(u)
+        behind = upto[end:], out[end:], key, to
+        out[start:end] = onward(out[start:end], *behind)
+        key, to = np.concatenate([key, k]), np.concatenate([to, onward(t, *behind)])
+        end = start
+    close = np.append(out[1:] != out[:-1], True) if len(out) else np.zeros(0, bool)
+    return upto[close], out[close], key, to
+
+
+def run_zones(zones: list[tuple], x: int | None) -> list:
+    """States in front of every zone; None means "before everything"."""
+    at = []
+    for z in zones:
+        at.append(x)
+        if x is None:
+            x = int(z[1][0]) if len(z[1]) else None
+        else:
+            x = int(onward(np.array([x], np.int64), *z)[0])
+    return at
 
 
-def _entries(spread: DataFrame, load, window: int, range_bytes: int) -> DataFrame:
-    """(file, length, start, entry) of every range with headers: the limit with which the search enters it."""
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                src, zone = load(row)
-                src.close()
-                if len(zone.c):
-                    upto, out = entry_map(zone, (row["start"] + window) * 8)
-                    yield pa.RecordBatch.from_pylist([{**row, "upto": upto.tolist(), "out": out.tolist()}])
-
-    step = "file string, length bigint, start bigint, upto array<bigint>, out array<bigint>"
-    steps = materialize(spread.mapInArrow(maps, step).withColumn("_group", F.floor(F.col("start") / F.lit(range_bytes * RANGES_PER_GROUP)).cast("bigint")))
+def _entries(steps: DataFrame, range_bytes: int) -> DataFrame:
+    """(file, length, start, later, entry) of every range with headers: the state in which the chain enters it."""
+    group = F.floor(F.col("start") / F.lit(range_bytes * RANGES_PER_GROUP)).cast("bigint")
+    steps = steps.filter("size(upto) > 0").withColumn("_group", group)
+    names = ["upto", "out", "key", "to"]
 
     def zones(pdf: pd.DataFrame) -> list:
-        return [(np.asarray(u), np.asarray(o)) for u, o in zip(pdf["upto"], pdf["out"])]
+        return [tuple(np.asarray(x, np.int64) for x in z) for z in zip(*(pdf[n] for n in names))]
 
     def grouped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, out = compose(zones(pdf.sort_values("start")))
-        return pd.DataFrame([[*key, upto, out]], columns=["file", "_group", "upto", "out"])
+        return pd.DataFrame([[*key, *compose_zones(zones(pdf.sort_values("start")))]], columns=["file", "_group", *names])
 
     def entries(order: str, cols: list[str]):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order)
-            lead = int(pdf["entry"].iloc[0]) if "entry" in pdf.columns else None
-            at, _ = run_through(zones(pdf), lead)
+            lead = int(pdf["entry"].iloc[0]) if "entry" in pdf.columns else -1
+            at = run_zones(zones(pdf), None if lead == -1 else lead)
             got = pdf[cols].copy()
             got["entry"] = np.asarray([-1 if x is None else x for x in at], dtype=np.int64)
             return got
 
         return run
 
-    groups = steps.groupBy("file", "_group").applyInPandas(grouped, "file string, _group bigint, upto array<bigint>, out array<bigint>")
+    shape = ", ".join(f"{n} array<bigint>" for n in names)
+    groups = steps.groupBy("file", "_group").applyInPandas(grouped, f"file string, _group bigint, {shape}")
     leads = groups.groupBy("file").applyInPandas(entries("_group", ["file", "_group"]), "file string, _group bigint, entry bigint")
     return steps.join(leads, ["file", "_group"]).groupBy("file", "_group").applyInPandas(
-        entries("start", ["file", "length", "start"]), "file string, length bigint, start bigint, entry bigint"
+        entries("start", ["file", "length", "start", "later"]), "file string, length bigint, start bigint, later array<bigint>, entry bigint"
     )
 
 
 def write_blocks(
-    blocks: DataFrame, folder: str, stream: str, order: list[str | Column], *, samples: str = "samples_value", gap: bytes = b"", tail: bytes = b"\0" * 4
+    blocks: DataFrame, folder: str, stream: str, order: list[str | Column], *, samples: str = "samples_value", gap: bytes = b"", tail: bytes = b"\0" * 4,
+    alter: Callable[[Column], Column] = lambda body: body,
 ) -> DataFrame:
     """Write blocks (chip, sample_index, timestamp and ``samples``) as byte streams, one or more files per stream.
 
-    ``samples`` is a column or an SQL expression; an expression is evaluated behind the ordering shuffle.
+    ``samples`` is a column or an SQL expression; an expression is evaluated behind the ordering shuffle. ``alter`` may
+    change the bytes of a block.
 
     Returns the written files. Rows are range-partitioned by (stream, order), so a long stream is spread over several
-    tasks, each with its own file; a repeated task writes the same file again.
+    tasks, each with its own file. A file is written under a name that no reader lists and of this attempt alone, and gets
+    its own name when it is whole, so a repeated or second copy of a task never mixes with the first.
     """
     body = encode_block(F.col("chip"), F.col("sample_index"), F.col("timestamp"), "_v")
     placed = blocks.repartitionByRange(stream, *order).sortWithinPartitions(stream, *order).withColumn("_v", F.expr(samples))
-    rows = placed.select(F.col(stream).cast("string").alias("s"), body.alias("b"))
+    rows = placed.select(F.col(stream).cast("string").alias("s"), alter(body).alias("b"))
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         target, base = fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get()
+        part = f"part-{task.partitionId():05d}"
         name, out, n = None, None, 0
         done = []
+
+        def finish() -> None:
+            if out is not None:
+                out.write(tail)
+                out.close()
+                target.move(f"{base}/{name}/{hidden}", f"{base}/{name}/{part}.bin")
+                done.append({"file": f"{base}/{name}/{part}.bin", "blocks": n})
+
+        hidden = f"_{part}-{task.taskAttemptId()}.bin"
         for batch in batches:
             names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s, b in zip(names, data):
                 if s != name:
-                    if out is not None:
-                        out.write(tail)
-                        out.close()
-                        done.append({"file": f"{base}/{name}/part-{part:05d}.bin", "blocks": n})
+                    finish()
                     target.create_dir(f"{base}/{s}", recursive=True)
-                    name, out, n = s, target.open_output_stream(f"{base}/{s}/part-{part:05d}.bin"), 0
+                    name, out, n = s, target.open_output_stream(f"{base}/{s}/{hidden}"), 0
                 out.write(b + gap)
                 n += 1
-        if out is not None:
-            out.write(tail)
-            out.close()
-            done.append({"file": f"{base}/{name}/part-{part:05d}.bin", "blocks": n})
+        finish()
         if done:
             yield pa.RecordBatch.from_pylist(done)
 

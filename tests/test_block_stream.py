@@ -2,13 +2,14 @@
 
 import random
 import tempfile
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-from pulseloom.operators.chain import compose, run_through, visited
-from pulseloom.sources.block_stream import UNRESOLVED, Bytes, Fixed, Format, Framed, entry_map, read_blocks
+from pulseloom.sources import block_stream
+from pulseloom.sources.block_stream import KINDS, Bytes, Format, compose_zones, read_blocks, run_zones, write_blocks, zone_map
 
 
 def block(chip, index, ticks, samples):
@@ -22,33 +23,76 @@ def some_blocks(rng, n):
     return [(rng.randrange(4), i % 64, rng.randrange(1 << 31), [rng.randrange(1024) for _ in range(32)]) for i in range(n)]
 
 
-def scan(path, fmt, range_bytes, group=3, window=16):
-    """The two passes of the scan over byte ranges, without Spark."""
+def scan(path, fmt, range_bytes, group=3):
+    """The passes of the scan over byte ranges, without Spark."""
     length = Path(path).stat().st_size
     if fmt.max_bytes is not None:
         length = min(length, fmt.max_bytes)
-    kind = Framed if fmt.layout == "framed" else Fixed
-    zones = []
-    for start in range(0, length, range_bytes):
-        stop = min(start + range_bytes, length)
-        z = kind(Bytes(str(path), start, stop, length), start, stop, fmt)
-        if len(z.c):
-            zones.append((z, entry_map(z, (start + window) * 8)))
+    starts = range(0, length, range_bytes)
+
+    def load(later):
+        return [KINDS[fmt.layout](Bytes(str(path), a, min(a + range_bytes, length), length), a, min(a + range_bytes, length), fmt, x) for a, x in zip(starts, later)]
+
+    zones = load([None] * len(starts))
+    if any(z.waiting or zone_map(z) and z.waiting for z in zones):
+        later = []
+        for i in range(len(zones)):
+            behind = [[f for f in (z.first[s] for z in zones[i + 1 :]) if f >= 0] for s in range(8)]
+            later.append([min(x, default=None) for x in behind])
+        zones = load(later)
+        assert not any(z.waiting for z in zones)
+    zones = [(z, zone_map(z)) for z in zones if len(z.c)]
     packs = [zones[i : i + group] for i in range(0, len(zones), group)]
-    leads, _ = run_through([compose([m for _, m in p]) for p in packs], None)
-    entries = []
-    for pack, lead in zip(packs, leads):
-        at, _ = run_through([m for _, m in pack], lead)
-        entries += [(z, x) for (z, _), x in zip(pack, at)]
-    if any(x == UNRESOLVED for _, x in entries):
-        return scan(path, fmt, range_bytes, group, window * 64)
     rows = []
-    for z, x in entries:
-        for batch in z.decode(visited(z.c, z.limit, x), "f"):
-            rows += batch.to_pylist()
+    for pack, lead in zip(packs, run_zones([compose_zones([m for _, m in p]) for p in packs], None)):
+        for (z, _), x in zip(pack, run_zones([m for _, m in pack], lead)):
+            for batch in z.decode(x, "f"):
+                rows += batch.to_pylist()
     return sorted(rows, key=lambda r: r["offset"])
 
 
+def plain_scan(data, fmt):
+    """(start, end, by footer) of the blocks of a framed stream, found one after the other by plain searching."""
+    n = len(data)
+    usable = n if fmt.emit_tail else n - 1
+    byte = lambda i, s: data[i] if s == 0 else (data[i] >> s) | ((data[i + 1] & ((1 << s) - 1)) << (8 - s)) & 0xFF
+    heads = [[i for i in range(n - 2) if byte(i, s) == 0xAF == byte(i + 1, s)] for s in range(8)]
+    next_of = lambda s, at: next((h for h in heads[s] if h >= at), None)
+
+    def footer(h):
+        for p in range(h + 2, h + 57, 2):
+            if p + 4 <= min(h + 60, usable) and data[p : p + 2] == b"\xfa\xfa" and data[p + 2 : p + 4] == data[h + 2 : h + 4]:
+                return p + 4
+        return None
+
+    out, at = [], -1
+    while True:
+        later = [(h * 8 + s, h, s) for s in range(8) for h in heads[s] if h * 8 + s > at]
+        if not later:
+            return out
+        _, h, s = min(later)
+        counts = h + 1  # from where on a further header counts
+        while True:
+            e = footer(h)
+            if e and counts + 2 <= h + 59 and max(e, counts + 3) <= usable:
+                out.append((h, e, True))
+                at = (max(e, counts + 3) - 2) * 8 - 1
+                break
+            inside, q = next_of(s, counts), None
+            if inside is not None and inside < h + 59:
+                if h + 62 <= n:
+                    out.append((h, inside, False))
+                    counts, h = h + 59, inside
+                    continue
+            else:
+                q = next_of(s, max(counts, h + 59))
+            if q is None:
+                return out + ([(h, n, False)] if fmt.emit_tail else [])
+            out.append((h, q, False))
+            at = q * 8 + s - 1
+            break
+
+
 @pytest.fixture
 def folder():
     return Path(tempfile.mkdtemp(prefix="run-"))
@@ -129,8 +173,10 @@ def test_shifted_headers_are_found(folder):
         assert all(r["error_level"] & 16 for r in got if r["data_block"] != 60 or r["samples_value"] is None)
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_same_result_for_every_cut(folder, seed):
+@pytest.mark.parametrize("ahead", [64, 100, 1 << 16])
+@pytest.mark.parametrize("seed", range(4))
+def test_same_result_for_every_cut(folder, monkeypatch, seed, ahead):
+    monkeypatch.setattr(block_stream, "AHEAD", ahead)
     rng = random.Random(seed)
     data = bytearray()
     for b in some_blocks(rng, 25):
@@ -153,7 +199,10 @@ def test_same_result_for_every_cut(folder, seed):
         fmt = Format(emit_tail=tail)
         whole = scan(f, fmt, 1 << 20)
         assert whole
-        for cut in (1, 7, 59, 60, 61, 128, 500):
+        want = plain_scan(bytes(data), fmt)
+        assert [(r["offset"], r["offset"] + r["data_block"]) for r in whole] == [(a, b) for a, b, _ in want]
+        assert [r["error_level"] & 16 == 0 for r in whole] == [ok for _, _, ok in want]
+        for cut in (1, 59, 60, 61, 128, 500) if seed == 0 else (7, 61, 500):
             assert scan(f, fmt, cut, group=rng.choice([1, 2, 5])) == whole
 
 
@@ -197,3 +246,63 @@ def test_spark_scan_of_many_files(spark, folder):
         assert len(by_file[name]) == len(rows)
         for i, (a, b) in enumerate(zip(by_file[name], rows)):
             assert a == b, (name, i)
+
+
+def test_many_headers_without_footers(folder):
+    """200,000 headers 46 bytes apart and a gap of many ranges: time in proportion to the bytes."""
+    f = folder / "a.bin"
+    one = b"\xaf\xaf\x01\x02" + b"\0" * 42
+    f.write_bytes(one * 200_000 + b"\0" * 5_000_000 + one + b"\0" * 100)
+    began = time.time()
+    got = scan(f, Format(), 1 << 20)
+    assert time.time() - began < 60
+    assert [r["data_block"] for r in got] == [46] * 199_999 + [5_000_046]
+    assert {r["error_level"] for r in got} == {1 + 2 + 4 + 8 + 16}
+
+
+@pytest.mark.parametrize("ahead", [64, 1 << 16])
+def test_header_to_header(folder, monkeypatch, ahead):
+    monkeypatch.setattr(block_stream, "AHEAD", ahead)
+    rng = random.Random(12)
+    parts = []
+    for b in some_blocks(rng, 20):
+        x = bytearray(block(*b[:2], 4_096 * len(parts), [0] * 32))  # no header by chance
+        if rng.random() < 0.4:
+            x[rng.choice([4, 8, 12, 56])] = 0
+        parts.append(bytes(x) + b"\0" * rng.choice([0, 0, 3, 300]))
+    data = b"".join(parts)
+    f = folder / "a.bin"
+    f.write_bytes(data)
+    marks = {2: b"\xaf\xfa", 4: b"\xfa\xaf", 8: b"\xff\xfa", 16: b"\xfa\xfa"}
+    want, at = [], 0
+    for x in parts:
+        want.append((at, len(x), sum(bit for bit, m in marks.items() if m not in x[2:]), x[2], x[3]))
+        at += len(x)
+    for cut in (1 << 20, 50, 61, 400):
+        got = [tuple(r[c] for c in ("offset", "data_block", "error_level", "chip", "sample_index")) for r in scan(f, Format(layout="headers"), cut)]
+        assert got == want[:-1]
+        got = [tuple(r[c] for c in ("offset", "data_block", "error_level", "chip", "sample_index")) for r in scan(f, Format(layout="headers", emit_tail=True), cut)]
+        assert got == want
+
+
+def test_spark_scan_of_damaged_files(spark, folder):
+    rng = random.Random(13)
+    want = []
+    for n in range(3):
+        data = bytearray()
+        for b in some_blocks(rng, 60):
+            x = bytearray(block(*b))
+            if rng.random() < 0.3:
+                del x[rng.choice([20, 46, 56]) :]
+            data += x + (b"\0" * 80_000 if rng.random() < 0.03 else b"")
+        (folder / f"{n}.bin").write_bytes(bytes(data))
+        want += [(f"{n}.bin", a, b - a) for a, b, _ in plain_scan(bytes(data), Format())]
+    got = read_blocks(spark, str(folder), range_bytes=700).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["offset"], r["data_block"]) for r in got) == sorted(want)
+
+
+def test_a_file_gets_its_name_when_it_is_whole(spark, folder):
+    rows = spark.createDataFrame([(1, i, 5, i, [i] * 32) for i in range(10)], "run long, chip long, timestamp long, sample_index long, samples_value array<long>")
+    written = write_blocks(rows, str(folder / "out"), "run", ["sample_index"]).collect()
+    assert sum(r["blocks"] for r in written) == 10
+    assert {p.name for p in (folder / "out").rglob("*") if p.is_file()} == {Path(r["file"]).name for r in written}
