@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from pulseloom import fixtures as fx
 from pulseloom import schemas
-from pulseloom.catalog.common import FX_PULSE, csv, with_views
+from pulseloom.catalog.common import FX_EVENT, FX_PULSE, csv, with_views
 from pulseloom.session import scratch_path
 from pulseloom.sources import tables
 from pulseloom.sources.block_stream import Format, read_blocks, write_blocks
-from pulseloom.streaming.sessions import end_of_stream, live_gap_events
+from pulseloom.streaming.sessions import end_of_stream, global_sessions, live_gap_events, start_global_sessions
 
 QUERIES = {}
 ORACLE = {}
@@ -142,3 +142,17 @@ def stream_event_gap(spark, d):
     run.awaitTermination()
     done = spark.read.parquet(target)
     return done.select("chip", "n_pulses", "charge", F.unix_micros("t_first").alias("t_first"), F.unix_micros("t_last").alias("t_last"))
+
+
+@query(
+    "stream_global_sessions",
+    with_views(FX_EVENT) + """select count(*) n_pulses, cast(sum(charge) as bigint) charge, min(t_us) t_first, max(t_us) t_last
+      from fx_event group by event_id""",
+)
+def stream_global_sessions(spark, d):
+    """All pulses as a file stream, run to its end, sessions over all chips; the end is a row that opens one more slot."""
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "sessions")
+    p = fx.pulses(spark, d).select(F.timestamp_micros(F.col("t_us")).alias("ts"), "charge")
+    p.unionByName(end_of_stream(p, "ts", "300 seconds", [])).write.parquet(source)
+    start_global_sessions(spark.readStream.schema(p.schema).parquet(source), "ts", 300, target).awaitTermination()
+    return global_sessions(spark, target, with_open=True).select("n_pulses", "charge", "t_first", "t_last")
