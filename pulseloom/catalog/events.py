@@ -12,6 +12,8 @@ from pulseloom.operators.position import lag_by_position, mark_segments, with_po
 from pulseloom.operators.sessions import anchor_events, gap_events, gap_slots
 from pulseloom.operators.stream_order import anchor_events_in_order
 from pulseloom.operators.summary import PART_ROWS, ordered_parts
+from pulseloom.plans.event_pulses import event_pulses as plan_event_pulses
+from pulseloom.plans.event_pulses import event_totals
 
 QUERIES = {}
 ORACLE = {}
@@ -234,3 +236,45 @@ def event_pulses(spark, d):
         r6(F.sum(wf.total("p")), 3).alias("total_charge"),
     )
     return with_position(events, ["raw_event"], "event_id").drop("raw_event")
+
+
+# Waves with times that run through 64 per block pair and jump 700 on, back to the start after some blocks; every fifth block is flat.
+BUILT = with_views(FX_WAVE).rstrip() + """, rows as materialized (select vec_id, chip, channel, ((vec_id // 64) * 700) % 6400 + vec_id % 64 t,
+    case when block % 5 < 2 then list_transform(w, lambda x: x // 64) else w end w, row_number() over (order by vec_id) pos from fx_wave),
+  far as materialized (select a.pos, min(b.pos) nxt from rows a left join rows b on b.pos > a.pos and abs(b.t - a.t) > 120 group by a.pos),
+  walk(pos, event_id) as (
+    select cast(1 as bigint), cast(1 as bigint) union all
+    select far.nxt, event_id + 1 from walk join far on far.pos = walk.pos where far.nxt is not null),
+  walked as materialized (select pos, event_id, coalesce(lead(pos) over (order by pos), 9000000000000000000) until from walk),
+  a as (select r.*, event_id, list_transform(w, lambda x: x - list_sum(list_concat(w[1:11], w[-11:])) / 22.0::double) y
+    from rows r join walked x on r.pos >= x.pos and r.pos < x.until),
+  b as (select *, list_position(list_transform(y, lambda v: v >= 20), true) - 1 rise from a),
+  c as (select *, coalesce(list_min(list_filter(range(64), lambda i: i >= rise and y[i + 1] < 20)), 63) fall from b where rise >= 0),
+  e as (select *, y[greatest(0, rise - 12) + 1 : least(64, fall + 12)] seg from c),
+  g as (select *, list_transform(seg, lambda v: v - list_sum(seg[1:10]) / 10.0::double) p from e where len(seg) >= 10),
+  q as (select dense_rank() over (order by event_id) - 1 pulse_event, vec_id, chip, channel, t, list_position(w, list_max(w)) - 1 peak_at,
+    len(p) n_samples, list_max(p) max_sample, list_sum(p) charge from g)
+"""
+
+
+def built_pulses(spark, d):
+    """The pulses of events that are built from the waves in stored order."""
+    flat = F.expr("transform(w, x -> x div 64)")
+    waves = fx.waves(spark, d).select(
+        "vec_id", "chip", "channel", F.expr("((vec_id div 64) * 700) % 6400 + vec_id % 64").alias("t"), F.when(F.col("block") % 5 < 2, flat).otherwise(F.col("w")).alias("w")
+    )
+    events = anchor_events_in_order(with_position(waves, ["vec_id"]), "pos", "t", 120)
+    return plan_event_pulses(events.drop("pos"), "event_id", "w")
+
+
+@query("built_event_pulses", BUILT + f"""select pulse_event, vec_id, chip, channel, t, cast(peak_at as int) peak_at, n_samples,
+  {sql_r6('max_sample', 4)} max_sample, {sql_r6('charge', 3)} charge from q""")
+def built_event_pulses(spark, d):
+    found = built_pulses(spark, d)
+    return found.select("pulse_event", "vec_id", "chip", "channel", "t", "peak_at", "n_samples", r6("max_sample", 4).alias("max_sample"), r6("charge", 3).alias("charge"))
+
+
+@query("built_event_totals", BUILT + f"""select pulse_event, count(*) n_pulses, cast(sum(n_samples) as bigint) n_samples,
+  {sql_r6('max(max_sample)', 4)} largest, {sql_r6('sum(charge)', 3)} total_charge from q group by pulse_event""")
+def built_event_totals(spark, d):
+    return event_totals(built_pulses(spark, d)).select("pulse_event", "n_pulses", "n_samples", r6("largest", 4).alias("largest"), r6("total_charge", 3).alias("total_charge"))

@@ -416,3 +416,39 @@ def test_anchors_in_file_order(spark, width):
     df = spark.createDataFrame(rows, "pos long, t long").repartition(4)
     got = anchor_events_in_order(df, "pos", "t", 10, width=width).orderBy("pos").collect()
     assert [r["event_id"] for r in got] == want
+
+
+def test_a_quiet_stretch_takes_few_rounds(spark, monkeypatch):
+    """1,000 buckets without a far time: the search goes up and down a tree, not from bucket to bucket."""
+    from pulseloom.operators import stream_order
+
+    rows = [(i, 5 if i < 3000 else 100) for i in range(3010)] + [(i, 100 + (i % 7) * (i >= 3990) * 3) for i in range(3010, 4000)]
+    df = spark.createDataFrame(rows, "pos long, t long")
+    written = []
+    real = stream_order.materialize
+    monkeypatch.setattr(stream_order, "materialize", lambda x: written.append(1) or real(x))
+    far = {r["pos"]: r["far"] for r in stream_order.next_far(df, "pos", "t", 10, width=3).collect()}
+    want, after = {}, {}
+    for i, t in reversed(rows):
+        want[i] = min((p for v, p in after.items() if abs(v - t) > 10), default=stream_order.NEVER)
+        after[t] = i
+    assert far == want
+    assert len(written) <= 10 + 3
+
+
+def test_pulses_of_events(spark):
+    from pulseloom.plans.event_pulses import event_pulses, event_totals
+
+    def wave(at, height, n=40):
+        return [height if at <= i < at + 4 else 0 for i in range(n)]
+
+    rows = [
+        (7, 1, wave(15, 300)), (7, 2, wave(20, 10)), (7, 2, wave(15, 300)), (9, 1, wave(5, 12)), (12, 3, wave(0, 90)), (12, 3, [1] * 10), (12, 4, None), (None, 5, wave(15, 300)),
+    ]
+    found = event_pulses(spark.createDataFrame(rows, "event_id long, channel long, w array<long>"), "event_id", "w")
+    got = sorted(((r["pulse_event"], r["channel"], r["peak_at"], r["n_samples"]) for r in found.collect()), key=str)
+    # the cut runs from 12 before the rise to 12 behind the first sample below, both inside the wave; event 9 has no pulse
+    assert got == sorted([(0, 1, 15, 28), (0, 2, 15, 28), (1, 3, 0, 16), (None, 5, 15, 28)], key=str)
+    totals = {r["pulse_event"]: (r["n_pulses"], r["n_samples"]) for r in event_totals(found).collect()}
+    assert totals == {0: (2, 56), 1: (1, 16), None: (1, 28)}
+    assert event_pulses(spark.createDataFrame([], "event_id long, channel long, w array<long>"), "event_id", "w").count() == 0
