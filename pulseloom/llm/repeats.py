@@ -121,12 +121,13 @@ class Block:
         np.add.at(change, np.minimum(b[inside] + 1, self.n), -1)
         return np.flatnonzero((np.cumsum(change[:-1]) == 0) & self.has_window())
 
-    def covered(self, starts: np.ndarray) -> np.ndarray:
-        """Words that the windows at ``starts`` cover."""
-        change = np.zeros(self.n + 1, np.int64)
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + WINDOW, -1)
-        return np.cumsum(change[:-1]) > 0
+
+def covered(n: int, starts: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words the windows at ``starts`` cover."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + WINDOW, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 class Question:
@@ -149,6 +150,12 @@ class Question:
         self.h2 = b[at] if b is not None else None
         self.bounds = np.searchsorted(p[at], np.arange(parts + 1))
 
+    def packed_places(self) -> bytes:
+        """What it takes to read the answers without the numbers: parts asked, questions to each, the place of every caller's number."""
+        size = np.diff(self.bounds)
+        asked = np.flatnonzero(size)
+        return np.concatenate([[len(asked)], asked, size[asked], self.place]).astype(np.int32).tobytes()
+
     def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
         for p in np.flatnonzero(np.diff(self.bounds)):
             a, b = self.bounds[p : p + 2]
@@ -163,6 +170,14 @@ class Question:
         return out[self.place]
 
 
+def read_answers(places: bytes, answers: dict[int, bytes]) -> np.ndarray:
+    """As ``Question.answered``, from ``packed_places``."""
+    x = np.frombuffer(places, np.int32)
+    k = int(x[0])
+    bits = [np.unpackbits(np.frombuffer(answers[p], np.uint8), count=n) for p, n in zip(x[1 : k + 1].tolist(), x[k + 1 : 2 * k + 1].tolist())]
+    return np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[x[2 * k + 1 :]]
+
+
 def repeated_in(blobs: list[tuple[bytes, bytes]]) -> list[bytes]:
     """For the numbers that all blocks asked about in one part: bits that say which of them occur more than once."""
     sizes = [len(x) // 8 for x, _ in blobs]
@@ -237,6 +252,7 @@ def answers(questions: DataFrame) -> DataFrame:
     return bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
 
 
+HELD = -1  # a row with what a block keeps for itself in place of a part's questions: starts of its windows, places of their answers
 ASK = "part int, block long, h1 binary, h2 binary"
 
 
@@ -292,30 +308,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 b, at = windows(batch.column(1)[i].values, given(batch.column(2)[i]))
                 if len(at):
-                    yield asked(batch.column(0)[i].as_py(), window_question(b, at))
+                    number, q = batch.column(0)[i].as_py(), window_question(b, at)
+                    yield asked(number, q)
+                    starts = pa.array([at.astype(np.int32).tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([HELD], pa.int32()), pa.array([number], pa.int64()), starts, pa.array([q.packed_places()], pa.binary())], names=["part", "block", "h1", "h2"])
 
     first = materialize(first)
-    second = materialize(answers(blocks.join(first, "block", "left").select("block", "texts", "answers").mapInArrow(ask_windows, ASK)))
+    windows_asked = materialize(blocks.join(first, "block", "left").select("block", "texts", "answers").mapInArrow(ask_windows, ASK))
+    second = materialize(answers(windows_asked.filter(f"part <> {HELD}")))
+    held = windows_asked.filter(f"part = {HELD}").select("block", F.col("h1").alias("starts"), F.col("h2").alias("places"))
 
     def finish(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                texts = batch.column(1)[i].values
-                b, at = windows(texts, given(batch.column(3)[i]))
-                hit = at[window_question(b, at).answered(given(batch.column(4)[i]))] if len(at) else at
-                stays = ~b.covered(hit) if b.n else np.zeros(0, bool)
+                texts, cut = batch.column(1)[i].values, Words(batch.column(1)[i].values)
+                n_all, first, starts = len(cut.start), cut.first, batch.column(3)[i].as_py()
+                stays = np.ones(n_all, bool)
+                if starts is not None:
+                    hit = np.frombuffer(starts, np.int32)[read_answers(batch.column(4)[i].as_py(), given(batch.column(5)[i]))]
+                    stays = ~covered(n_all, hit)
                 kept = []
-                for t, x, y in zip(texts, b.first[:-1], b.first[1:]):
+                for t, x, y in zip(texts, first[:-1], first[1:]):
                     kept.append(b" ".join(compress(t.as_py().encode().split(), stays[x:y].tolist())).decode())
-                n = np.diff(b.first)
-                left = np.concatenate([[0], np.cumsum(stays)])[b.first]
+                n = np.diff(first)
+                left = np.concatenate([[0], np.cumsum(stays)])[first]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2)[i].values, pa.array(n, pa.int64()), pa.array(n - np.diff(left), pa.int64()), pa.array(kept, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    both = blocks.join(first, "block", "left").join(second.withColumnRenamed("answers", "verified"), "block", "left")
-    return both.select("block", "texts", "doc_ids", "answers", "verified").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    both = blocks.join(held, "block", "left").join(second, "block", "left")
+    return both.select("block", "texts", "doc_ids", "starts", "places", "answers").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_repeats(spark, sf_dir):

@@ -54,7 +54,7 @@ class Family:
     def terms(self, chars: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The numbers of bytes at their places."""
         if not len(place) or int(place.max()) < PLACES:
-            return self.byte_at[place * 256 + chars]
+            return self.byte_at[(place << 8) | chars]
         out = np.empty(len(chars), U)
         near = place < PLACES
         out[near] = self.byte_at[place[near] * 256 + chars[near]]
@@ -100,6 +100,7 @@ class Words:
         size = self.end - self.start
         begin = np.cumsum(size) - size
         chars = self.raw[self.inside]
-        place = np.arange(len(chars)) - np.repeat(begin, size)
+        kind = np.int32 if len(chars) < 1 << 31 else np.int64
+        place = np.arange(len(chars), dtype=kind) - np.repeat(begin.astype(kind), size)
         terms = family.terms(LOWER[chars] if lower else chars, place)
         return mix(np.add.reduceat(terms, begin) + size.astype(U) * family.size)
