@@ -152,6 +152,25 @@ def hist2d_stats(spark, d):
     return hist.hist2d_stats(cells(spark, d)).withColumn("most_log", r6("most_log"))
 
 
+GRID = f"""g as (select gx.range bx, gy.range "by", coalesce(c.n, 0) n from range(20) gx cross join range(20) gy
+  left join (select * from {CELLS}) c on c.bx = gx.range and c."by" = gy.range)"""
+
+
+@query("hist2d_log", FEATURES + f", {GRID} select bx, \"by\", n, {sql_r6('log10(n + 1)')} log_n from g")
+def hist2d_log(spark, d):
+    return hist.all_cells(cells(spark, d), 20, 20).withColumn("log_n", r6("log_n"))
+
+
+@query(
+    "hist2d_range",
+    FEATURES + f""", {GRID}, hi as (select * from g order by n desc, bx, "by" limit 1), lo as (select * from g order by n, bx, "by" limit 1)
+      select (select cast(sum(n) as bigint) from g) entries, (select count(*) from g where n = 0) "empty", hi.n most_n, hi.bx most_bx, hi."by" most_by,
+        lo.n least_n, lo.bx least_bx, lo."by" least_by from hi cross join lo""",
+)
+def hist2d_range(spark, d):
+    return hist.hist2d_range(cells(spark, d), 20, 20)
+
+
 @query("occupancy", P + f"select bin id, n from {sql_bins('fx_pulse', 'gch', 0, 1, 128, 128)}")
 def occupancy(spark, d):
     return hist.hist1d(fx.pulses(spark, d), "gch", 0, 128, 128).select(F.col("bin").alias("id"), "n")
@@ -226,6 +245,42 @@ def fit_columns():
     return ["n_bins", "converged", *[r6(c, k).alias(c) for c, k in digits.items()]]
 
 
+# Gauss-Newton steps on the whole histogram, from its moments, until nothing moves; J has the derivatives by A, mu and sigma.
+NEWTON = W + """, q as (select list_sum(w)::double q from fx_wave),
+  hb as (select 9200.0 + 400 * r.range x, (select count(*) from q where q >= 9000 + 400 * r.range and (q < 9400 + 400 * r.range or (r.range = 24 and q <= 19000)))::double y
+    from range(25) r),
+  h as (select list(struct_pack(x := x, y := y, v := 1 / greatest(y, 1)) order by x) h, max(y) a, sum(x * y) / sum(y) m from hb),
+  walk(k, h, a, m, s) as (
+    select 0, h, a, m, sqrt(list_sum(list_transform(h, lambda e: e.y * (e.x - m) * (e.x - m))) / list_sum(list_transform(h, lambda e: e.y))) from h
+    union all
+    select k + 1, h, a + (p0*(n11*n22-n12*n12) - n01*(p1*n22-n12*p2) + n02*(p1*n12-n11*p2)) / det, m + (n00*(p1*n22-n12*p2) - p0*(n01*n22-n12*n02) + n02*(n01*p2-p1*n02)) / det,
+      s + (n00*(n11*p2-p1*n12) - n01*(n01*p2-p1*n02) + p0*(n01*n12-n11*n02)) / det
+    from (select *, n00*(n11*n22-n12*n12) - n01*(n01*n22-n12*n02) + n02*(n01*n12-n11*n02) det from (select *,
+      list_sum(list_transform(j, lambda e: e.v*e.g*e.g)) n00, list_sum(list_transform(j, lambda e: e.v*e.g*e.d)) n01, list_sum(list_transform(j, lambda e: e.v*e.g*e.f)) n02,
+      list_sum(list_transform(j, lambda e: e.v*e.d*e.d)) n11, list_sum(list_transform(j, lambda e: e.v*e.d*e.f)) n12, list_sum(list_transform(j, lambda e: e.v*e.f*e.f)) n22,
+      list_sum(list_transform(j, lambda e: e.v*e.g*e.r)) p0, list_sum(list_transform(j, lambda e: e.v*e.d*e.r)) p1, list_sum(list_transform(j, lambda e: e.v*e.f*e.r)) p2
+      from (select *, list_transform(h, lambda e: struct_pack(v := e.v, g := exp(-((e.x-m)/s)*((e.x-m)/s)/2), d := a*exp(-((e.x-m)/s)*((e.x-m)/s)/2)*(e.x-m)/s/s,
+        f := a*exp(-((e.x-m)/s)*((e.x-m)/s)/2)*((e.x-m)/s)*((e.x-m)/s)/s, r := e.y - a*exp(-((e.x-m)/s)*((e.x-m)/s)/2))) j from walk where k < 60)))),
+  best as (select *, list_transform(h, lambda e: struct_pack(v := e.v, g := exp(-((e.x-m)/s)*((e.x-m)/s)/2), d := a*exp(-((e.x-m)/s)*((e.x-m)/s)/2)*(e.x-m)/s/s,
+        f := a*exp(-((e.x-m)/s)*((e.x-m)/s)/2)*((e.x-m)/s)*((e.x-m)/s)/s, r := e.y - a*exp(-((e.x-m)/s)*((e.x-m)/s)/2))) j from walk where k = 60),
+  nm as (select *, list_sum(list_transform(j, lambda e: e.v*e.g*e.g)) n00, list_sum(list_transform(j, lambda e: e.v*e.g*e.d)) n01, list_sum(list_transform(j, lambda e: e.v*e.g*e.f)) n02,
+      list_sum(list_transform(j, lambda e: e.v*e.d*e.d)) n11, list_sum(list_transform(j, lambda e: e.v*e.d*e.f)) n12, list_sum(list_transform(j, lambda e: e.v*e.f*e.f)) n22,
+      list_sum(list_transform(j, lambda e: e.v*e.r*e.r)) chi2 from best),
+  dt as (select *, n00*(n11*n22-n12*n12) - n01*(n01*n22-n12*n02) + n02*(n01*n12-n11*n02) det from nm)
+"""
+
+
+@query("gauss_least_squares", NEWTON + f"""select cast(25 as bigint) n_bins, 'least_squares' "method", {sql_r6('a', 3)} amplitude, {sql_r6('m', 2)} mu, {sql_r6('s', 2)} sigma,
+  {sql_r6('chi2', 3)} chi2, {sql_r6('sqrt((n11*n22-n12*n12) / det)', 3)} amplitude_error, {sql_r6('sqrt((n00*n22-n02*n02) / det)', 2)} mu_error,
+  {sql_r6('sqrt((n00*n11-n01*n01) / det)', 2)} sigma_error from dt""")
+def gauss_least_squares(spark, d):
+    """The distribution of the waves' sums, fitted with Poisson weights, with standard errors."""
+    sums = fx.waves(spark, d).select(wf.total("w").alias("q"))
+    f = gauss_fit(hist.hist1d(sums, "q", 9000, 19000, 25), method="least_squares")
+    digits = {"amplitude": 3, "mu": 2, "sigma": 2, "chi2": 3, "amplitude_error": 3, "mu_error": 2, "sigma_error": 2}
+    return f.select("n_bins", "method", *[r6(c, k).alias(c) for c, k in digits.items()])
+
+
 @query("gauss_fit", SAMPLES + ", " + gauss_sql("s", "v", 0, 1000, 50, (0, 400)) + f"select {FIT_OUT} from gf")
 def q_gauss_fit(spark, d):
     s = fx.waves(spark, d).select(F.explode("w").alias("v"))

@@ -17,9 +17,10 @@ def finite(c: Column) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
 
 
-def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = (), *, degenerate: bool = False) -> DataFrame:
     """Least-squares line y = slope x + intercept with errors; groups with n < 2 or constant x are left out.
 
+    With ``degenerate`` they stay, as rows with null results and a ``reason`` (``points`` or ``constant``, null for a line).
     The regr_ aggregates combine on the map side and keep centred sums.
     """
     ok = df.filter(finite(F.col(x)) & finite(F.col(y))).withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
@@ -31,19 +32,24 @@ def ols(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
         F.regr_syy("_y", "_x").alias("syy"),
         F.regr_sxy("_y", "_x").alias("sxy"),
     )
-    s = s.filter((F.col("n") >= 2) & (F.col("sxx") > 0))
+    if degenerate:
+        reason = F.when(F.col("n") < 2, F.lit("points")).when(~(F.col("sxx") > 0), F.lit("constant"))
+        line = F.col("reason").isNull()
+        s = s.withColumn("reason", reason).withColumns({c: F.when(line, F.col(c)) for c in ("sxx", "syy", "sxy")})
+    else:
+        s = s.filter((F.col("n") >= 2) & (F.col("sxx") > 0))
     s = s.withColumn("slope", F.col("sxy") / F.col("sxx"))
     s = s.withColumns(
         {
             "intercept": F.col("y_mean") - F.col("slope") * F.col("x_mean"),
-            "rss": F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")),
+            "rss": F.when(F.col("sxx").isNotNull(), F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))),
             "dof": F.col("n") - 2,
         }
     )
     s2 = F.try_divide(F.col("rss"), F.nullif(F.col("dof").cast("double"), F.lit(0.0)))
     s = s.withColumn("_s2", s2).withColumns(
         {
-            "r2": F.when(F.col("syy") > 0, F.lit(1.0) - F.col("rss") / F.col("syy")).otherwise(
+            "r2": F.when(F.col("sxx").isNull(), None).when(F.col("syy") > 0, F.lit(1.0) - F.col("rss") / F.col("syy")).otherwise(
                 F.when(F.col("rss") < 1e-30, F.lit(1.0)).otherwise(F.lit(0.0))
             ),
             "stderr_slope": F.sqrt(F.col("_s2") / F.col("sxx")),
@@ -142,7 +148,9 @@ def gauss_fit(
     ``mode='compat'`` lets empty bins enter as log(1e-12) with weight 1; ``mode='positive'`` leaves them out.
     Where the parabola does not open downwards, the moments of the histogram are returned. Fewer than three
     usable bins give no row. ``method='least_squares'`` instead minimises chi2 with the Poisson weights of the bins,
-    starting from the moments, and falls back to the parabola where that fails.
+    starting from the moments, and adds ``amplitude_error``, ``mu_error`` and ``sigma_error`` from the covariance at the
+    minimum. ``method`` says what gave a row: ``least_squares``, or, without errors, ``parabola`` or ``moments`` where no
+    minimum was found.
     """
     by = list(by)
     h = hist.select(*by, F.col(center).cast("double").alias("x"), F.col(count).cast("double").alias("y"))
@@ -158,12 +166,17 @@ def gauss_fit(
     fit = g.select(*by, "_h", F.size("_h").cast("bigint").alias("n_bins"), F.expr(_parabola()).alias("_f"))
     flat = fit.selectExpr(*by, "_h", "n_bins", "_f.p.amplitude", "_f.p.mu", "_f.p.sigma", "_f.p.converged", "_f.chi2")
     if method == "least_squares":
+        named = flat.withColumn("method", F.when(F.col("converged"), F.lit("parabola")).otherwise(F.lit("moments")))
+        flat = named.withColumns({c: F.lit(None).cast("double") for c in ERRORS})
         flat = flat.mapInPandas(_refine, flat.schema)
     elif method != "parabola":
         raise ValueError(f"method: {method}")
     return flat.drop("_h").withColumn("chi2_red", F.expr("chi2 / greatest(n_bins - 3, 1)"))
 
 
+ERRORS = ["amplitude_error", "mu_error", "sigma_error"]
+
+
 def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replace the parameters of every histogram by the weighted least-squares ones where these are found."""
     for pdf in batches:
@@ -173,14 +186,16 @@ def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             y = np.array([b["y"] for b in bins])
             best = least_squares_gauss(x, y)
             if best is not None:
-                pdf.loc[i, ["amplitude", "mu", "sigma", "chi2"]] = best
-                pdf.loc[i, "converged"] = True
+                pdf.loc[i, ["amplitude", "mu", "sigma", "chi2", *ERRORS]] = best
+                pdf.loc[i, "converged"], pdf.loc[i, "method"] = True, "least_squares"
         yield pdf
 
 
-def least_squares_gauss(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float, float, float] | None:
+def least_squares_gauss(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, ...] | None:
     """Damped Gauss-Newton on (A, mu, sigma) of one histogram; errors sqrt(max(y, 1)); None without convergence.
 
+    Returns the parameters, chi2 and the parameters' standard errors (NaN where the minimum does not determine them).
+
     A stays >= 0, sigma > 0 and mu within ten spans of the bins.
     """
     total, span = y.sum(), np.ptp(x)
@@ -200,6 +215,13 @@ def least_squares_gauss(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple
         miss = (y - q[0] * g) / err
         return float(miss @ miss), miss, slope
 
+    def result(p: np.ndarray, chi2: float, slope: np.ndarray) -> tuple[float, ...]:
+        try:
+            errors = np.sqrt(np.clip(np.diag(np.linalg.inv(slope.T @ slope)), 0, None))
+        except np.linalg.LinAlgError:
+            errors = np.full(3, np.nan)
+        return float(p[0]), float(p[1]), float(p[2]), chi2, *errors.tolist()
+
     chi2, miss, slope = cost(p)
     damp = 1e-3
     for _ in range(steps):
@@ -214,11 +236,11 @@ def least_squares_gauss(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple
             done = chi2 - new <= 1e-12 * max(chi2, 1e-12) and np.all(np.abs(q - p) <= 1e-9 * (np.abs(p) + 1e-9))
             p, chi2, miss, slope, damp = q, new, miss_q, slope_q, max(damp / 10, 1e-12)
             if done or chi2 == 0:
-                return float(p[0]), float(p[1]), float(p[2]), chi2
+                return result(p, chi2, slope)
         else:
             damp *= 10
             if damp > 1e12:
-                return float(p[0]), float(p[1]), float(p[2]), chi2
+                return result(p, chi2, slope)
     return None
 
 

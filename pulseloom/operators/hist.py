@@ -232,3 +232,22 @@ def hist2d_stats(cells: DataFrame) -> DataFrame:
         F.col("_least.n").alias("least_n"),
         F.log10(-F.col("_most.col1") + 1).alias("most_log"),
     )
+
+
+def all_cells(cells: DataFrame, nx: int, ny: int) -> DataFrame:
+    """(bx, by, n, log_n) of every cell of a grid, empty ones with 0; ``log_n`` is log10(n + 1).
+
+    The grid is nx * ny rows, whatever the data; ``cells`` has at most as many.
+    """
+    grid = cells.sparkSession.range(nx * ny).select(F.floor(F.col("id") / ny).alias("bx"), (F.col("id") % ny).alias("by"))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return grid.join(cells.select("bx", "by", "n"), ["bx", "by"], "left").select("bx", "by", n.alias("n"), F.log10(n + 1).alias("log_n"))
+
+
+def hist2d_range(cells: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Entries, and the fullest and the emptiest cell of the whole grid, the first of equal ones row by row."""
+    first = F.struct(F.col("bx"), F.col("by"))
+    full = all_cells(cells, nx, ny)
+    most, least = F.max_by(F.struct("n", "bx", "by"), F.struct(F.col("n"), -F.col("bx"), -F.col("by"))), F.min_by(F.struct("n", "bx", "by"), F.struct(F.col("n"), first))
+    out = full.agg(F.sum("n").alias("entries"), F.count_if(F.col("n") == 0).alias("empty"), most.alias("most"), least.alias("least"))
+    return out.select("entries", "empty", *[F.col(f"{a}.{b}").alias(f"{a}_{b}") for a in ("most", "least") for b in ("n", "bx", "by")])

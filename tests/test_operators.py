@@ -452,3 +452,25 @@ def test_pulses_of_events(spark):
     totals = {r["pulse_event"]: (r["n_pulses"], r["n_samples"]) for r in event_totals(found).collect()}
     assert totals == {0: (2, 56), 1: (1, 16), None: (1, 28)}
     assert event_pulses(spark.createDataFrame([], "event_id long, channel long, w array<long>"), "event_id", "w").count() == 0
+
+
+def test_line_of_groups_without_one(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 5.0), ("b", 1.0, 2.0), ("c", 0.0, 1.0), ("c", 2.0, 5.0), ("d", None, 1.0)], "g string, x double, y double")
+    assert [r["g"] for r in ols(df, "x", "y", ["g"]).collect()] == ["c"]
+    got = {r["g"]: (r["reason"], r["n"], r["slope"], r["intercept"], r["r2"], r["rss"]) for r in ols(df, "x", "y", ["g"], degenerate=True).collect()}
+    assert got == {"a": ("constant", 2, None, None, None, None), "b": ("points", 1, None, None, None, None), "c": (None, 2, 2.0, 1.0, 1.0, 0.0)}
+
+
+def test_errors_and_method_of_least_squares(spark):
+    x = np.arange(-10, 11) * 0.5
+    bins = [("good", float(v), float(round(1000 * math.exp(-((v - 1) ** 2) / 2 / 1.5**2)))) for v in x]
+    bins += [("none", float(v), 0.0) for v in x]
+    f = {r["g"]: r for r in gauss_fit(spark.createDataFrame(bins, "g string, center double, n double"), by=["g"], method="least_squares").collect()}
+    r = f["good"]
+    t = (x - r["mu"]) / r["sigma"]
+    e = np.exp(-t * t / 2)
+    j = np.stack([e, r["amplitude"] * e * t / r["sigma"], r["amplitude"] * e * t * t / r["sigma"]], axis=1)
+    y = np.array([b[2] for b in bins[: len(x)]])
+    want = np.sqrt(np.diag(np.linalg.inv((j.T / np.maximum(y, 1)) @ j)))
+    assert r["method"] == "least_squares" and np.allclose([r["amplitude_error"], r["mu_error"], r["sigma_error"]], want, rtol=1e-9)
+    assert f["none"]["method"] != "least_squares" and f["none"]["mu_error"] is None or math.isnan(f["none"]["mu_error"])
