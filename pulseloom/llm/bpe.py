@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pulseloom.llm.common import table
 
 END = ""  # stands for the word-end mark of the vocabulary while a word is cut
-CACHED_WORDS = 150_000  # words whose ids a worker remembers, from task to task; the memory starts anew beyond that
+CACHED_WORDS = 150_000  # words whose ids a worker remembers, from task to task, and as many that it used before those
 SLICE_CHARS = 1 << 22  # texts are taken in slices of about so many characters
 # The split pattern and the normaliser of the vocabulary file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -149,6 +149,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {i: (i,) for i in vocabulary.special.values()}
+        self.before: dict = {}
         self.bytes = dict(enumerate(byte_chars()))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
 
@@ -166,9 +167,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.words(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = {i: (i,) for i in self.v.special.values()}
-        known = self.known
-        new = list(set(chain.from_iterable(cut)).difference(known))
+            self.before, self.known = self.known, {i: (i,) for i in self.v.special.values()}
+        known, before = self.known, self.before
+        unseen = set(chain.from_iterable(cut)).difference(known)
+        again = unseen.intersection(before)
+        known.update((w, before[w]) for w in again)
+        new = list(unseen - again)
         spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes) + END for w in new]
         known.update(zip(new, self.v.encode_words(spelled)))
         return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
@@ -234,8 +238,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", decoded
     def run(batches):
         enc, tokens = worker(held)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 5000):
+                batch = whole.slice(at, 5000)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
                 for a, b in slices(texts):
                     lists = enc.encode(texts[a:b])

@@ -72,3 +72,12 @@ def test_odd_rows(spark, odd_docs, no_docs, vocabulary):
     assert len(rows) == odd_docs.count()
     assert all(r["ids"] == [] and r["decoded"] == "" for r in rows if r["doc_id"] in (1, 2, 3))
     assert bpe.encode(no_docs, vocabulary).count() == 0
+
+
+def test_words_that_are_forgotten_are_encoded_alike(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 20)
+    enc, rng = bpe.Encoder(vocabulary), random.Random(7)
+    words = ["".join(rng.choices("aehinorst", k=5)) for _ in range(60)]
+    for _ in range(30):
+        text = " ".join(rng.choices(words, k=25))
+        assert enc.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
