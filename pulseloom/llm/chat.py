@@ -93,27 +93,45 @@ def _examples(segments: Column) -> Column:
     return let(let(F.transform(segments, size), with_starts), rows)
 
 
-def explode_examples(formatted: DataFrame) -> DataFrame:
-    """One row per example: conv_id, example (from 0), prompt and target as they are fed to training (escaped)."""
+def explode_examples(formatted: DataFrame, *, keep_empty: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per example: conv_id, example (from 0), prompt and target as they are fed to training (escaped).
+
+    With ``keep_empty`` a conversation without a trained turn is one row with null example, prompt and target;
+    ``keep`` names columns of ``formatted`` that every row carries along.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
     upto = F.slice("segments", F.lit(1), F.col("e.n_segments"))
-    return formatted.select("conv_id", "segments", F.posexplode("examples").alias("example", "e")).select(
-        "conv_id", "example", F.array_join(F.transform(upto, lambda s: s["text"]), "").alias("prompt"), F.col("e.target").alias("target")
+    prompt = F.array_join(F.transform(upto, lambda s: s["text"]), "")
+    return formatted.select("conv_id", *dict.fromkeys(["segments", *keep]), explode("examples").alias("example", "e")).select(
+        "conv_id", *keep, "example", prompt.alias("prompt"), F.col("e.target").alias("target")
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and trained text out of the formatted output: conv_id, turns (role, text), losses (text), examples."""
+    """Turns and trained text out of the formatted output: conv_id, turns (role, text), losses (text), formatted_chars.
+
+    Losses and characters come from the exploded examples, one row per trained turn with its whole context. Turns come
+    from the whole conversation, since no example holds the turns behind the last trained one; they are read on one row
+    of each conversation. The rows of a conversation are together already, so the second grouping shuffles nothing.
+    """
     whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
     cut = F.filter(F.split(whole, r"<\|im_end\|>\n"), lambda s: s != "")
     line = r"(?s)^<\|im_start\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)$"
     turn = lambda s: F.struct(
         unescape(F.regexp_extract(s, line, 1)).alias("role"), unescape(F.regexp_extract(s, line, 2)).alias("text")
     )
-    return formatted.select(
+    size = lambda c: F.char_length(c).cast("bigint")
+    has = F.col("example").isNotNull()
+    read = explode_examples(formatted, keep_empty=True, keep=("segments",)).select(
         "conv_id",
-        F.transform(cut, turn).alias("turns"),
-        F.transform("examples", lambda e: unescape(e["target"])).alias("losses"),
-        F.aggregate("examples", F.lit(0).cast("bigint"), lambda acc, e: acc + e["chars"]).alias("formatted_chars"),
+        F.when(F.coalesce("example", F.lit(0)) == 0, F.transform(cut, turn)).alias("turns"),
+        F.when(has, F.struct("example", unescape(F.col("target")).alias("text"))).alias("loss"),
+        F.when(has, size("prompt") + size("target") + len(END) + 1).alias("chars"),
+    )
+    return read.groupBy("conv_id").agg(
+        F.first("turns", ignorenulls=True).alias("turns"),
+        F.transform(F.array_sort(F.collect_list("loss")), lambda e: e["text"]).alias("losses"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("formatted_chars"),
     )
 
 
