@@ -49,6 +49,18 @@ def payload(spark, d):
     return fx.payloads(spark, d).select("p_partkey", F.unhex("hex").alias("b"))
 
 
+@query(
+    "run_start_events",
+    B + """, f as (select *, l_orderkey * 1000 + l_linenumber * 32 ts,
+        case when lag(chip) over o = chip and sample_index > lag(sample_index) over o then 0 else 1 end f from fx_pos window o as (partition by run order by pos)),
+      r as (select run, chip, pos run_start, ts t_first from f where f = 1),
+      g as (select *, case when abs(t_first - lag(t_first) over (partition by run order by run_start)) < 20000 then 0 else 1 end g from r)
+      select run, chip, run_start, t_first, cast(sum(g) over (partition by run order by run_start rows unbounded preceding) as bigint) event_id from g""",
+)
+def run_start_events(spark, d):
+    return runs.run_events(placed(spark, d), 20_000, stream=["run"]).select("run", "chip", "run_start", "t_first", "event_id")
+
+
 # ---------------------------------------------------------------- bit fields
 
 WORD = "cast(('0x' || substring(hex, {at}, 4)) as bigint)"
@@ -71,6 +83,26 @@ def unpack10(spark, d):
     )
 
 
+@query(
+    "unpack10_filled",
+    Y + """, v as (select p_partkey, list_transform(range(4, 35), lambda k: case when k % 7 = 3 then 165 else
+        cast(('0x' || substring(hex, 2 * k + 1, 2)) as bigint) end) b from fx_bytes)
+      select p_partkey,
+       array_to_string(list_transform(range(25), lambda i: ((b[(i * 10) // 8 + 1] * 256 + coalesce(b[(i * 10) // 8 + 2], 0)) >> (6 - (i * 10) % 8)) & 1023), ',') msb,
+       array_to_string(list_transform(range(24), lambda i: ((b[(i * 10) // 8 + 1] + coalesce(b[(i * 10) // 8 + 2], 0) * 256) >> ((i * 10) % 8)) & 1023), ',') lsb
+      from v""",
+)
+def unpack10_filled(spark, d):
+    """Bytes 4 to 34 of the payloads, of which every seventh is lost and filled."""
+    numbered = F.transform(bits.byte_values(F.col("b")), lambda v, i: F.struct(i.alias("pos"), v.alias("byte")))
+    left = F.filter(numbered, lambda e: e["pos"] % 7 != 3)
+    return payload(spark, d).select("p_partkey", left.alias("pairs")).select(
+        "p_partkey",
+        csv(bits.unpack10_pairs(F.col("pairs"), 4, 35, fill_missing=165, pad_last=True)).alias("msb"),
+        csv(bits.unpack10_pairs(F.col("pairs"), 4, 35, fill_missing=165, msb_first=False)).alias("lsb"),
+    )
+
+
 @query(
     "timestamp48",
     Y + f"""select p_partkey, {WORD.format(at=5)} * 4294967296 + {WORD.format(at=9)} * 65536 + {WORD.format(at=13)} ticks,

@@ -63,8 +63,7 @@ def hist1d(spark, d):
 )
 def hist1d_auto(spark, d):
     s = fx.waves(spark, d).select(F.explode("w").alias("v"))
-    lo, hi, n = hist.auto_bins(s, "v", integers=True)
-    return hist.hist1d(s, "v", lo, hi, n).select("bin", "n")
+    return hist.hist1d_auto(s, "v", integers=True).select("bin", "n")
 
 
 OVER = "case when {x} < {lo} then 0 when {x} >= {hi} then {e} else 1 + cast(floor(({x} - {lo}) / {w}::double) as bigint) end"

@@ -94,6 +94,38 @@ def unpack10(b: Column, *, msb_first: bool = True, pad_last: bool = False) -> Co
     return let(byte_values(b), values)
 
 
+def interval_bytes(pairs: Column, start: int | Column, end: int | Column, *, fill_missing: int | None = None) -> Column:
+    """Bytes at the positions [start, end) out of an array of (pos, byte) in any order, as binary.
+
+    Of repeated positions the last entry counts. A position without entry is ``fill_missing``; without that the result
+    is null, so that one incomplete block does not end a job. A negative start or an end before it gives no bytes.
+    """
+    start, end = _col(start), _col(end)
+    # one entry per position: sorted by position and place, the last of each
+    placed = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["pos"].cast("int").alias("pos"), i.alias("i"), e["byte"].cast("int").alias("byte"))))
+
+    def last_of_each(es: Column) -> Column:
+        kept = F.filter(es, lambda e, i: ~F.get(es, i + 1)["pos"].eqNullSafe(e["pos"]) & e["pos"].isNotNull())
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["pos"], e["byte"])))
+
+    def gather(at: Column) -> Column:
+        fill = F.lit(None).cast("int") if fill_missing is None else F.lit(fill_missing)
+        got = F.transform(F.sequence(start, end - 1), lambda p: F.coalesce(F.try_element_at(at, p), fill).bitwiseAND(F.lit(255)))
+        text = F.array_join(F.transform(got, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+        return F.when(~F.exists(got, lambda v: v.isNull()), F.unhex(text))
+
+    return F.when((start < 0) | (end <= start), F.unhex(F.lit(""))).otherwise(let(let(placed, last_of_each), gather))
+
+
+def unpack10_pairs(
+    pairs: Column, start: int | Column, end: int | Column, *, fill_missing: int | None = None, msb_first: bool = True, pad_last: bool = False
+) -> Column:
+    """``unpack10`` of ``interval_bytes``."""
+    return let(
+        interval_bytes(pairs, start, end, fill_missing=fill_missing), lambda b: unpack10(b, msb_first=msb_first, pad_last=pad_last)
+    )
+
+
 def pack_flags(*ok: Column) -> Column:
     """Bit i is 0 where check i holds."""
     level = F.lit(0)

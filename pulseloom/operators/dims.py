@@ -56,12 +56,15 @@ def pad_geometry(spark: SparkSession) -> DataFrame:
 
 
 def join_map(hits: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """Left lookup of the pad; unmapped channels keep a null pad. The map has a fixed size (channels of one detector)."""
-    return hits.join(F.broadcast(mapping), hits[key] == mapping["map_id"], "left").drop("map_id")
+    """Left lookup of the pad; unmapped channels keep a null pad.
+
+    The caller's map carries no hint: it is sent to all tasks only while its measured size is below the session's limit.
+    """
+    return hits.join(mapping, hits[key] == mapping["map_id"], "left").drop("map_id")
 
 
 def join_pads(hits: DataFrame, pads: DataFrame) -> DataFrame:
-    return hits.join(F.broadcast(pads), "tpc_id", "left")
+    return hits.join(pads, "tpc_id", "left")
 
 
 ZONES = ["is_al", "is_up", "is_dn", "is_up1", "is_up2", "is_up3", "is_dn1", "is_dn2", "is_dn3"]

@@ -96,8 +96,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     """Exact quantiles with linear interpolation (two order statistics per quantile reach the driver)."""
     cum = value_counts_cumulative(df.filter(finite(F.col(value))), value)
     total = cum.agg(F.max("upto")).first()[0]
-    if not total:
-        return []
+    return _quantiles(cum, value, total, probs) if total else []
+
+
+def _quantiles(cum: DataFrame, value: str, total: int, probs: Sequence[float]) -> list[float]:
     ranks = sorted({f((total - 1) * p) for p in probs for f in (math.floor, math.ceil)})
     want = F.array(*[F.lit(int(r)).cast("bigint") for r in ranks])
     hits = cum.select(value, F.explode(F.filter(want, lambda r: (r >= F.col("before")) & (r < F.col("upto")))).alias("rank"))
@@ -113,15 +115,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
 def auto_bins(df: DataFrame, value: str, *, integers: bool = False) -> tuple[float, float, int]:
     """(lo, hi, n) by the larger of the Sturges and the Freedman-Diaconis number of bins, the latter limited
     by the square-root rule; integer data never get bins narrower than 1."""
-    r = df.filter(finite(F.col(value))).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")
+    return _auto_bins(value_counts_cumulative(df.filter(finite(F.col(value))), value), value, integers)
+
+
+def hist1d_auto(df: DataFrame, value: str, *, integers: bool = False) -> DataFrame:
+    """``hist1d`` with automatic bins. Rows are read once, into a table of distinct values and their counts, from which
+    range, quartiles and the histogram itself are read. Without a finite value: no rows."""
+    counts = value_counts_cumulative(df.filter(finite(F.col(value))), value)
+    lo, hi, n = _auto_bins(counts, value, integers)
+    return hist1d(counts, value, lo, hi, n, weight="n")
+
+
+def _auto_bins(cum: DataFrame, value: str, integers: bool) -> tuple[float, float, int]:
+    r = cum.agg(
+        F.max("upto").alias("n"), F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")
     ).first()
     if not r["n"]:
         return 0.0, 1.0, 1
     lo, hi, count = r["a"], r["b"], r["n"]
     if lo == hi:
         return lo - 0.5, hi + 0.5, 1
-    q1, q3 = exact_quantiles(df, value, [0.25, 0.75])
+    q1, q3 = _quantiles(cum, value, count, [0.25, 0.75])
     sturges = (hi - lo) / (math.log2(count) + 1.0)
     root = (hi - lo) / math.sqrt(count)
     fd = 2.0 * (q3 - q1) * count ** (-1.0 / 3.0)

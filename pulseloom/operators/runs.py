@@ -65,6 +65,23 @@ def contiguous_runs(
     )
 
 
+def run_events(
+    blocks: DataFrame, gap: int = 50, pos: str = "pos", *, stream: Sequence[str] = (), timestamp: str = "timestamp", width: int = BUCKET_ROWS
+) -> DataFrame:
+    """One row per run: run_start, chip, its first time and the 1-based event_id in its stream.
+
+    A run whose first time is at least ``gap`` ticks away from its predecessor's, before or after it, opens an event.
+    Only the first block of each run goes into the second step, and no samples.
+    """
+    slim = blocks.select(*stream, pos, "chip", "sample_index", F.col(timestamp).alias("t_first"))
+    starts = run_starts(slim, pos, stream=stream, width=width).filter(F.col(pos) == F.col("run_start"))
+    marked = mark_segments(
+        starts.select(*stream, "run_start", "chip", "t_first"), "run_start", lambda p, c: F.abs(c["t_first"] - p["t_first"]) >= gap,
+        ["t_first"], stream=stream, width=width, start_name="_event", number_name="event_id",
+    )
+    return marked.drop("_event")
+
+
 def chip_runs(
     blocks: DataFrame,
     pos: str = "pos",
