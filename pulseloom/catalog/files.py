@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pulseloom import fixtures as fx
 from pulseloom import schemas
-from pulseloom.catalog.common import FX_EVENT, FX_PULSE, csv, with_views
+from pulseloom.catalog.common import FX_EVENT, FX_MAP, FX_PULSE, csv, with_views
+from pulseloom.operators import dims
 from pulseloom.session import scratch_path
 from pulseloom.sources import tables
 from pulseloom.sources.block_stream import Format, read_blocks, write_blocks
@@ -116,6 +117,22 @@ def netlist_pins(spark, d):
     return pins.groupBy("number", "kind", "part", "pin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "map_from_csv",
+    with_views(FX_PULSE, FX_MAP) + """select tpc_id, count(*) n_pulses, cast(sum(charge) as bigint) charge
+      from fx_pulse left join fx_map_gid on map_id = gch group by tpc_id""",
+)
+def map_from_csv(spark, d):
+    """Pulses joined to a channel map that is read from CSV text, ground rows included."""
+    path = scratch_path(spark, "map")
+    p = fx.pulses(spark, d)
+    used = fx.channel_map_rows(spark).join(p.select(F.col("gch").alias("readoutID")).distinct(), "readoutID", "left_semi")
+    text = used.select("chipNo", "chipChannel", "readoutID", F.lit("").alias("tpcID"), F.lit("").alias("padID"), "gid")
+    text.write.option("header", True).csv(path)
+    mapped = dims.join_map(p, dims.channel_map(tables.read_channel_map(spark, path)), "gch")
+    return mapped.groupBy("tpc_id").agg(F.count(F.lit(1)).alias("n_pulses"), F.sum("charge").alias("charge"))
+
+
 @query(
     "stream_event_gap",
     with_views(FX_PULSE).rstrip() + """, f as (select *, case when lag(t_us) over o is null or t_us - lag(t_us) over o > 300000000 then 1 else 0 end f

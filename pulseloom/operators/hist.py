@@ -120,7 +120,7 @@ def auto_bins(df: DataFrame, value: str, *, integers: bool = False) -> tuple[flo
 
 def hist1d_auto(df: DataFrame, value: str, *, integers: bool = False) -> DataFrame:
     """``hist1d`` with automatic bins. Rows are read once, into a table of distinct values and their counts, from which
-    range, quartiles and the histogram itself are read. Without a finite value: no rows."""
+    range, quartiles and the histogram itself are read. Without a finite value there is one empty bin from 0 to 1."""
     counts = value_counts_cumulative(df.filter(finite(F.col(value))), value)
     lo, hi, n = _auto_bins(counts, value, integers)
     return hist1d(counts, value, lo, hi, n, weight="n")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom.functions import bits
 from pulseloom.operators import chain, dims, hist, runs
 from pulseloom.operators.fits import gauss_fit, ols, track_fit
 from pulseloom.operators.position import carry_last, lag_by_position, mark_segments, nearest_within, with_position
@@ -474,3 +475,42 @@ def test_errors_and_method_of_least_squares(spark):
     want = np.sqrt(np.diag(np.linalg.inv((j.T / np.maximum(y, 1)) @ j)))
     assert r["method"] == "least_squares" and np.allclose([r["amplitude_error"], r["mu_error"], r["sigma_error"]], want, rtol=1e-9)
     assert f["none"]["method"] != "least_squares" and f["none"]["mu_error"] is None or math.isnan(f["none"]["mu_error"])
+
+
+def test_bytes_by_position(spark):
+    def run(pairs, start, end, fill=None):
+        df = spark.createDataFrame([(pairs,)], "p array<struct<pos:int,byte:int>>")
+        got = df.select(bits.interval_bytes(F.col("p"), start, end, fill_missing=fill).alias("b")).first()["b"]
+        return None if got is None else list(got)
+
+    pairs = [(3, 30), (1, 10), (2, 511), (1, 11), (9, 90)]
+    assert run(pairs, 1, 4) == [11, 255, 30]
+    assert run(pairs, 0, 4) is None and run(pairs, 0, 4, 300) == [44, 11, 255, 30]
+    assert run(pairs, -1, 4) == [] and run(pairs, 4, 3) == [] and run(pairs, 4, 4) == []
+    assert run([], 0, 2, 7) == [7, 7] and run([], 0, 2) is None
+
+
+def test_events_of_run_starts(spark):
+    rng = np.random.default_rng(5)
+    rows, t = [], 1000
+    for pos in range(400):
+        t += int(rng.integers(-60, 90))
+        rows.append((pos, int(rng.integers(0, 2)), int(rng.integers(0, 5)), t))
+    want, event, before, last = [], 0, None, None
+    for pos, chip, index, time in rows:
+        if before is None or before[0] != chip or index <= before[1]:
+            event += last is None or abs(time - last) >= 50
+            last = time
+            want.append((pos, chip, time, event))
+        before = (chip, index)
+    df = spark.createDataFrame(rows, "pos long, chip long, sample_index long, timestamp long").repartition(3)
+    for width in (1 << 20, 7):
+        got = runs.run_events(df, 50, width=width).orderBy("run_start").select("run_start", "chip", "t_first", "event_id").collect()
+        assert [tuple(r) for r in got] == want
+
+
+def test_automatic_histogram_without_values(spark):
+    none = hist.hist1d_auto(spark.createDataFrame([], "x double"), "x").collect()
+    assert [(r["left"], r["right"], r["n"]) for r in none] == [(0.0, 1.0, 0)]
+    one = hist.hist1d_auto(spark.createDataFrame([(2.0,), (2.0,), (None,), (float("nan"),)], "x double"), "x").collect()
+    assert [(r["left"], r["right"], r["n"]) for r in one] == [(1.5, 2.5, 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions import bits
 from pulseloom.functions import waveform as wf
+from pulseloom.functions.spans import wave_spans
 
 EDGES = [
     None, [], [5], [7] * 12, [1, 1, 2, 2], [0, 100, 0], [60] * 20, [0] * 19 + [90], [90] + [0] * 19,
@@ -170,3 +171,34 @@ def test_markers(spark):
     first = df.select(bits.marker_positions(b, "AFFA"), bits.marker_positions(b, "FAAF"), bits.word_after(b, "FFFA"), bits.word_after(b, "0A0B"), bits.timestamp_of(b)).first()
     assert first[0] == [0, 2] and first[1] == [1] and first[2] == 0x0A0B and first[3] is None
     assert first[4] == (0xAFFA << 32) | (0xFA12 << 16) | 0x0A0B
+
+
+def test_spans_of_null_and_empty_waves_in_one_batch(spark):
+    wave = [0.0, 60.0, None, 60.0, 5.0, None, 80.0]
+    rows = [(0, [wave, None, []]), (1, None), (2, []), (3, [[], wave[:3]]), (4, [None])]
+    df = spark.createDataFrame(rows, "id int, ws array<array<double>>").coalesce(1)
+    got = {r["id"]: r["s"] for r in df.select("id", wave_spans(F.col("ws"), rise=50, fall=10, pre=0, post=0, minlen=1).alias("s")).collect()}
+    assert [[tuple(s) for s in ss] if ss is not None else None for ss in got[0]] == [[(1, 5), (6, 7)], None, []]
+    assert got[1] is None and got[2] == [] and got[4] == [None]
+    assert [[tuple(s) for s in ss] for ss in got[3]] == [[], [(1, 3)]]
+
+
+def test_many_pulses_in_one_long_wave(spark):
+    wave = [0, 90] * 50_000
+    df = spark.createDataFrame([(wave,)], "w array<bigint>")
+    spans = df.select(wave_spans(F.array("w"), rise=50, fall=10, pre=0, post=0, minlen=1).alias("s")).filter(F.size("s") > 0).select(F.inline(F.get("s", F.lit(0)))).collect()
+    assert [tuple(s) for s in spans] == [(i, min(i + 2, len(wave))) for i in range(1, len(wave), 2)]
+
+
+@pytest.mark.parametrize("pre,post,minlen", [(10, 8, 4), (0, 0, 1), (2, 3, 6)])
+def test_wave_spans(waves, pre, post, minlen):
+    got, src = run(waves, wave_spans(F.array("w", "w"), rise=50, fall=10, pre=pre, post=post, minlen=minlen))
+    for i, w in src.items():
+        want = None if w is None else spans_by_walk(w, 50, 10, pre, post, minlen)
+        assert [None if s is None else [tuple(x) for x in s] for s in got[i]] == [want, want]
+
+
+def test_inline_of_found_pulses(spark):
+    df = spark.createDataFrame([([[0, 0, 90, 0, 0]], [1, 2, 3, 4, 5], 7)], "sv array<array<bigint>>, ts array<bigint>, chip bigint")
+    rows = df.select(F.inline(wf.find_pulses("sv", "ts", "chip", pre=1, post=0, minlen=1))).collect()
+    assert [(r["pulse"], r["index"], r["time"], r["chip"], r["channel"]) for r in rows] == [([0, 90, 0], [1, 2, 3], [2, 3, 4], 7, 0)]
