@@ -100,24 +100,28 @@ def follow(
     nodes: DataFrame,
     c: str,
     limit: str,
-    width: float,
+    width: float | None = None,
     *,
     stream: Sequence[str] = (),
+    zone: str | None = None,
     max_step: float | None = None,
+    members: bool = False,
     group_zones: int = GROUP_ZONES,
 ) -> DataFrame:
     """The elements on the greedy chain of every stream.
 
     ``nodes`` has one row per distinct coordinate ``c`` and its ``limit`` (>= c, same type). Returns
     (stream.., c, limit, zone, step) with ``step`` counting the chain elements inside a zone from 0. A zone covers
-    ``width`` units of the coordinate, so with integer coordinates it never has more than ``width`` elements.
+    ``width`` units of the coordinate, so with integer coordinates it never has more than ``width`` elements; or the column
+    ``zone`` names it, as a number that grows with the coordinate. Null streams are streams of their own.
+    With ``members`` every element is returned: ``step`` counts the chain elements of its zone up to it (0 in front of
+    the first one) and ``start`` is the coordinate of the last of them, meaningful where ``step`` is not 0.
     ``max_step`` is a bound of limit - c where one is known; otherwise the largest limit of earlier zones is looked up.
     """
     stream = list(stream)
     keys = [*stream, "_zone"]
-    nodes = nodes.select(
-        *stream, F.col(c).alias("_c"), F.col(limit).alias("_l"), F.floor(F.col(c) / F.lit(width)).cast("bigint").alias("_zone")
-    )
+    in_zone = F.col(zone) if zone else F.floor(F.col(c) / F.lit(width))
+    nodes = nodes.select(*stream, F.col(c).alias("_c"), F.col(limit).alias("_l"), in_zone.cast("bigint").alias("_zone"))
     over = W.partitionBy(*stream).orderBy("_zone") if stream else W.orderBy("_zone")
     pre = [T.StructField(f.name, f.dataType) for f in nodes.schema if f.name in keys]
     # explicit order: keys first
@@ -132,7 +136,8 @@ def follow(
         return pd.DataFrame([[*key, upto, out]], columns=[*keys, "upto", "out"])
 
     def bounded(key: tuple, zone: pd.DataFrame) -> pd.DataFrame:
-        return step_of(key, zone, key[-1] * width + max_step)
+        # earlier elements are smaller than the first one here, so their limits are smaller than this
+        return step_of(key, zone, zone["_c"].min() + max_step)
 
     def looked_up(key: tuple, zone: pd.DataFrame, bound: pd.DataFrame) -> pd.DataFrame:
         return step_of(key, zone, bound["_reach"].iloc[0] if len(bound) else None)
@@ -174,27 +179,27 @@ def follow(
 
     whole = groups.groupBy(*(stream or [F.lit(0).alias("_all")]))
     entries_g = whole.applyInPandas(starts("_group", [*stream, "_group"]), T.StructType([*group_pre, *entry_fields]))
-    with_lead = steps.join(entries_g, [*stream, "_group"], "inner")
+    entries_g = entries_g.withColumnsRenamed({k: f"_of_{k}" for k in [*stream, "_group"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*stream, "_group"]]
+    with_lead = steps.join(entries_g, same, "inner").drop(*[f"_of_{k}" for k in [*stream, "_group"]])
     entries = with_lead.groupBy(*stream, "_group").applyInPandas(starts("_zone", keys), T.StructType([*pre, *entry_fields]))
 
     def mark(key: tuple, zone: pd.DataFrame, lead: pd.DataFrame) -> pd.DataFrame:
         zone = zone.sort_values("_c")
         x = None if lead["_first"].iloc[0] else lead["_x"].iloc[0]
-        idx = visited(zone["_c"].to_numpy(), zone["_l"].to_numpy(), x)
+        at = zone["_c"].to_numpy()
+        idx = visited(at, zone["_l"].to_numpy(), x)
+        if members:
+            got = zone[[*keys, "_c"]].copy()
+            got["step"] = np.searchsorted(idx, np.arange(len(at)), side="right")
+            got["start"] = at[idx[np.maximum(got["step"].to_numpy() - 1, 0)]] if len(idx) else at
+            return got
         got = zone.iloc[idx][[*keys, "_c", "_l"]].copy()
         got["step"] = np.arange(len(idx), dtype=np.int64)
         return got
 
-    out_schema = T.StructType([*pre, T.StructField("_c", num_type), T.StructField("_l", num_type), T.StructField("step", T.LongType())])
+    step = T.StructField("step", T.LongType())
+    values = [step, T.StructField("start", num_type)] if members else [T.StructField("_l", num_type), step]
+    out_schema = T.StructType([*pre, T.StructField("_c", num_type), *values])
     on_chain = nodes.groupBy(*keys).cogroup(entries.toDF(*entries.columns).groupBy(*keys)).applyInPandas(mark, out_schema)
     return on_chain.withColumnsRenamed({"_c": c, "_l": limit, "_zone": "zone"})
-
-
-def numbered(chain: DataFrame, stream: Sequence[str] = (), name: str = "number") -> DataFrame:
-    """Dense 1-based number of every chain element per stream, from one count per zone."""
-    stream = list(stream)
-    over = W.partitionBy(*stream).orderBy("zone") if stream else W.orderBy("zone")
-    sizes = chain.groupBy(*stream, "zone").agg(F.count(F.lit(1)).alias("_n")).select(
-        *stream, "zone", F.coalesce(F.sum("_n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
-    )
-    return chain.join(sizes, [*stream, "zone"]).withColumn(name, F.col("_base") + F.col("step") + 1).drop("_base", "step")

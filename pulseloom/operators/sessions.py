@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulseloom.operators.chain import follow, numbered
+from pulseloom.operators.chain import follow
+from pulseloom.operators.position import with_position
 from pulseloom.session import materialize
 
 ZONE_SLOTS = 1 << 16
@@ -109,48 +111,49 @@ def gap_events(
     return join_null_safe(rows, slots, [*stream, "_slot"], "left").drop("_slot")
 
 
-ANCHOR_ZONE = 256
+ZONE_TIMES = 1 << 16
 
 
 def anchor_times(
-    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_thresholds: int = ANCHOR_ZONE
+    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_times: int = ZONE_TIMES
 ) -> DataFrame:
     """Event id of every distinct time: a new event starts where a time is more than ``threshold`` after the
-    event's first time. Returns (stream.., time, event_id, event_start).
+    event's first time. Returns (stream.., time, event_id, event_start); null times have no row.
 
-    Rows are reduced to distinct times first (combining, so a frequent time costs nothing), and the sequential
-    rule runs as a greedy chain over zones of ``zone_thresholds`` thresholds.
+    Rows are reduced to distinct times first (combining, so a frequent time costs nothing). These get dense positions,
+    written once, and the sequential rule runs as a greedy chain over zones of ``zone_times`` positions. So a task holds
+    the same number of times in a dense stretch and in a sparse one, whether times are whole numbers or not.
     """
     stream = list(stream)
     if threshold <= 0:  # nothing but the very same time belongs to an anchor, so anchors and gaps are the same
         slots = gap_slots(df, time, threshold, stream=stream)
         return slots.select(*stream, F.col("_lo").alias(time), "event_id", "event_start")
     num = df.schema[time].dataType
+    far = F.col(time) + F.lit(threshold)
+    limit = F.floor(far) if isinstance(num, T.IntegralType) else far
     times = df.filter(F.col(time).isNotNull()).groupBy(*stream, time).agg(F.lit(1).alias("_one")).drop("_one")
-    nodes = times.withColumn("_limit", (F.col(time) + F.lit(threshold)).cast(num))
-    chain = follow(nodes, time, "_limit", threshold * zone_thresholds, stream=stream, max_step=threshold)
-    anchors = materialize(numbered(chain, stream, "event_id").select(*stream, F.col(time).alias("event_start"), "event_id"))
-    # distinct times and anchors meet inside zones of the same bounded width; the last anchor of earlier zones is carried
-    zone = lambda c: F.floor(F.col(c) / F.lit(threshold * zone_thresholds)).cast("bigint")
-    both = times.select(*stream, F.col(time).alias("_t"), F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast(num).alias("event_start")).unionByName(
-        anchors.select(*stream, F.col("event_start").alias("_t"), "event_id", "event_start")
+    nodes = with_position(times, [*stream, time], "_pos").select(
+        *stream, time, limit.cast(num).alias("_limit"), F.floor(F.col("_pos") / F.lit(zone_times)).alias("_z")
     )
-    both = both.withColumn("_zone", zone("_t"))
-    over = W.partitionBy(*stream).orderBy("_zone") if stream else W.orderBy("_zone")
-    tails = both.groupBy(*stream, "_zone").agg(F.max(F.when(F.col("event_id").isNotNull(), F.struct("event_id", "event_start"))).alias("_tail"))
-    tails = tails.select(
-        *stream, "_zone", F.last("_tail", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_carry")
+    labels = materialize(follow(nodes, time, "_limit", stream=stream, zone="_z", max_step=threshold, members=True))
+    over = W.partitionBy(*stream).orderBy("zone") if stream else W.orderBy("zone")
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    own = F.when(F.col("step") > 0, F.col("start"))
+    zones = labels.groupBy(*stream, "zone").agg(F.max("step").alias("_n"), F.max(own).alias("_last"))
+    zones = zones.select(
+        *stream,
+        "zone",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+        F.last("_last", ignorenulls=True).over(before).alias("_carry"),
+    )
+    return join_null_safe(labels, zones, [*stream, "zone"], "inner").select(
+        *stream, time, (F.col("_base") + F.col("step")).alias("event_id"), F.coalesce(own, F.col("_carry")).alias("event_start")
     )
-    upto = W.partitionBy(*stream, "_zone").orderBy("_t", F.col("event_id").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    inner = F.last(F.when(F.col("event_id").isNotNull(), F.struct("event_id", "event_start")), ignorenulls=True).over(upto)
-    marked = both.withColumn("_in", inner).filter(F.col("event_id").isNull()).drop("event_id", "event_start")
-    marked = join_null_safe(marked, tails, [*stream, "_zone"], "inner").withColumn("_e", F.coalesce("_in", "_carry"))
-    return marked.select(*stream, F.col("_t").alias(time), "_e.event_id", "_e.event_start")
 
 
 def anchor_events(
-    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_thresholds: int = ANCHOR_ZONE
+    df: DataFrame, time: str, threshold: float, *, stream: Sequence[str] = (), zone_times: int = ZONE_TIMES
 ) -> DataFrame:
     """All rows with the anchored ``event_id`` (1-based, null where the time is null) and ``event_start``."""
-    ids = anchor_times(df, time, threshold, stream=stream, zone_thresholds=zone_thresholds)
+    ids = anchor_times(df, time, threshold, stream=stream, zone_times=zone_times)
     return join_null_safe(df, ids, [*stream, time], "left")

@@ -86,8 +86,8 @@ def test_anchor_events(spark, n, top, thr):
     rows = times(n * 7 + top, n, top)
     df = spark.createDataFrame(rows, "id int, t bigint").repartition(3)
     want = anchor_ids([t for _, t in rows], thr)
-    for zones in (1, 3):
-        got = anchor_events(df, "t", thr, zone_thresholds=zones).collect()
+    for zones in (7, 64):
+        got = anchor_events(df, "t", thr, zone_times=zones).collect()
         assert len(got) == n
         for r in got:
             assert (r["event_id"], r["event_start"]) == ((None, None) if r["t"] is None else want[r["t"]])
@@ -98,10 +98,26 @@ def test_anchor_events_with_streams(spark):
     rows = [(rng.choice("abc"), rng.randrange(500)) for _ in range(300)]
     df = spark.createDataFrame(rows, "run string, t bigint")
     want = {r: anchor_ids([t for q, t in rows if q == r], 9) for r in "abc"}
-    got = anchor_events(df, "t", 9, stream=["run"], zone_thresholds=2).collect()
+    got = anchor_events(df, "t", 9, stream=["run"], zone_times=20).collect()
     assert all((x["event_id"], x["event_start"]) == want[x["run"]][x["t"]] for x in got)
 
 
+def test_anchor_events_dense_and_sparse_doubles(spark):
+    """A dense stretch is cut by rows, and a fractional threshold on negative whole times rounds down."""
+    rng = random.Random(9)
+    dense = [(r, rng.uniform(-1, 1)) for r in ("a", None) for _ in range(400)]
+    sparse = [(r, rng.uniform(-1e9, 1e9)) for r in ("a", None) for _ in range(100)]
+    rows = dense + sparse + dense[:50] + [("a", None)]
+    got = anchor_events(spark.createDataFrame(rows, "run string, t double"), "t", 0.03, stream=["run"], zone_times=16).collect()
+    want = {r: anchor_ids([t for q, t in rows if q == r], 0.03) for r in ("a", None)}
+    assert len(got) == len(rows)
+    assert all((x["event_id"], x["event_start"]) == (want[x["run"]][x["t"]] if x["t"] is not None else (None, None)) for x in got)
+    whole = spark.createDataFrame([(t,) for t in (-5, -4, -3, -2, 0, 1)], "t bigint")
+    for r in anchor_events(whole, "t", 1.5, zone_times=2).collect():
+        assert (r["event_id"], r["event_start"]) == anchor_ids([-5, -4, -3, -2, 0, 1], 1.5)[r["t"]]
+    assert anchor_events(whole.limit(0), "t", 2).count() == 0
+
+
 def walk(c, limit):
     seen, i = [], 0
     while i < len(c):
