@@ -318,7 +318,7 @@ def q_track_fit(spark, d):
 )
 def event_tracks(spark, d):
     h = hits(spark, d)
-    return event_summary(h).join(plan.build_tracks(h), "event_id", "left").select("event_id", "N_al", "Q_al", *track_columns())
+    return plan.build_summary_tracks(h).select("event_id", "N_al", "Q_al", *track_columns())
 
 
 SUMS_SQL = """, sums as (select event_id, count(*) filter (is_up) N_up, count(*) filter (is_dn) N_dn,

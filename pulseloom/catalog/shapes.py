@@ -10,7 +10,7 @@ from pulseloom.catalog.hits import SUMS_SQL, TIMES_SQL, TRACK_SQL, hits
 from pulseloom.functions import waveform as wf
 from pulseloom.operators import hist
 from pulseloom.operators.fits import gauss_fit, ols
-from pulseloom.operators.summary import event_summary, with_centroids
+from pulseloom.operators.summary import event_summary
 from pulseloom.plans import checks
 from pulseloom.plans import hits as plan
 
@@ -314,7 +314,7 @@ def events(spark, d, times: bool = False):
     h = hits(spark, d)
     if times:
         return plan.build_events(h, "t_us", 1000.0)
-    return with_centroids(event_summary(h)).join(plan.build_tracks(h), "event_id", "left")
+    return plan.build_summary_tracks(h)
 
 
 EVENTS = H + TRACK_SQL + SUMS_SQL + """, ev as (select s.*, a_slope, a_intercept, a_chi2, a_dof,

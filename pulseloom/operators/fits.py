@@ -77,19 +77,25 @@ def track_fit(
     pass over the rows. Only weights > 0 take part; an event with a non-finite value or fewer than two points
     has null results but for its number of points; a vertical line has null slope and intercept.
     """
+    w = F.col(weight).cast("double")
+    m = hits.filter((w > 0) | F.isnan(w)).groupBy(key).agg(*track_moments(x, y, weight, origin=origin))
+    return with_track(m, origin)
+
+
+def track_moments(x: str = "x", y: str = "z", weight: str = "w", *, origin: tuple[float, float] = (0.0, 0.0)) -> list[Column]:
+    """Aggregates that ``with_track`` reads; rows whose weight is not above 0 add nothing."""
     w, u, v = F.col(weight).cast("double"), F.col(x).cast("double") - origin[0], F.col(y).cast("double") - origin[1]
-    pts = hits.filter((w > 0) | F.isnan(w)).select(key, w.alias("w"), u.alias("u"), v.alias("v"))
-    good = finite(F.col("w")) & finite(F.col("u")) & finite(F.col("v"))
-    m = pts.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if(good).alias("_n"),
-        F.sum("w").alias("_w"),
-        F.sum(F.col("w") * F.col("u")).alias("_wu"),
-        F.sum(F.col("w") * F.col("v")).alias("_wv"),
-        F.sum(F.col("w") * F.col("u") * F.col("u")).alias("_wuu"),
-        F.sum(F.col("w") * F.col("v") * F.col("v")).alias("_wvv"),
-        F.sum(F.col("w") * F.col("u") * F.col("v")).alias("_wuv"),
-    )
+    used = (w > 0) | F.isnan(w)
+    sums = {"_w": w, "_wu": w * u, "_wv": w * v, "_wuu": w * u * u, "_wvv": w * v * v, "_wuv": w * u * v}
+    return [
+        F.count_if(used).alias("_rows"),
+        F.count_if(used & finite(w) & finite(u) & finite(v)).alias("_n"),
+        *[F.sum(F.when(used, value)).alias(name) for name, value in sums.items()],
+    ]
+
+
+def with_track(m: DataFrame, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """The line of every group in place of its ``track_moments``; all null where no row had a weight."""
     # variables instead of column chains: a filter on a result must not multiply the arithmetic when it is pushed down
     moments = "named_struct('cu', _wu / _w, 'cv', _wv / _w, 'muu', _wuu / _w, 'mvv', _wvv / _w, 'muv', _wuv / _w)"
     spread = f"""named_struct('cu', k.cu, 'cv', k.cv,
@@ -105,16 +111,17 @@ def track_fit(
     direction = "named_struct('c', cos(t), 's', sin(t), 'slope', if(abs(cos(t)) >= 1e-12D, sin(t) / cos(t), null))"
     angle = "atan2(2.0D * s.suv, s.suu - s.svv) / 2.0D"
     fit = sql_let(moments, "k", sql_let(spread, "s", sql_let(angle, "t", sql_let(direction, "d", line))))
+    kept = [c for c in m.columns if c not in ("_rows", "_n", "_w", "_wu", "_wv", "_wuu", "_wvv", "_wuv")]
     m = m.withColumn("_ok", F.expr("_n = _rows and _n >= 2")).withColumn("_fit", F.expr(f"if(_ok, {fit}, null)"))
     return m.selectExpr(
-        key,
+        *kept,
         "_fit.slope as a_slope",
         "_fit.intercept as a_intercept",
         "_fit.chi2 as a_chi2",
         "if(_ok and _n > 2, _fit.chi2 / (_n - 2), null) as a_chi2_reduced",
         "_fit.angle as a_angle_deg",
-        "cast(_rows as int) as a_n_points",
-        "cast(greatest(_rows - 2, 0) as int) as a_dof",
+        "if(_rows > 0, cast(_rows as int), null) as a_n_points",
+        "if(_rows > 0, cast(greatest(_rows - 2, 0) as int), null) as a_dof",
     )
 
 

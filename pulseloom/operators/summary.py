@@ -32,12 +32,15 @@ def event_summary(hits: DataFrame, key: str = "event_id") -> DataFrame:
 
     Expects charge, x, z, energy and the zone flags. A missing energy or position adds nothing.
     """
+    return hits.groupBy(key).agg(*summary_aggregates())
+
+
+def summary_aggregates() -> list[Column]:
     zone = lambda z: F.col(f"is_{z}")
     aggs = [cmean(zone(h), F.col("z")).alias(f"z_{h}") for h in ("up", "dn")]
     for name, value in (("Wx", F.col("charge") * F.col("x")), ("Q", F.col("charge")), ("E", F.col("energy"))):
         aggs += [csum(zone(z), value).alias(f"{name}_{z}") for z in ZONE_SUFFIXES]
-    aggs += [ccount(zone(z)).alias(f"N_{z}") for z in ("al", "up", "dn")]
-    return hits.groupBy(key).agg(*aggs)
+    return aggs + [ccount(zone(z)).alias(f"N_{z}") for z in ("al", "up", "dn")]
 
 
 def with_centroids(events: DataFrame) -> DataFrame:
@@ -54,12 +57,14 @@ def event_times(hits: DataFrame, time: str, per_unit_ns: float, key: str = "even
     ``near`` is a column with one value per event close to its times (the event start): sums run over small offsets from
     it, so one combining aggregate is exact enough and no second pass over the rows is needed. None means offsets from 0.
     """
+    return hits.groupBy(key).agg(*time_aggregates(time, per_unit_ns, near))
+
+
+def time_aggregates(time: str, per_unit_ns: float, near: str | None = "event_start") -> list[Column]:
     base = F.coalesce(F.col(near), F.lit(0)) if near else F.lit(0)
     rel = (F.col(time) - base).cast("double")
     half = lambda z: (F.avg(F.when(F.col(z), rel)) - F.min(rel)) * F.lit(per_unit_ns)
-    return hits.groupBy(key).agg(
-        F.coalesce(F.min(time), F.lit(0)).alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")
-    )
+    return [F.coalesce(F.min(time), F.lit(0)).alias("y_offset"), half("is_up").alias("y_up_ns"), half("is_dn").alias("y_dn_ns")]
 
 
 def ordered_parts(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions.calib import energy_deposit
 from pulseloom.operators.dims import join_map, join_pads, pad_geometry, with_zones
-from pulseloom.operators.fits import track_fit
+from pulseloom.operators.fits import track_fit, track_moments, with_track
 from pulseloom.operators.sessions import gap_events
-from pulseloom.operators.summary import event_summary, event_times, with_centroids
+from pulseloom.operators.summary import summary_aggregates, time_aggregates, with_centroids
 
 # A point between the two detector halves; keeps the track moments small.
 TRACK_ORIGIN = (0.0, 90.0)
@@ -37,11 +37,16 @@ def build_tracks(hits: DataFrame) -> DataFrame:
     return track_fit(hits, "x", "z", "w", origin=TRACK_ORIGIN)
 
 
+def build_summary_tracks(hits: DataFrame, *more: Column) -> DataFrame:
+    """Summary, centroids and track of every event, and ``more`` aggregates, from one aggregation without a join."""
+    moments = track_moments("x", "z", "w", origin=TRACK_ORIGIN)
+    sums = hits.groupBy("event_id").agg(*summary_aggregates(), *more, *moments)
+    return with_track(with_centroids(sums), TRACK_ORIGIN)
+
+
 def build_events(hits: DataFrame, time: str, ns_per_unit: float) -> DataFrame:
     """Summary, centroids, mean times and track of every event."""
-    summary = with_centroids(event_summary(hits))
-    times = event_times(hits, time, ns_per_unit)
-    return summary.join(times, "event_id", "left").join(build_tracks(hits), "event_id", "left")
+    return build_summary_tracks(hits, *time_aggregates(time, ns_per_unit))
 
 
 def select_events(

@@ -13,9 +13,9 @@ from pulseloom.operators.fits import gauss_fit, ols, track_fit
 from pulseloom.operators.position import carry_last, lag_by_position, mark_segments, nearest_within, with_position
 from pulseloom.operators.sessions import anchor_events, gap_events
 from pulseloom.operators.stream_order import anchor_events_in_order
-from pulseloom.operators.summary import event_times, ordered_parts
+from pulseloom.operators.summary import event_summary, event_times, ordered_parts, with_centroids
 from pulseloom.plans import checks
-from pulseloom.plans.hits import build_tracks
+from pulseloom.plans.hits import build_events, build_summary_tracks, build_tracks
 
 SHUFFLES = [1, 4, 16]
 
@@ -414,6 +414,35 @@ def test_pads(spark):
     assert np.allclose(pads[79], (2.25 - 15.75, 136.5 - 3.031088913245535 + math.sqrt(3) / 2))
 
 
+def test_one_aggregate_equals_its_parts(spark):
+    """Also for events without a weight, with a null weight, with a value that is not a number, and for the null event."""
+    rng = random.Random(21)
+    zones = ["al", "up", "dn", "up1", "up2", "up3", "dn1", "dn2", "dn3"]
+    rows = []
+    for e in [None, 1, 2, 3, 4, 5]:
+        for i in range(1 if e == 5 else 8):
+            w = {2: 0.0, 3: None}.get(e, rng.uniform(1, 9))
+            z = float("nan") if e == 4 and i == 3 else rng.uniform(80, 100)
+            rows.append((e, 1000 * (e or 0) + i, 1000 * (e or 0), rng.uniform(1, 9), rng.uniform(-5, 5), z, w, rng.uniform(1, 5), *[i % 2 == k % 2 for k in range(9)]))
+    names = "event_id int, t bigint, event_start bigint, charge double, x double, z double, w double, energy double, " + ", ".join(f"is_{z} boolean" for z in zones)
+    hits = spark.createDataFrame(rows, names).repartition(3)
+    key = lambda r: -1 if r["event_id"] is None else r["event_id"]
+    parts = [with_centroids(event_summary(hits)), event_times(hits, "t", 10.0), build_tracks(hits)]
+    want = {}
+    for part in parts:
+        for r in part.collect():
+            want.setdefault(key(r), {}).update(r.asDict())
+    got = {key(r): r.asDict() for r in build_events(hits, "t", 10.0).collect()}
+    assert got.keys() == want.keys()
+    columns = {c for part in parts for c in part.columns}
+    for e, row in got.items():
+        assert row.keys() == columns
+        for c, v in row.items():
+            assert v == pytest.approx(want[e].get(c), rel=1e-9, abs=1e-9, nan_ok=True) if isinstance(v, float) else v == want[e].get(c), (e, c)
+    assert set(build_summary_tracks(hits).columns) == columns - {"y_offset", "y_up_ns", "y_dn_ns"}
+    assert "Join" not in build_events(hits, "t", 10.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_event_times_with_null_time(spark):
     df = spark.createDataFrame([(1, 5, True, False), (1, None, True, False), (1, 9, False, True), (2, None, True, False)], "event_id int, t bigint, is_up boolean, is_dn boolean")
     got = {r["event_id"]: (r["y_offset"], r["y_up_ns"], r["y_dn_ns"]) for r in event_times(df, "t", 10.0, near=None).collect()}
