@@ -114,6 +114,30 @@ def skip_first_runs(runs: DataFrame, n: int = 2, *, stream: Sequence[str] = (),
     return runs.join(F.broadcast(first) if not stream else first, [*stream, order], "left_anti")
 
 
+def covering_ends(at: np.ndarray, index: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """For every row the position by which all indices have come, from the row on.
+
+    ``at`` grows, ``index`` is below ``len(behind)``, and ``behind`` has the first position of every index after these rows.
+    The window that holds all indices only moves forward at both of its ends, so a row costs the same for 7 indices and
+    for 64. Where it does not close inside the rows, the indices that are missing decide by ``behind``.
+    """
+    last = np.full(len(behind), -1, dtype=np.int64)
+    np.maximum.at(last, index, np.arange(len(at)))
+    order = np.argsort(last, kind="stable")
+    missing = np.searchsorted(last[order], np.arange(len(at)), side="left")
+    end = np.maximum.accumulate(behind[order])[np.maximum(missing - 1, 0)]
+    held, absent, to, which = [0] * len(behind), len(behind), 0, index.tolist()
+    for row in range(int(last.min()) + 1):
+        while absent:
+            held[which[to]] += 1
+            absent -= held[which[to]] == 1
+            to += 1
+        end[row] = at[to - 1]
+        held[which[row]] -= 1
+        absent += held[which[row]] == 0
+    return end
+
+
 def complete_frames(
     blocks: DataFrame,
     pos: str = "pos",
@@ -130,7 +154,7 @@ def complete_frames(
     """
     stream = list(stream)
     keys = [*stream, "_zone"]
-    used = blocks.filter(F.col("sample_index") < n_samples).withColumn("_zone", F.floor(F.col(pos) / F.lit(zone)).cast("bigint"))
+    used = blocks.filter(F.col("sample_index").between(0, n_samples - 1)).withColumn("_zone", F.floor(F.col(pos) / F.lit(zone)).cast("bigint"))
     seen = used.groupBy(*keys, "sample_index").agg(F.min(pos).alias("_p"))
     zones = seen.select(*keys).distinct()
     grid = zones.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_i")).select(
@@ -147,13 +171,9 @@ def complete_frames(
 
     def ends(key: tuple, rows: pd.DataFrame, behind: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_pos")
-        at, index = rows["_pos"].to_numpy(), rows["_i"].to_numpy()
-        end = at.copy()
-        for i, later_at in enumerate(behind["_next"].iloc[0]):
-            own = np.append(at[index == i], later_at)
-            end = np.maximum(end, own[np.searchsorted(own[:-1], at)])
+        at = rows["_pos"].to_numpy()
         got = rows[keys].copy()
-        got["_pos"], got["_end"] = at, end
+        got["_pos"], got["_end"] = at, covering_ends(at, rows["_i"].to_numpy(), np.asarray(behind["_next"].iloc[0]))
         return got
 
     # three steps of the chain read the nodes, which are two numbers per block

@@ -224,6 +224,17 @@ def test_contiguous_runs(spark, width):
     assert closed == len(want) - 1
 
 
+def test_covering_ends():
+    rng = random.Random(12)
+    for _ in range(300):
+        n, k = rng.randint(1, 40), rng.randint(1, 7)
+        at = np.array(sorted(rng.sample(range(100), n)))
+        index = np.array([rng.randrange(k) for _ in range(n)])
+        behind = np.array([rng.choice([rng.randint(100, 150), runs.NEVER]) for _ in range(k)])
+        want = [max(next((at[j] for j in range(r, n) if index[j] == i), behind[i]) for i in range(k)) for r in range(n)]
+        assert runs.covering_ends(at, index, behind).tolist() == want
+
+
 @pytest.mark.parametrize("zone", [3, 10, 1000])
 def test_complete_frames(spark, zone):
     rows = blocks(6, 150)
