@@ -89,9 +89,9 @@ def raw_blocks_damaged(spark, d):
 )
 def header_blocks(spark, d):
     """The same streams cut from header to header, with the marks that each block lacks."""
-    # Samples and times in which no header arises by chance, at any bit shift.
+    # Samples in which no header arises by chance, at any bit shift; the clock takes any value.
     path = encoded(spark, d, ticks="l_orderkey * 4096 + l_linenumber * 8", samples="array_repeat(0, 32)", alter=damaged, tail=OPEN_END)
-    found = read_blocks(spark, path, Format(layout="headers"), range_bytes=1 << 20)
+    found = read_blocks(spark, path, Format(layout="headers", whole_heads=True), range_bytes=1 << 20)
     missing = F.bit_count("error_level").cast("bigint").alias("n_missing")
     return found.groupBy("data_block", "error_level", missing, "chip", "sample_index", "timestamp").agg(F.count(F.lit(1)).alias("n"))
 

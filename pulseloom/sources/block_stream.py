@@ -45,7 +45,9 @@ ARROW = pa.schema(
 )
 WINDOW = 58  # bytes behind the header in which the footer must be complete
 AHEAD = 1 << 16  # bytes loaded behind a range
-BEHIND = 64  # and before it: more than a block's window
+HEAD = 16  # bytes of a block's head: header, chip and index, three marks with a word each
+PLACES = {"t3": 4, "t2": 8, "t1": 12}  # of the marks in a head
+BEHIND = 64 + HEAD  # and before it: more than a block's window and a head
 PIECE = 1 << 22  # bytes of a long gap that are looked at together
 UNKNOWN = 1 << 62  # limit behind a header that waits for one beyond the loaded bytes, while that one is not known
 RANGES_PER_GROUP = 1024
@@ -58,6 +60,9 @@ class Format:
     ``layout`` is ``framed`` (header at any bit shift, footer with an echo of the first two bytes), ``headers`` (every
     header at any bit shift starts a block, which ends at the next one; markers are looked for anywhere inside),
     ``fixed58`` or ``fixed46`` (blocks of fixed parts at byte alignment, with and without a timestamp field respectively).
+
+    With ``whole_heads`` the 16 bytes from a header to the end of t1 are one piece where all three marks are in their
+    places: a word of the clock that looks like a header or a footer is data. Without it every header counts.
     """
 
     header: int = 0xAFAF
@@ -69,6 +74,7 @@ class Format:
     chip_first: bool = True
     max_bytes: int | None = None
     emit_tail: bool = False
+    whole_heads: bool = False
 
     @property
     def fixed_size(self) -> int:
@@ -78,7 +84,7 @@ class Format:
 # ---------------------------------------------------------------- bytes of one file
 
 class Bytes:
-    """Bytes of a file from a little before a range to AHEAD behind it."""
+    """Bytes of a file from a little before a range to AHEAD and a head behind it."""
 
     def __init__(self, path: str, start: int, stop: int, length: int):
         from pyarrow import fs
@@ -92,7 +98,7 @@ class Bytes:
         self.fs, self.path = fs.FileSystem.from_uri(uri)
         self.start, self.length = max(start - BEHIND, 0), length
         self.handle = self.fs.open_input_file(self.path)
-        self.data = self._read(self.start, min(stop + AHEAD, length))
+        self.data = self._read(self.start, min(stop + AHEAD + HEAD, length))
 
     def _read(self, a: int, b: int) -> np.ndarray:
         self.handle.seek(a)
@@ -120,6 +126,16 @@ class Bytes:
         self.handle.close()
 
 
+def whole_heads(src: Bytes, fmt: Format, h: np.ndarray) -> np.ndarray:
+    """Whether all three marks stand in their places behind each header."""
+    raw, at = src.data, h - src.start
+    ok = at + max(PLACES.values()) + 2 <= len(raw)
+    for name, place in PLACES.items():
+        mark, p = getattr(fmt, name), np.where(ok, at + place, 0)
+        ok &= (raw[p] == mark >> 8) & (raw[np.minimum(p + 1, len(raw) - 1)] == mark & 0xFF)
+    return ok
+
+
 def headers(raw: np.ndarray, base: int, marker: int, last: int) -> list[np.ndarray]:
     """Positions of the header for each of the 8 bit shifts; a position needs the byte behind the header too."""
     hi, lo = marker >> 8, marker & 0xFF
@@ -187,6 +203,10 @@ class Headers(Zone):
         self.usable = self.length if fmt.emit_tail else self.length - 1
         self.end_of_file = self.length * 8 + 8
         self.heads = headers(src.data, src.start, fmt.header, self.length - 3)
+        if fmt.whole_heads:
+            self.heads = [h[~self._in_head(h, s)] for s, h in enumerate(self.heads)]
+        if src.stop < self.length:  # what follows may lie in a head that is not loaded to its end
+            self.heads = [h[h < stop + AHEAD - 2] for h in self.heads]
         c = np.concatenate([h * 8 + s for s, h in enumerate(self.heads)])
         c.sort()
         self.all, self.c = c, c[(c >= start * 8) & (c < stop * 8)]
@@ -194,6 +214,14 @@ class Headers(Zone):
             i = int(np.searchsorted(h, start + AHEAD - 2))
             self.first[s] = int(h[i]) if i < len(h) else -1
 
+    def _in_head(self, at: np.ndarray, s: int) -> np.ndarray:
+        """Whether headers of shift ``s`` lie behind the start of a head with all marks, and before its end."""
+        if s == 0:
+            h = self.heads[0]
+            self.whole = h[whole_heads(self.src, self.fmt, h)]
+        i = np.searchsorted(self.whole, at, side="left" if s == 0 else "right") - 1
+        return (i >= 0) & (at < np.append(self.whole, UNKNOWN)[i] + HEAD)
+
     def next_head(self, s: int, at: np.ndarray) -> np.ndarray:
         """First header of shift ``s`` at or behind each position; -1 where there is none, UNKNOWN // 8 where that is not known."""
         h = self.heads[s]
@@ -230,9 +258,10 @@ class Framed(Headers):
         end = np.full(len(h), -1, dtype=np.int64)
         todo = np.arange(len(h))
         limit = min(self.usable, self.src.stop)
+        behind = np.where(whole_heads(self.src, self.fmt, h), HEAD, 0) if self.fmt.whole_heads else np.zeros(len(h), np.int64)
         for k in range(0, WINDOW - 3, 2):
             p = h[todo] + 2 + k
-            ok = p + 4 <= limit
+            ok = (p + 4 <= limit) & (2 + k >= behind[todo])
             q = np.where(ok, p - base, 0)
             f = np.where(ok, h[todo] + 2 - base, 0)
             ok &= foot[q]
@@ -415,12 +444,13 @@ class HeaderToHeader(Headers):
 
     def decode(self, x: int | None, file: str) -> Iterator[pa.RecordBatch]:
         rows = []
+        whole = set(self.whole.tolist()) if self.fmt.whole_heads else set()
         for c, end in zip(self.c.tolist(), self.end.tolist()):
             if end < 0 and not self.fmt.emit_tail:
                 continue
             h, end = c // 8, max(end if end >= 0 else self.length, c // 8 + 2)
             row = one_block(self.src, self.fmt, h, end, False, end, file)
-            footer = self.src.find(self.fmt.footer.to_bytes(2, "big"), h + 2, end)
+            footer = self.src.find(self.fmt.footer.to_bytes(2, "big"), h + (HEAD if h in whole else 2), end)
             rows.append({**row, "error_level": (row["error_level"] & 14) | (footer < 0) << 4})
             if len(rows) == 10_000:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)

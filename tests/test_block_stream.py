@@ -306,3 +306,40 @@ def test_a_file_gets_its_name_when_it_is_whole(spark, folder):
     written = write_blocks(rows, str(folder / "out"), "run", ["sample_index"]).collect()
     assert sum(r["blocks"] for r in written) == 10
     assert {p.name for p in (folder / "out").rglob("*") if p.is_file()} == {Path(r["file"]).name for r in written}
+
+
+WORDS = [0xAFAF, 0xAF12, 0x12AF, 0xFAFA, 0xFAAF, 0xAFFA, 0x5F5F, 0x7D7D, 0xBEBE, 7]
+
+
+@pytest.mark.parametrize("layout", ["framed", "headers"])
+def test_clock_words_like_marks_are_data_in_a_whole_head(folder, monkeypatch, layout):
+    monkeypatch.setattr(block_stream, "AHEAD", 64)
+    rng = random.Random(14)
+    data, want = b"", []
+    for a in WORDS:
+        for b in WORDS:
+            x = block(rng.randrange(4), rng.randrange(1, 8), 3 << 32 | a << 16 | b, [0] * 32)
+            lost = rng.choice([0, 56, 47])
+            x = x[:56] + b"\0\0" + x[58:] if lost == 56 else x[:47] if lost else x
+            want.append((len(data), len(x), 3 << 32 | a << 16 | b, 0 if lost == 0 else 16))
+            data += x
+    f = folder / "a.bin"
+    f.write_bytes(data + block(1, 1, 0, [0] * 32) + block(1, 1, 0, [0] * 32)[:16] + b"\0" * 60)
+    for cut in (1 << 20, 1, 17, 60, 500):
+        got = scan(f, Format(layout=layout, whole_heads=True), cut)
+        assert [(r["offset"], r["data_block"], r["timestamp"], r["error_level"] & 16) for r in got][: len(want)] == want
+
+
+@pytest.mark.parametrize("name", ["header_blocks"])
+def test_clocks_of_larger_tables(spark, folder, name):
+    """Keys of larger tables, at which words of the clock are the header, the footer or a mark."""
+    from harness import compare, connect
+
+    from pulseloom.catalog import files
+
+    source = "/root/testdata/sf0.001/lineitem.parquet"
+    lines = spark.read.parquet(source)
+    starts = spark.createDataFrame([(x,) for x in (719_000, 1_027_500, 1_048_000, 2_936_500, 4_294_000)], "base long")
+    lines.crossJoin(starts).withColumn("l_orderkey", lines.l_orderkey + starts.base).drop("base").coalesce(1).write.parquet(str(folder / "x"))
+    next((folder / "x").glob("part-*")).rename(folder / "lineitem.parquet")
+    assert compare(files.QUERIES[name](spark, str(folder)), connect(str(folder)), files.ORACLE[name]) is None
