@@ -367,7 +367,8 @@ class Framed(Headers):
             mark = getattr(fmt, name)
             hit = (m[:, :-1] == mark >> 8) & (m[:, 1:] == mark & 0xFF)
             has[name] = hit.any(axis=1)
-            p = hit.argmax(axis=1)
+            own = PLACES[name] - 2  # a mark in its place goes before one that arises in an earlier word
+            p = np.where(hit[:, own], own, hit.argmax(axis=1))
             where[name] = p
             cut = has[name] & (p + 4 <= 58)
             q = np.minimum(p, 54)
@@ -405,9 +406,15 @@ class Framed(Headers):
         )
 
 
+def find_mark(src: Bytes, fmt: Format, name: str, h: int, end: int) -> int:
+    """Place of a mark of the block [h, end): its own if it stands there, else the first; -1 if there is none."""
+    word, own = getattr(fmt, name).to_bytes(2, "big"), h + PLACES[name]
+    return own if own + 2 <= end and src.at(own, own + 2) == word else src.find(word, h + 2, end)
+
+
 def one_block(src: Bytes, fmt: Format, h: int, end: int, ok: bool, seen: int, file: str) -> dict:
     """Any block. ``seen`` is the end of the bytes read when the block was closed."""
-    at = {n: src.find(getattr(fmt, n).to_bytes(2, "big"), h + 2, end) for n in ("t3", "t2", "t1")}
+    at = {n: find_mark(src, fmt, n, h, end) for n in ("t3", "t2", "t1")}
     part = {n: src.at(p + 2, min(p + 4, seen)) if p >= 0 else b"" for n, p in at.items()}
     size = end - h
     level = (size != 60) | sum((at[n] < 0) << (i + 1) for i, n in enumerate(("t3", "t2", "t1"))) | (not ok) << 4

@@ -308,7 +308,7 @@ def test_a_file_gets_its_name_when_it_is_whole(spark, folder):
     assert {p.name for p in (folder / "out").rglob("*") if p.is_file()} == {Path(r["file"]).name for r in written}
 
 
-WORDS = [0xAFAF, 0xAF12, 0x12AF, 0xFAFA, 0xFAAF, 0xAFFA, 0x5F5F, 0x7D7D, 0xBEBE, 7]
+WORDS = [0xAFAF, 0xAF12, 0x12AF, 0xFAFA, 0xFFFA, 0xFAAF, 0xAFFA, 0x5F5F, 0x7D7D, 0xBEBE, 7]
 
 
 @pytest.mark.parametrize("layout", ["framed", "headers"])
@@ -330,7 +330,14 @@ def test_clock_words_like_marks_are_data_in_a_whole_head(folder, monkeypatch, la
         assert [(r["offset"], r["data_block"], r["timestamp"], r["error_level"] & 16) for r in got][: len(want)] == want
 
 
-@pytest.mark.parametrize("name", ["header_blocks"])
+def test_a_mark_in_its_place_goes_before_a_clock_word(folder):
+    f = folder / "a.bin"
+    f.write_bytes(block(1, 2, 0xFFFA1234, list(range(32))) + b"\0" * 4)
+    (r,) = scan(f, Format(), 1 << 20)
+    assert r["timestamp"] == 0xFFFA1234 and r["samples_value"] == list(range(32))
+
+
+@pytest.mark.parametrize("name", ["raw_blocks", "raw_blocks_damaged", "header_blocks"])
 def test_clocks_of_larger_tables(spark, folder, name):
     """Keys of larger tables, at which words of the clock are the header, the footer or a mark."""
     from harness import compare, connect
