@@ -78,3 +78,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [r["n_words"] for r in rows if r["doc_id"] == 4] == [60_000]
     assert quality.judge(no_docs, labels).count() == 0
     assert quality.judge(odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def test_threshold_is_fitted_on_every_label(spark):
+    """One trusted and one bad score among 60,000 labelled rows decide, wherever their ids hash to."""
+    n = 60_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    scored = ids.withColumn("score", F.when(F.col("doc_id") % 2 == 1, F.col("doc_id") + 1_000.0).otherwise(-F.col("doc_id") - 1.0))
+    labels = ids.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    good, bad = sorted(i + 1_000.0 for i in range(1, n, 2)), sorted(-i - 1.0 for i in range(0, n, 2))
+
+    def exact(v, share):
+        at = share * (len(v) - 1)
+        i = math.floor(at)
+        return v[i] + (at - i) * (v[min(i + 1, len(v) - 1)] - v[i])
+
+    want = (exact(good, quality.GOOD_LOSS) + exact(bad, quality.BAD_SHARE)) / 2
+    assert math.isclose(quality.fit_threshold(scored, labels), want, rel_tol=1e-12)
+
+
+def test_quantile_is_that_of_all_rows(spark):
+    values = spark.range(1_001).select(F.pmod(F.xxhash64("id"), F.lit(300)).cast("double").alias("v"))
+    for share in (0.0, 0.001, 0.5, 0.95, 1.0):
+        assert math.isclose(quality.quantile(values, "v", share), values.agg(F.percentile("v", F.lit(share))).first()[0], rel_tol=1e-12)
+    assert quality.quantile(values.limit(0), "v", 0.5) is None
