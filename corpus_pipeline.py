@@ -12,7 +12,7 @@ from pulseloom.session import materialize
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed rules and the log-likelihood threshold."""
-    judged = quality.judge(docs.withColumn("_kept_columns", F.struct(*docs.columns)), table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs.withColumn("_kept_columns", F.struct(*docs.columns)), table(spark, sf_dir, "labels"), columns=["_kept_columns"])
     return judged.filter("kept").select("_kept_columns.*")
 
 
