@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.operators.chain import follow
-from pulseloom.operators.position import BUCKET_ROWS, mark_segments
+from pulseloom.operators.position import mark_segments
 from pulseloom.session import materialize
 
 NEVER = (1 << 62) - 1
+ZONE_ROWS = 1 << 17  # positions that one group of Python holds; the tree of a zone takes about 300 bytes for each
 FAN = 32  # buckets, or groups of them, whose smallest and largest times one row of the search tree holds
 
 
@@ -37,7 +38,7 @@ def first_far(t: np.ndarray, at: np.ndarray, value: np.ndarray, threshold: float
     return pos
 
 
-def next_far(rows: DataFrame, pos: str, time: str, threshold: float, *, stream: Sequence[str] = (), width: int = BUCKET_ROWS) -> DataFrame:
+def next_far(rows: DataFrame, pos: str, time: str, threshold: float, *, stream: Sequence[str] = (), width: int = ZONE_ROWS) -> DataFrame:
     """(stream.., pos, far): position of the first later row whose time is further away than ``threshold``; NEVER if there is none.
 
     Positions are dense. Every bucket of ``width`` positions answers its own rows. What it leaves open looks for its bucket
@@ -119,7 +120,7 @@ def far_buckets(slim: DataFrame, left: DataFrame, threshold: float, stream: list
 
 
 def anchor_events_in_order(
-    df: DataFrame, pos: str, time: str, threshold: float, *, stream: Sequence[str] = (), width: int = BUCKET_ROWS
+    df: DataFrame, pos: str, time: str, threshold: float, *, stream: Sequence[str] = (), width: int = ZONE_ROWS
 ) -> DataFrame:
     """All rows with ``event_id`` (1-based per stream): along ``pos``, a row further than ``threshold`` from the time of its
     event's first row, before or after, opens the next event.
