@@ -101,20 +101,19 @@ def interval_bytes(pairs: Column, start: int | Column, end: int | Column, *, fil
     is null, so that one incomplete block does not end a job. A negative start or an end before it gives no bytes.
     """
     start, end = _col(start), _col(end)
-    # one entry per position: sorted by position and place, the last of each
-    placed = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["pos"].cast("int").alias("pos"), i.alias("i"), e["byte"].cast("int").alias("byte"))))
-
-    def last_of_each(es: Column) -> Column:
-        kept = F.filter(es, lambda e, i: ~F.get(es, i + 1)["pos"].eqNullSafe(e["pos"]) & e["pos"].isNotNull())
-        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["pos"], e["byte"])))
-
-    def gather(at: Column) -> Column:
-        fill = F.lit(None).cast("int") if fill_missing is None else F.lit(fill_missing)
-        got = F.transform(F.sequence(start, end - 1), lambda p: F.coalesce(F.try_element_at(at, p), fill).bitwiseAND(F.lit(255)))
-        text = F.array_join(F.transform(got, lambda v: F.lpad(F.hex(v), 2, "0")), "")
-        return F.when(~F.exists(got, lambda v: v.isNull()), F.unhex(text))
-
-    return F.when((start < 0) | (end <= start), F.unhex(F.lit(""))).otherwise(let(let(placed, last_of_each), gather))
+    blank = F.repeat(F.lit("--"), end - start)  # two hex digits for each position
+
+    def put(text: Column, e: Column) -> Column:
+        at, byte = e["pos"].cast("int"), e["byte"].cast("int").bitwiseAND(F.lit(255))
+        digits = F.coalesce(F.substring(F.hex(byte + 256), 2, 2), F.lit("--"))
+        return F.when((at >= start) & (at < end), F.overlay(text, digits, (at - start) * 2 + 1, F.lit(2))).otherwise(text)
+
+    text = F.coalesce(F.aggregate(pairs, blank, put), blank)
+    if fill_missing is not None:
+        made = F.unhex(F.replace(text, F.lit("--"), F.lit(f"{fill_missing & 255:02X}")))
+    else:
+        made = let(text, lambda t: F.when(~F.contains(t, F.lit("-")), F.unhex(t)))
+    return F.when((start < 0) | (end <= start), F.unhex(F.lit(""))).otherwise(made)
 
 
 def unpack10_pairs(

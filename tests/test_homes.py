@@ -64,3 +64,25 @@ def test_samples_are_moved_once(spark):
     for made in (runs.contiguous_runs(df, stream=["s"]), runs.chip_runs(df, stream=["s"])):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_filled_bytes_are_put_in_place_without_a_search_per_position(spark):
+    from pyspark.sql import functions as F
+
+    from pulseloom.functions.bits import interval_bytes
+
+    def plain(pairs, start, end, fill):
+        got = {}
+        for e in pairs or []:
+            if e and e[0] is not None:
+                got[e[0]] = e[1]
+        out = [got.get(p) if got.get(p) is not None else fill for p in range(start, end)]
+        return None if None in out else bytes(x & 255 for x in out)
+
+    rng = random.Random(5)
+    rows = [[(rng.choice([None, *range(12)]), rng.choice([None, 0, 7, 255, 300])) for _ in range(rng.randrange(40))] for _ in range(60)] + [None, [], [None, (3, 4)]]
+    df = spark.createDataFrame([(r,) for r in rows], "p array<struct<pos: int, byte: int>>")
+    for fill in (None, 0, 165):
+        got = interval_bytes(F.col("p"), 2, 9, fill_missing=fill)
+        assert [r[0] if r[0] is None else bytes(r[0]) for r in df.select(got).collect()] == [plain(r, 2, 9, fill) for r in rows]
+        assert "try_element_at" not in df.select(got)._jdf.queryExecution().optimizedPlan().toString()
