@@ -51,6 +51,7 @@ BEHIND = 64 + HEAD  # and before it: more than a block's window and a head
 PIECE = 1 << 22  # bytes of a long gap that are looked at together
 UNKNOWN = 1 << 62  # limit behind a header that waits for one beyond the loaded bytes, while that one is not known
 RANGES_PER_GROUP = 1024
+TASK_BYTES = 16 << 20  # ranges that one task reads, one after the other, where there are enough for all cores
 
 
 @dataclass(frozen=True)
@@ -540,7 +541,7 @@ def read_blocks(
     """One row per block of all files below ``path``, ordered by (file, offset) where order matters.
 
     The file and offset columns take the place of the implicit stream order. Ranges are spread evenly over ``tasks``
-    tasks (default: one per range, at most 100,000); a range is the unit of memory. Damaged streams cost time in proportion
+    tasks (default: TASK_BYTES each, at least four per core, at most 100,000); a range is the unit of memory. Damaged streams cost time in proportion
     to their length, too: a range is read with a fixed margin, twice, and a third time if some block of the file waits for
     a header beyond the margin. The bytes of a long gap are looked through once, when its block is decoded.
 
@@ -549,7 +550,9 @@ def read_blocks(
     """
     kind = KINDS[fmt.layout]
     ranges = byte_ranges(spark, path, range_bytes, fmt.max_bytes)
-    tasks = tasks or max(1, min(ranges.count(), 100_000))
+    if not tasks:
+        n = ranges.count()
+        tasks = max(1, min(n, 100_000, max(n * range_bytes // TASK_BYTES, 4 * spark.sparkContext.defaultParallelism)))
 
     def load(row: dict) -> tuple[Bytes, Zone]:
         stop = min(row["start"] + range_bytes, row["length"])
@@ -685,9 +688,10 @@ def write_blocks(
     """
     body = encode_block(F.col("chip"), F.col("sample_index"), F.col("timestamp"), "_v")
     placed = blocks.repartitionByRange(stream, *order).sortWithinPartitions(stream, *order).withColumn("_v", F.expr(samples))
-    rows = placed.select(F.col(stream).cast("string").alias("s"), alter(body).alias("b"))
+    rows = placed.select(F.col(stream).cast("string").alias("s"), F.concat(alter(body), F.lit(gap)).alias("b"))
 
     def sink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         from pyarrow import fs
         from pyspark import TaskContext
 
@@ -706,14 +710,15 @@ def write_blocks(
 
         hidden = f"_{part}-{task.taskAttemptId()}.bin"
         for batch in batches:
-            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s, b in zip(names, data):
+            at = 0
+            for run in pc.run_end_encode(batch.column(0)).run_ends.to_pylist():
+                s = batch.column(0)[at].as_py()
                 if s != name:
                     finish()
                     target.create_dir(f"{base}/{s}", recursive=True)
                     name, out, n = s, target.open_output_stream(f"{base}/{s}/{hidden}"), 0
-                out.write(b + gap)
-                n += 1
+                out.write(b"".join(batch.column(1)[at:run].to_pylist()))
+                n, at = n + run - at, run
         finish()
         if done:
             yield pa.RecordBatch.from_pylist(done)

@@ -350,3 +350,12 @@ def test_clocks_of_larger_tables(spark, folder, name):
     lines.crossJoin(starts).withColumn("l_orderkey", lines.l_orderkey + starts.base).drop("base").coalesce(1).write.parquet(str(folder / "x"))
     next((folder / "x").glob("part-*")).rename(folder / "lineitem.parquet")
     assert compare(files.QUERIES[name](spark, str(folder)), connect(str(folder)), files.ORACLE[name]) is None
+
+
+def test_a_task_reads_more_than_one_small_range(spark, folder):
+    rng = random.Random(15)
+    want = some_blocks(rng, 400)
+    (folder / "a.bin").write_bytes(b"".join(block(*b) for b in want) + b"\0")
+    found = read_blocks(spark, str(folder), range_bytes=100)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert [(r["chip"], r["sample_index"], r["timestamp"], r["samples_value"]) for r in found.orderBy("offset").collect()] == want
