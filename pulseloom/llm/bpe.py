@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pulseloom.llm.common import table
 
 END = ""  # stands for the word-end mark of the vocabulary while a word is cut
+LONG_WORD = 64  # longer words are cut and merged one by one, shorter ones all at a time
 CACHED_WORDS = 150_000  # words whose ids a worker remembers, from task to task, and as many that it used before those
 SLICE_CHARS = 1 << 22  # texts are taken in slices of about so many characters
 # The split pattern and the normaliser of the vocabulary file.
@@ -62,6 +63,36 @@ class Vocabulary:
         keys = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.merges.items())
         self.pair_keys = np.array([k for k, _ in keys], np.int64)
         self.pair_ranks = np.array([r for _, r in keys], np.int64)
+        self.pair_made = np.array([self.merges[k >> 32, k & 0xFFFFFFFF][1] for k, _ in keys], np.int64)
+        self.spell()
+
+    def spell(self) -> None:
+        """Tables by character: its number (0: in no token), the tokens of units, and the steps from prefix to prefix of a token."""
+        chars = sorted({c for t in self.ids for c in t})
+        number = {c: i for i, c in enumerate(chars, 1)}
+        self.wide = len(chars) + 1
+        self.code = np.zeros(ord(chars[-1]) + 2, np.int64)
+        self.code[[ord(c) for c in chars]] = range(1, self.wide)
+        self.unit, self.last_unit = np.full((2, self.wide), -1, np.int64)
+        for c, i in number.items():
+            self.unit[i] = self.ids.get(c, -1)
+            self.last_unit[i] = self.ids.get(c + END, -1)
+        steps: dict = {}
+        ends = {}
+        for t, i in self.ids.items():
+            node = 0
+            for c in t:
+                node = steps.setdefault(node * self.wide + number[c], len(steps) + 1)
+            ends[node] = i
+        self.step_keys = np.array(sorted(steps), np.int64)
+        self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], np.int64)
+        self.token_at = np.full(len(steps) + 1, -1, np.int64)
+        self.token_at[list(ends)] = list(ends.values())
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the characters of all words, and where each word starts (and the last ends)."""
+        raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.code[np.minimum(raw, len(self.code) - 1)], np.cumsum([0, *map(len, words)])
 
     def merge(self, word: str, trace: list | None = None) -> list[int]:
         """Exact ids: the pair of lowest rank is merged first, the leftmost of equals."""
@@ -99,11 +130,95 @@ class Vocabulary:
             i = j
         return out
 
-    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair as a merge; a large number where there is none."""
+    def propose_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``propose`` of all words at a time: tokens, the word of each, and which words got stuck (they have none).
+
+        Every word reads on while what it has read since its last token begins another one, and goes back to the longest token.
+        """
+        codes, bounds = self.codes(words)
+        taken = np.full(len(codes), -1, np.int64)
+        stuck = np.zeros(len(words), bool)
+        word = np.flatnonzero(np.diff(bounds) > 0)
+        start, stop = bounds[word], bounds[word + 1]
+        at, node = start.copy(), np.zeros(len(word), np.int64)
+        best, best_end = np.full(len(word), -1, np.int64), start.copy()
+        codes = np.append(codes, 0)
+        while len(word):
+            key = node * self.wide + codes[at]
+            to = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            on = (at < stop) & (self.step_keys[to] == key)
+            node, at = np.where(on, self.step_to[to], 0), at + on
+            token = np.where(on & (at != stop - 1), self.token_at[node], -1)
+            found = token >= 0
+            best, best_end = np.where(found, token, best), np.where(found, at, best_end)
+            cut = ~on
+            if not cut.any():
+                continue
+            lost = cut & (best < 0)
+            stuck[word[lost]] = True
+            good = cut & ~lost
+            taken[start[good]] = best[good]
+            start, at = np.where(good, best_end, start), np.where(good, best_end, at)
+            best = np.where(good, -1, best)
+            live = ~(lost | (good & (start == stop)))
+            if not live.all():
+                word, start, stop, at, node, best, best_end = (x[live] for x in (word, start, stop, at, node, best, best_end))
+        owner = np.repeat(np.arange(len(words)), np.diff(bounds))
+        at = np.flatnonzero((taken >= 0) & ~stuck[owner])
+        return taken[at], owner[at], stuck
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of all words at a time, as tokens and the word of each: in every round each word takes its leftmost pair of lowest rank."""
+        codes, bounds = self.codes(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(bounds))
+        ids = self.unit[codes]
+        last = bounds[1:] - 1  # the mark; the character in front of it, if any, makes one unit with it
+        pair = last[np.diff(bounds) > 1]
+        ids[pair - 1], ids[pair] = self.last_unit[codes[pair - 1]], -1
+        ids, owner = ids[ids >= 0], owner[ids >= 0]
+        none = np.iinfo(np.int64).max
+
+        def rated(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank of the pair that starts at each place, and the token it makes."""
+            inner = at + 1 < len(ids)
+            inner[inner] = owner[at[inner]] == owner[at[inner] + 1]
+            rank, made = np.full(len(at), none), np.zeros(len(at), np.int64)
+            rank[inner], made[inner] = self.pair_merge(ids[at[inner]], ids[at[inner] + 1])
+            return rank, made
+
+        done_ids, done_owner = [ids[:0]], [owner[:0]]
+        rank, made = rated(np.arange(len(ids)))
+        while len(ids):
+            head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            size = np.diff(np.append(head, len(ids)))
+            lowest = np.minimum.reduceat(rank, head)
+            if (over := lowest == none).any():
+                over = np.repeat(over, size)
+                done_ids.append(ids[over])
+                done_owner.append(owner[over])
+                ids, owner, rank, made = (x[~over] for x in (ids, owner, rank, made))
+                continue
+            at = np.flatnonzero(rank == np.repeat(lowest, size))
+            at = at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
+            ids[at] = made[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank, made = (x[keep] for x in (ids, owner, rank, made))
+            at = at - np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])
+            rank[near], made[near] = rated(near)
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
+
+    def pair_merge(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair as a merge (a large number where there is none) and the token it makes."""
         key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.iinfo(np.int64).max)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.iinfo(np.int64).max), self.pair_made[at]
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.pair_merge(a, b)[0]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the joined strings of each pair gives just that pair.
@@ -127,32 +242,51 @@ class Vocabulary:
             at, u, v = at[~bad], u[~bad], v[~bad]
         return ok
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that end with the word-end mark."""
-        out = [self.propose(w) for w in words]
-        size = np.array([len(x) if x else 0 for x in out], np.int64)
-        flat = np.fromiter((t for x in out if x for t in x), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(words)), size)
-        failed = size == 0
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that end with the word-end mark, each word's as the bytes of 32-bit numbers."""
+        short = np.array([len(w) <= LONG_WORD for w in words], bool)
+        if not short.all():
+            out = [b"" if few else np.array(self.encode_word(w), np.int32).tobytes() for few, w in zip(short.tolist(), words)]
+            at = np.flatnonzero(short).tolist()
+            for i, ids in zip(at, self.encode_words([words[i] for i in at])):
+                out[i] = ids
+            return out
+        flat, owner, failed = self.propose_all(words)
         if len(flat) > 1:
             inner = owner[1:] == owner[:-1]
             good = self.compatible(flat[:-1][inner], flat[1:][inner])
             failed[owner[1:][inner][~good]] = True
         failed[owner[~self.whole[flat]]] = True
-        for i in np.flatnonzero(failed):
-            out[i] = self.merge(words[i])
-        return out
+        again = np.flatnonzero(failed)
+        exact, whose = self.merge_all([words[i] for i in again.tolist()])
+        keep = ~failed[owner]
+        flat, owner = np.concatenate([flat[keep], exact]), np.concatenate([owner[keep], again[whose]])
+        order = np.argsort(owner, kind="stable")
+        packed = flat[order].astype(np.int32).tobytes()
+        at = (4 * np.searchsorted(owner[order], np.arange(len(words) + 1))).tolist()
+        return [packed[a:b] for a, b in zip(at[:-1], at[1:])]
+
+    def encode_word(self, word: str) -> list[int]:
+        """As ``encode_words``, for one word of any length."""
+        got = self.propose(word)
+        flat = np.array(got or [], np.int64)
+        good = got is not None and self.whole[flat].all() and self.compatible(flat[:-1], flat[1:]).all()
+        return got if good else self.merge(word)
 
 
 class Encoder:
     """Texts to ids, with a bounded memory of words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {i: (i,) for i in vocabulary.special.values()}
+        self.v, self.known = vocabulary, self.marks(vocabulary)
         self.before: dict = {}
         self.bytes = dict(enumerate(byte_chars()))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
 
+    @staticmethod
+    def marks(vocabulary: Vocabulary) -> dict:
+        return {i: np.array([i], np.int32).tobytes() for i in vocabulary.special.values()}
+
     def words(self, text: str) -> list:
         """Words of a text in order; an id stands for a special token."""
         out: list = []
@@ -165,9 +299,13 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as the bytes of 32-bit numbers."""
         cut = [self.words(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.before, self.known = self.known, {i: (i,) for i in self.v.special.values()}
+            self.before, self.known = self.known, self.marks(self.v)
         known, before = self.known, self.before
         unseen = set(chain.from_iterable(cut)).difference(known)
         again = unseen.intersection(before)
@@ -175,7 +313,7 @@ class Encoder:
         new = list(unseen - again)
         spelled = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes) + END for w in new]
         known.update(zip(new, self.v.encode_words(spelled)))
-        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
 
 def load_vocabulary(path: str | None = None) -> Vocabulary:
@@ -242,9 +380,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", decoded
                 batch = whole.slice(at, 5000)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
                 for a, b in slices(texts):
-                    lists = enc.encode(texts[a:b])
-                    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+                    packed = enc.packed(texts[a:b])
+                    ends = np.cumsum([0, *map(len, packed)]).astype(np.int32) // 4
+                    flat = np.frombuffer(b"".join(packed), np.int32)
                     made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                     if decoded:
                         made.append(pa.array([joined(tokens, flat[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.string()))

@@ -81,3 +81,22 @@ def test_words_that_are_forgotten_are_encoded_alike(vocabulary, library, monkeyp
     for _ in range(30):
         text = " ".join(rng.choices(words, k=25))
         assert enc.encode([text])[0] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_cut_and_merged_all_at_a_time(vocabulary, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdehinorst", k=rng.randint(1, bpe.LONG_WORD + 9))) + bpe.END for _ in range(400)]
+    words += ["ab" + bpe.END, "a" + bpe.END, bpe.END, "aaaa" + bpe.END, "一" + bpe.END]
+    want = [vocabulary.merge(w) for w in words]
+    tokens, owner, stuck = vocabulary.propose_all(words)
+    assert [None if s else tokens[owner == i].tolist() for i, s in enumerate(stuck)] == [vocabulary.propose(w) for w in words]
+    tokens, owner = vocabulary.merge_all(words)
+    assert [tokens[owner == i].tolist() for i in range(len(words))] == want
+    assert vocabulary.encode_words([]) == []
+
+    merge, single = vocabulary.merge, []
+    monkeypatch.setattr(vocabulary, "merge", lambda w: single.append(w) or merge(w))
+    assert [np.frombuffer(x, np.int32).tolist() for x in vocabulary.encode_words(words)] == want
+    assert single and all(len(w) > bpe.LONG_WORD for w in single)
