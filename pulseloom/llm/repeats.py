@@ -90,36 +90,30 @@ class Block:
         self.families = Family(8), Family(88)
         self.cut = Words(texts)
         self.first = self.cut.first
-        self.words = self.cut.numbers(self.families[0])
-        self.n = len(self.words)
+        self.n = len(self.cut.start)
 
     def symbols(self):
-        return recompress(self.words, self.first)
+        return recompress(self.cut.numbers(self.families[0]), self.first)
 
     def has_window(self) -> np.ndarray:
         """Whether a whole window starts at each word."""
         text_end = np.repeat(self.first[1:], np.diff(self.first))
         return np.arange(self.n) + WINDOW <= text_end
 
-    def window_numbers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent numbers of the window at each word; words past the last whole window get zeros."""
-        out = []
-        for f in self.families:
-            x = self.words if f is self.families[0] else self.cut.numbers(f)
-            w = f.windows(x, WINDOW)
-            out.append(np.concatenate([w, np.zeros(self.n - len(w), U)]))
-        return out[0], out[1]
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Words at which a window starts that holds no symbol found only once in the corpus."""
-        _, low, high = self.symbols()
+    def window_numbers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent numbers of the whole windows at ``at``; no other words are hashed."""
+        needed = covered(self.n, at)
+        place = (np.cumsum(needed) - 1)[at]  # the words of a window stay neighbours among the needed ones
+        h1, h2 = (f.windows(self.cut.numbers(f, only=needed), WINDOW)[place] for f in self.families)
+        return h1, h2
+
+    def candidates(self, repeated: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Words at which a window starts that holds no symbol found only once in the corpus; [low, high) as from ``symbols``."""
         once = ~repeated
         a, b = np.maximum(high[once] - WINDOW, 0), low[once]
         inside = (b >= a) & (low[once] >= 0)
-        change = np.zeros(self.n + 1, np.int64)
-        np.add.at(change, a[inside], 1)
-        np.add.at(change, np.minimum(b[inside] + 1, self.n), -1)
-        return np.flatnonzero((np.cumsum(change[:-1]) == 0) & self.has_window())
+        change = np.bincount(a[inside], minlength=self.n + 1) - np.bincount(np.minimum(b[inside] + 1, self.n), minlength=self.n + 1)
+        return np.flatnonzero((np.cumsum(change[: self.n]) == 0) & self.has_window())
 
 
 def covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -161,17 +155,9 @@ class Question:
             a, b = self.bounds[p : p + 2]
             yield int(p), self.h1[a:b].tobytes(), self.h2[a:b].tobytes() if self.h2 is not None else b""
 
-    def answered(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Whether each number asked about, in the caller's order, is repeated in the corpus."""
-        out = np.zeros(len(self.h1), bool)
-        for p in np.flatnonzero(np.diff(self.bounds)):
-            a, b = self.bounds[p : p + 2]
-            out[a:b] = np.unpackbits(np.frombuffer(answers[int(p)], np.uint8), count=b - a).astype(bool)
-        return out[self.place]
-
 
 def read_answers(places: bytes, answers: dict[int, bytes]) -> np.ndarray:
-    """As ``Question.answered``, from ``packed_places``."""
+    """Whether each number asked about, in the caller's order, is repeated in the corpus; from ``packed_places``."""
     x = np.frombuffer(places, np.int32)
     k = int(x[0])
     bits = [np.unpackbits(np.frombuffer(answers[p], np.uint8), count=n) for p, n in zip(x[1 : k + 1].tolist(), x[k + 1 : 2 * k + 1].tolist())]
@@ -252,7 +238,9 @@ def answers(questions: DataFrame) -> DataFrame:
     return bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
 
 
-HELD = -1  # a row with what a block keeps for itself in place of a part's questions: starts of its windows, places of their answers
+# A row with what a block keeps for itself in place of a part's questions: ranges of its symbols or starts of its windows, and the
+# places of their answers.
+HELD = -1
 ASK = "part int, block long, h1 binary, h2 binary"
 
 
@@ -267,6 +255,11 @@ def asked(block: int, q: Question) -> pa.RecordBatch:
     )
 
 
+def held(block: int, kept: np.ndarray, q: Question) -> pa.RecordBatch:
+    kept = pa.array([kept.astype(np.int32).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([HELD], pa.int32()), pa.array([block], pa.int64()), kept, pa.array([q.packed_places()], pa.binary())], names=["part", "block", "h1", "h2"])
+
+
 def given(value) -> dict[int, bytes]:
     return {x["part"]: x["bits"] for x in value.as_py() or []}
 
@@ -277,7 +270,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Removed is every word covered by a window of 35 words that starts at another place too. Two rounds of questions go
     over the corpus. The first asks which symbols of the last recompression round occur more than once; a window around
     a symbol that occurs once is unique. The second verifies the windows that are left, by 128-bit numbers of their
-    words. Numbers are asked about by hash part, and the answers come back as bits.
+    words. Numbers are asked about by hash part, and the answers come back as bits. Symbols are worked out once: which
+    words decide on each is kept with the questions, so the second round hashes only the words of windows that are left.
 
     A null or wordless text keeps the empty string; texts of fewer than 35 words keep all words; repeated rows repeat
     each other and lose all covered words; a null doc_id is carried along; an empty table gives no rows.
@@ -287,36 +281,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def ask_symbols(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                name, _, _ = Block(batch.column(1)[i].values).symbols()
+                name, low, high = Block(batch.column(1)[i].values).symbols()
                 if len(name):
-                    yield asked(batch.column(0)[i].as_py(), Question(name, None, parts))
-
-    first = answers(blocks.select("block", "texts").mapInArrow(ask_symbols, ASK))
-
-    def windows(texts, first_answers):
-        b = Block(texts)
-        name, _, _ = b.symbols()
-        known = Question(name, None, parts).answered(first_answers) if len(name) else np.zeros(0, bool)
-        return b, b.candidates(known)
-
-    def window_question(b: Block, at: np.ndarray) -> Question:
-        h1, h2 = b.window_numbers()
-        return Question(h1[at], h2[at], parts)
+                    number, q = batch.column(0)[i].as_py(), Question(name, None, parts)
+                    yield asked(number, q)
+                    yield held(number, np.concatenate([np.diff(low, prepend=0), high - low]), q)
 
     def ask_windows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                b, at = windows(batch.column(1)[i].values, given(batch.column(2)[i]))
+                ranges = batch.column(2)[i].as_py()
+                if ranges is None:  # no words
+                    continue
+                steps, widths = np.split(np.frombuffer(ranges, np.int32).astype(np.int64), 2)
+                b, low = Block(batch.column(1)[i].values), np.cumsum(steps)
+                at = b.candidates(read_answers(batch.column(3)[i].as_py(), given(batch.column(4)[i])), low, low + widths)
                 if len(at):
-                    number, q = batch.column(0)[i].as_py(), window_question(b, at)
+                    number, q = batch.column(0)[i].as_py(), Question(*b.window_numbers(at), parts)
                     yield asked(number, q)
-                    starts = pa.array([at.astype(np.int32).tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([HELD], pa.int32()), pa.array([number], pa.int64()), starts, pa.array([q.packed_places()], pa.binary())], names=["part", "block", "h1", "h2"])
+                    yield held(number, at, q)
+
+    def answered(asked_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the blocks keep, and their answers."""
+        rows = materialize(asked_rows)
+        kept = rows.filter(f"part = {HELD}").select("block", F.col("h1").alias("kept"), F.col("h2").alias("places"))
+        return kept, materialize(answers(rows.filter(f"part <> {HELD}")))
 
-    first = materialize(first)
-    windows_asked = materialize(blocks.join(first, "block", "left").select("block", "texts", "answers").mapInArrow(ask_windows, ASK))
-    second = materialize(answers(windows_asked.filter(f"part <> {HELD}")))
-    held = windows_asked.filter(f"part = {HELD}").select("block", F.col("h1").alias("starts"), F.col("h2").alias("places"))
+    symbols, first = answered(blocks.select("block", "texts").mapInArrow(ask_symbols, ASK))
+    known = blocks.join(symbols, "block", "left").join(first, "block", "left").select("block", "texts", "kept", "places", "answers")
+    windows, second = answered(known.mapInArrow(ask_windows, ASK))
 
     def finish(batches):
         for batch in batches:
@@ -337,8 +330,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    both = blocks.join(held, "block", "left").join(second, "block", "left")
-    return both.select("block", "texts", "doc_ids", "starts", "places", "answers").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    both = blocks.join(windows, "block", "left").join(second, "block", "left")
+    return both.select("block", "texts", "doc_ids", "kept", "places", "answers").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_repeats(spark, sf_dir):

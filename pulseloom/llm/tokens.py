@@ -93,13 +93,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.at) - 1
 
-    def numbers(self, family: Family, lower: bool = False) -> np.ndarray:
-        """A 64-bit number per word."""
-        if not len(self.start):
-            return np.zeros(0, U)
+    def numbers(self, family: Family, lower: bool = False, only: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit number per word, or per word that the mask ``only`` names."""
         size = self.end - self.start
-        begin = np.cumsum(size) - size
         chars = self.raw[self.inside]
+        if only is not None:
+            size, chars = size[only], chars[np.repeat(only, size)]
+        if not len(size):
+            return np.zeros(0, U)
+        begin = np.cumsum(size) - size
         kind = np.int32 if len(chars) < 1 << 31 else np.int64
         place = np.arange(len(chars), dtype=kind) - np.repeat(begin.astype(kind), size)
         terms = family.terms(LOWER[chars] if lower else chars, place)

@@ -161,6 +161,21 @@ def test_equal_words_get_equal_symbols_inside():
         assert inside[0] == inside[1]
 
 
+
+def test_windows_that_are_left_hash_their_own_words_only(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["ab", "c", "déf", "x" * 300, "9"], k=k)) for k in (0, 34, 35, 200, 90)]
+    block = repeats.Block(pa.array(texts))
+    starts = np.flatnonzero(block.has_window())
+    at = np.array(sorted(rng.sample(starts.tolist(), 12) + [starts[0], starts[-1]]))
+    at = np.unique(at)
+    want = [f.windows(Words(pa.array(texts)).numbers(f), repeats.WINDOW)[at].tolist() for f in (Family(8), Family(88))]
+    hashed, numbers = [], Words.numbers
+    monkeypatch.setattr(Words, "numbers", lambda self, f, only=None: hashed.append(only.sum()) or numbers(self, f, only=only))
+    assert [x.tolist() for x in block.window_numbers(at)] == want
+    assert hashed == [repeats.covered(block.n, at).sum()] * 2
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     rows = repeats.remove_repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["n_removed"] == 0 for r in rows if r["doc_id"] != 4)
