@@ -41,11 +41,13 @@ def statistics(text: Column, words: Column) -> dict[str, Column]:
             spread = F.flatten(F.transform(hits, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
             return F.size(F.array_distinct(spread)).cast("bigint")
 
-        windows = F.transform(
-            F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), x).alias("h"), i.alias("i")),
-        )
-        return let(F.array_sort(windows), covered)
+        def counted(h: Column) -> Column:
+            # most texts have no equal windows, which one look at the distinct numbers tells; only the others are sorted
+            at = F.arrays_zip(h.alias("h"), F.sequence(F.lit(0), F.size(h) - 1).alias("i"))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(let(F.sort_array(at), covered))
+
+        windows = F.transform(F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
+        return let(windows, counted)
 
     with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return {

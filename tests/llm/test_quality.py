@@ -102,3 +102,13 @@ def test_quantile_is_that_of_all_rows(spark):
     for share in (0.0, 0.001, 0.5, 0.95, 1.0):
         assert math.isclose(quality.quantile(values, "v", share), values.agg(F.percentile("v", F.lit(share))).first()[0], rel_tol=1e-12)
     assert quality.quantile(values.limit(0), "v", 0.5) is None
+
+
+def test_only_texts_with_equal_windows_are_sorted(spark):
+    rows = [(0, "", 0), (1, "a b", 0), (2, "a b c", 0), (3, "a b c a b", 0), (4, "a b c d a b c", 6), (5, "x x x x", 4), (6, "x x x x x", 5), (7, "a b c a b c a b c", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, want long")
+    n = quality.statistics(F.col("text"), words_of(F.col("text")))["n_repeat_words"]
+    out = df.select("doc_id", "want", n.alias("n"))
+    assert all(r["n"] == r["want"] for r in out.collect())
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan  # the latter compares by an interpreted lambda
